@@ -186,3 +186,45 @@ def chunk_documents(
         F.col("c.end").alias("end"),
         F.col("c.text").alias("text"),
     )
+
+
+def audit_spans(spans: DataFrame, pages: DataFrame, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Broken promises of a chunking, one row each with its reason.
+
+    ``spans``: doc_id, page, idx, start, end, text. Checks that every text is
+    the exact slice of its page, that chunks advance, that overlaps stay in
+    budget and that no visible character lies outside every chunk.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("idx")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    linked = spans.select(
+        *PAGE,
+        "idx",
+        "start",
+        "end",
+        F.col("text").alias("quote"),
+        F.lag("start").over(order).alias("_s"),
+        F.lag("end").over(order).alias("_e"),
+        F.coalesce(reach, F.lit(0)).alias("_reach"),
+        F.lead("start").over(order).isNull().alias("_last"),
+    ).join(pages.select(*PAGE, "text"), PAGE)
+
+    def visible(a: Column, b: Column) -> Column:
+        inside = F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))
+        return F.length(F.regexp_replace(inside, rf"{SPACE}+", "")) > 0
+
+    end_reach = F.greatest("_reach", "end")
+    reasons = F.array_compact(
+        F.array(
+            F.when(
+                F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
+                != F.col("quote"),
+                "not-a-slice",
+            ),
+            F.when(F.col("start") <= F.col("_s"), "no-progress"),
+            F.when(F.col("_e") - F.col("start") > overlap, "overlap-over-budget"),
+            F.when(visible(F.col("_reach"), F.col("start")), "gap"),
+            F.when(F.col("_last") & visible(end_reach, F.length("text")), "tail-uncovered"),
+        )
+    )
+    return linked.select(*PAGE, "idx", F.explode(reasons).alias("reason"))
