@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 # Signatures used to derive byte samples, with the type they mean.
 SIGNATURES = [
@@ -29,7 +29,7 @@ SIGNATURES = [
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One-page documents; even ids get blank lines between their paragraphs."""
-    return table(spark, folder, "documents").selectExpr(
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).selectExpr(
         "doc_id",
         "concat('doc-', doc_id) AS doc_name",
         "1 AS page",
@@ -53,7 +53,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     Baselines wobble by up to two points, every tenth line is larger, every
     29th run is empty.
     """
-    words = table(spark, folder, "documents").selectExpr(
+    words = spread(table(spark, folder, "documents").select("doc_id", "text")).selectExpr(
         "doc_id", r"posexplode(regexp_extract_all(text, '[^ \\n\\t\\r]+', 0)) AS (n, word)"
     )
     placed = words.selectExpr(

@@ -9,7 +9,7 @@ PAGES_SCHEMA = "doc_id BIGINT, doc_name STRING, page INT, text STRING"
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page-text table: one canonical string per page, pages counted from 1."""
-    return spark.read.schema(PAGES_SCHEMA).parquet(path)
+    return spread(spark.read.schema(PAGES_SCHEMA).parquet(path))
 
 
 def stream_pages(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -34,5 +34,16 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    Text work is CPU-bound, and a small file of one row group would keep it in
+    one task. Large inputs have splits enough and pass through without a shuffle.
+    Only for plain scans: asking for the split count runs no job there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
