@@ -110,8 +110,12 @@ def score_chunks(
     def one_pass(batch: DataFrame) -> DataFrame:
         parts = bind(F.col("_index"), contributions)
         scores = F.filter(bind(F.sort_array(parts), totals), lambda h: h["score"] > 0)
+        # Two projections, so the optimizer folds the subquery into the scoring
+        # expression; under the generator it would be copied into every row.
         indexed = ready.withColumn("_index", query_index(batch, dims).scalar())
-        return indexed.select(*SPAN, *keep, F.inline(scores))
+        return indexed.select(*SPAN, *keep, scores.alias("_scores")).select(
+            *SPAN, *keep, F.inline("_scores")
+        )
 
     return reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(queries)])
 
@@ -217,7 +221,8 @@ def dense_top_k(
         found = bind(
             F.col("_index"), lambda i: bind(ready(F.col("embedding")), lambda v: scores(i, v))
         )
-        return vectors.withColumn("_index", index).select("vec_id", F.inline(found))
+        scored_rows = vectors.withColumn("_index", index).select("vec_id", found.alias("_scores"))
+        return scored_rows.select("vec_id", F.inline("_scores"))
 
     scored = reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(queries)])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
