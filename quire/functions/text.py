@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -126,15 +124,17 @@ DASHES = "‐‑‒–—―−"
 STABLE_TEXT = r"\A[\x00-\x7fÀ-ı‐‒-―‘-‟]*\z"
 
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
 def compatibility_form(text: Column) -> Column:
     """NFKC. Only rows that could change are shipped to Python."""
+
+    # Nested, so that it is shipped whole and executors need no package install.
+    def nfkc(column: pd.Series) -> pd.Series:
+        from unicodedata import normalize
+
+        return column.map(lambda t: None if t is None else normalize("NFKC", t))
+
     unstable = F.when(~F.regexp_like(text, F.lit(STABLE_TEXT)), text)
-    return F.coalesce(_nfkc(unstable), text)
+    return F.coalesce(F.pandas_udf(nfkc, "string")(unstable), text)
 
 
 def fold_for_search(text: Column) -> Column:
