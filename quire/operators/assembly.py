@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.functions.names import settle_names
 from quire.functions.running import renumber, running_total
 from quire.functions.text import strip_space
 from quire.operators.intake import fold_rotation
@@ -480,55 +480,28 @@ def carry_metadata_edit(meta: DataFrame, now: Column) -> DataFrame:
 def unique_names(names: DataFrame) -> DataFrame:
     """Names made unique per archive in order. ``names``: archive, seq, name.
 
-    Only names that differ by trailing ``-number`` can meet, so such families
-    are settled apart. A family of one repeated name is plain counting and is
-    numbered without gathering it; only families that mix names are walked.
+    A clash gets ``-2``, ``-3``... before the extension, skipping taken names.
     """
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        ordered = rows.sort_values("seq")
-        for name in ordered["name"]:
-            dot = name.rfind(".")
-            stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-            settled, n = name, 2
-            while settled in used:
-                settled, n = f"{stem}-{n}{ext}", n + 1
-            used.add(settled)
-            out.append(settled)
-        return ordered[["archive", "seq"]].assign(unique_name=out)
-
-    dotted = F.regexp_like("name", F.lit(r"(?s).+\.[^.]*\z"))
-    stem = F.when(dotted, F.regexp_extract("name", r"(?s)\A(.+)\.[^.]*\z", 1)).otherwise(F.col("name"))
-    ext = F.when(dotted, F.regexp_extract("name", r"(?s)\A.+(\.[^.]*)\z", 1)).otherwise("")
-    root = F.regexp_replace(stem, r"(-\d+)+\z", "")
-    family = names.select("archive", "seq", "name", stem.alias("_stem"), ext.alias("_ext"), root.alias("_root"))
-    mixed = (
-        family.groupBy("archive", "_root", "_ext")
-        .agg(F.min("name").alias("_a"), F.max("name").alias("_b"))
-        .where("_a <> _b")
-        .select("archive", "_root", "_ext")
-    )
-    key = ["archive", "_root", "_ext"]
-    counted = renumber(family.join(mixed, key, "left_anti"), ["archive", "name"], ["seq"], "_n")
-    simple = counted.select(
-        "archive",
-        "seq",
-        F.when(F.col("_n") == 0, F.col("name"))
-        .otherwise(F.concat("_stem", F.lit("-"), (F.col("_n") + 1).cast("string"), "_ext"))
-        .alias("unique_name"),
-    )
-    kind = dict(names.dtypes)
-    walked = (
-        family.join(mixed, key, "left_semi")
-        .groupBy(*key)
-        .applyInPandas(
-            settle,
-            f"archive {kind['archive']}, seq {kind['seq']}, unique_name string",
-        )
-    )
-    return simple.unionByName(walked)
+    split = r"(?s)\A(.+)(\.[^.]*)\z"
+    stem = lambda c: F.when(F.regexp_like(c, F.lit(split)), F.regexp_extract(c, split, 1)).otherwise(c)
+    ext = lambda c: F.regexp_extract(c, split, 2)
+    own = F.col("name")
+    family = F.concat(F.regexp_replace(stem(own), r"(-\d+)+\z", ""), F.lit("/"), ext(own))
+
+    def candidate(name: str, n: int) -> str:
+        dot = name.rfind(".")
+        return f"{name[:dot]}-{n}{name[dot:]}" if dot > 0 else f"{name}-{n}"
+
+    return settle_names(
+        names.select("archive", "seq", "name"),
+        ["archive"],
+        ["seq"],
+        "name",
+        "unique_name",
+        family,
+        lambda name, n: F.concat(stem(name), F.lit("-"), n, ext(name)),
+        candidate,
+    ).drop("name")
 
 
 def relink(links: DataFrame, manifest: DataFrame) -> DataFrame:
