@@ -1 +1,134 @@
-QUERIES: dict = {}
+"""Stream queries run over the whole tables until they are used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import chunking
+from quire.plans.answer_queries import TOKENS
+from quire.plans.chunk_queries import chunks_sql
+from quire.plans.scan_queries import CATS, CATS_SQL
+from quire.sources import fixtures as fx
+from quire.sources.scratch import scratch_folder
+from quire.sources.tables import table
+from quire.streaming import streams
+
+
+def _stream(spark, folder, name):
+    """A given table as a stream of its file."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _finish(spark, stream):
+    """Run a stream to its end and read what it wrote."""
+    at = scratch_folder(spark)
+    streams.run_to_table(stream, f"{at}/out", f"{at}/log").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+_PAGES = [
+    "doc_id",
+    "1 AS page",
+    r"CASE WHEN doc_id % 2 = 0 THEN replace(text, '\n', '\n\n') ELSE text END AS text",
+]
+
+
+def stream_ingest(spark, folder):
+    at = scratch_folder(spark)
+    pages = _stream(spark, folder, "documents").selectExpr(*_PAGES)
+    streams.run_ingest(pages, f"{at}/out", f"{at}/log").awaitTermination()
+    written = spark.read.parquet(f"{at}/out")
+    return written.select(
+        "chunk_id", "start", "end", F.md5("text").alias("digest"), F.size("features").cast("long").alias("n_features")
+    )
+
+
+def stream_scan(spark, folder):
+    chunks = chunking.chunk_documents(_stream(spark, folder, "documents").selectExpr(*_PAGES))
+    return _finish(spark, streams.scan(chunks, CATS)).select("chunk_id", "category")
+
+
+def _requests(spark, folder):
+    return _stream(spark, folder, "events").selectExpr(
+        "user_id AS session", "cast(ts AS timestamp) AS ts", "bigint(value * 100) AS bytes",
+        "CASE WHEN event_type = 'error' THEN 'blob:x' ELSE concat('http://', event_type, '.example/') END AS url",
+        "event_type AS host",
+    )
+
+
+def stream_traffic(spark, folder):
+    out = _finish(spark, streams.traffic(_requests(spark, folder), "1 day", "10 minutes"))
+    return out.select(
+        "session", F.unix_timestamp("from").alias("from_s"), F.unix_timestamp("until").alias("until_s"),
+        "n_requests", "bytes_in", "n_hosts",
+    )
+
+
+def stream_traffic_sliding(spark, folder):
+    out = _finish(spark, streams.traffic(_requests(spark, folder), "2 days", "10 minutes", "1 day"))
+    return out.select("session", F.unix_timestamp("from").alias("from_s"), "n_requests", "bytes_in")
+
+
+def stream_visits(spark, folder):
+    out = _finish(spark, streams.visits(_requests(spark, folder), "6 hours", "10 minutes"))
+    return out.select(
+        "session", F.unix_micros("from").alias("from_us"), F.unix_micros("until").alias("until_us"), "n_requests", "bytes_in"
+    )
+
+
+def stream_expire(spark, folder):
+    docs = _stream(spark, folder, "documents").selectExpr(
+        "doc_id", "source = 'src0' AS sample", "timestamp_seconds(1704067200 + doc_id * 7 % 7200) AS created_at"
+    )
+    return _finish(spark, streams.expire(docs, 3600, "60 seconds"))
+
+
+_SEEN = """seen AS (SELECT user_id AS session, ts, CAST(trunc(value * 100) AS BIGINT) AS bytes, event_type FROM events),
+top AS (SELECT max(ts) - INTERVAL 10 MINUTES AS mark FROM events WHERE event_type <> 'error')"""
+
+QUERIES = {
+    "stream_ingest": (
+        stream_ingest,
+        rf"""WITH RECURSIVE raw AS (
+  SELECT doc_id, 1 AS page, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS text FROM documents),
+clean AS (SELECT doc_id, page, trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM raw),
+{chunks_sql('clean')},
+f AS (SELECT chunk_id, count(DISTINCT ('0x' || substr(md5(t), 1, 8))::UBIGINT % 512) AS n
+  FROM (SELECT chunk_id, unnest({TOKENS.format('text')}) AS t FROM chunks) GROUP BY chunk_id)
+SELECT c.chunk_id, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", md5(text) AS digest, coalesce(n, 0) AS n_features
+FROM chunks c LEFT JOIN f ON f.chunk_id = c.chunk_id""",
+    ),
+    "stream_scan": (
+        stream_scan,
+        f"""{fx.with_('corpus')}, {CATS_SQL}, {chunks_sql('corpus')}
+SELECT c.chunk_id, k.id AS category FROM chunks c JOIN cats k
+  ON len(list_filter(k.signals, lambda s: contains(lower(c.text), s))) > 0 AND len(list_intersect({TOKENS.format('k.probe')}, {TOKENS.format('c.text')})) > 0""",
+    ),
+    "stream_traffic": (
+        stream_traffic,
+        f"""WITH {_SEEN}, w AS (SELECT session, date_trunc('day', ts) AS d, bytes, event_type FROM seen WHERE event_type <> 'error')
+SELECT session, epoch(d)::BIGINT AS from_s, epoch(d)::BIGINT + 86400 AS until_s, count(*) AS n_requests, sum(bytes)::BIGINT AS bytes_in, count(DISTINCT event_type) AS n_hosts
+FROM w, top WHERE d + INTERVAL 1 DAY <= mark GROUP BY session, d""",
+    ),
+    "stream_traffic_sliding": (
+        stream_traffic_sliding,
+        f"""WITH {_SEEN}, w AS (SELECT session, date_trunc('day', ts) - to_days(unnest([0, 1])) AS d, bytes FROM seen WHERE event_type <> 'error')
+SELECT session, epoch(d)::BIGINT AS from_s, count(*) AS n_requests, sum(bytes)::BIGINT AS bytes_in FROM w, top WHERE d + INTERVAL 2 DAYS <= mark GROUP BY session, d""",
+    ),
+    "stream_visits": (
+        stream_visits,
+        """WITH seen AS (SELECT user_id AS session, ts, CAST(trunc(value * 100) AS BIGINT) AS bytes FROM events),
+top AS (SELECT max(ts) - INTERVAL 10 MINUTES AS mark FROM events),
+g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY session ORDER BY ts) + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM seen),
+v AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM g),
+t AS (SELECT session, min(ts) AS a, max(ts) + INTERVAL 6 HOURS AS b, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM v GROUP BY session, visit)
+SELECT session, epoch_us(a) AS from_us, epoch_us(b) AS until_us, n AS n_requests, bytes AS bytes_in FROM t, top WHERE b <= mark""",
+    ),
+    "stream_expire": (
+        stream_expire,
+        """WITH d AS (SELECT doc_id, source, 1704067200 + doc_id * 7 % 7200 AS c FROM documents),
+m AS (SELECT max(c) - 60 AS mark FROM d WHERE source <> 'src0')
+SELECT doc_id, c + 3600 AS expired_s FROM d, m WHERE source <> 'src0' AND c + 3600 < mark""",
+    ),
+}
