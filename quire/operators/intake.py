@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.functions.running import running_total
 
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 MAX_PAGES = 300
@@ -74,7 +73,12 @@ def normalize_page_text(text: Column) -> Column:
 def place_runs(runs: DataFrame) -> DataFrame:
     """Give every text run its span in the page string; empty runs only advance it."""
     ended = F.length("str") + F.when(F.col("has_eol"), 1).otherwise(0)
-    placed = running_total(runs, ["doc_id", "page"], ["seq"], ended, "start")
+    # One page is one group here and in the layout steps, which then need no
+    # further exchange.
+    before = Window.partitionBy("doc_id", "page").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    placed = runs.withColumn("start", F.coalesce(F.sum(ended).over(before), F.lit(0)))
     return placed.select(
         *runs.columns,
         F.col("start").cast("int").alias("start"),

@@ -14,7 +14,7 @@ BYTES_PER_PIXEL = 0.12
 SLOW_PAGES = 120
 MATCH_TOLERANCE = 1.5
 # Anchor lengths for the phrase join; a phrase uses the longest that fits it.
-GRAMS = (24, 12, 6, 3, 1)
+GRAMS = (12, 4, 1)
 SEAM = "\u0000"
 SEGMENT = 4096
 
@@ -133,7 +133,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
             F.when(
                 F.array_contains("_sizes", F.lit(g)),
                 F.array_distinct(
-                    F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
+                    F.split("hay", "")
+                    if g == 1
+                    else F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
                 ),
             ).otherwise(F.array().cast("array<string>"))
             for g in GRAMS

@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.functions.binding import bind, runs_of
+from quire.functions.scoring import best_matches, sparse_matrix, unit_matrix
 from quire.functions.text import FEATURE_DIMS, hash_features, l2_normalize, tokens
 
 TOP_K = 6
 MIN_RELEVANCE = 0.03
 MIN_RELEVANCE_DENSE = 0.25
-# A batch of queries is held once per executor; larger sets take more passes.
+# Queries are held by every task; a larger set takes more passes over the chunks.
 MAX_QUERIES_PER_PASS = 2000
 
 ABSTAIN_TEXT = "The documents do not seem to answer this; the closest passages are listed."
@@ -35,27 +36,8 @@ def with_features(chunks: DataFrame, dims: int = FEATURE_DIMS) -> DataFrame:
     )
 
 
-def query_index(queries: DataFrame, dims: int = FEATURE_DIMS) -> DataFrame:
-    """One row: for every bucket the queries with weight in it."""
-    features = l2_normalize(hash_features(tokens(F.col("question")), dims))
-    entry = F.struct("query_id", "weight")
-    by_bucket = (
-        queries.select("query_id", F.inline(features))
-        .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    )
-    filled = F.map_from_entries(F.collect_list(F.struct("bucket", "entries")))
-    kind = dict(queries.dtypes)["query_id"]
-    none = F.expr(f"cast(array() AS array<struct<query_id:{kind},weight:double>>)")
-    return by_bucket.groupBy().agg(filled.alias("m")).select(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda b: F.coalesce(F.try_element_at(F.col("m"), b), none),
-        ).alias("index")
-    )
-
-
 def _passes(queries: DataFrame) -> list[DataFrame]:
+    """The queries in sets small enough to be held by every task."""
     n = math.ceil(queries.count() / MAX_QUERIES_PER_PASS)
     if n <= 1:
         return [queries]
@@ -63,58 +45,46 @@ def _passes(queries: DataFrame) -> list[DataFrame]:
     return [queries.where(part == i) for i in range(n)]
 
 
+def query_matrix(queries: DataFrame, dims: int = FEATURE_DIMS) -> tuple[list, np.ndarray]:
+    """Ids and unit vectors of one pass of queries, as rows of a matrix."""
+    features = l2_normalize(hash_features(tokens(F.col("question")), dims))
+    rows = queries.select("query_id", features.alias("f")).collect()
+    out = np.zeros((len(rows), dims))
+    for i, row in enumerate(rows):
+        for bucket, weight in row["f"]:
+            out[i, bucket] = weight
+    return [row["query_id"] for row in rows], out
+
+
 def score_chunks(
-    chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = (), dims: int = FEATURE_DIMS
+    chunks: DataFrame,
+    queries: DataFrame,
+    keep: tuple[str, ...] = (),
+    k: int | None = None,
+    floor: float = 0.0,
+    dims: int = FEATURE_DIMS,
 ) -> DataFrame:
-    """Positive cosine scores of every (query, chunk), exact.
+    """Positive cosine scores of (query, chunk) pairs, exact.
 
-    The queries' inverted index travels to the chunks as a scalar subquery and
-    each chunk is scored inside its own row, so nothing is shuffled and the work
-    per chunk follows the shared buckets, not the number of queries.
+    The chunks stay where they are: each task multiplies its own with the query
+    vectors. With ``k`` it gives back its best ``k`` per query, otherwise all
+    pairs that reach ``floor``. Queries beyond one pass take another pass.
     """
     ready = with_features(chunks, dims)
-
-    def contributions(index: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.col("features"),
-                lambda x: F.transform(
-                    F.get(index, x["bucket"]),
-                    lambda q: F.struct(
-                        q["query_id"].alias("query_id"),
-                        (x["weight"] * q["weight"]).alias("part"),
-                    ),
-                ),
-            )
-        )
-
-    def totals(s: Column) -> Column:
-        return F.transform(
-            runs_of(s, lambda a, b: a["query_id"] == b["query_id"]),
-            lambda r: F.struct(
-                F.get(s, r["at"])["query_id"].alias("query_id"),
-                F.round(
-                    F.least(
-                        F.lit(1.0),
-                        F.aggregate(
-                            F.slice(s, r["at"] + 1, r["n"]),
-                            F.lit(0.0),
-                            lambda acc, x: acc + x["part"],
-                        ),
-                    ),
-                    12,
-                ).alias("score"),
-            ),
-        )
+    kind = dict(queries.dtypes)["query_id"]
 
     def one_pass(batch: DataFrame) -> DataFrame:
-        parts = bind(F.col("_index"), contributions)
-        scores = F.filter(bind(F.sort_array(parts), totals), lambda h: h["score"] > 0)
-        # Two projections, so the optimizer folds the subquery into the scoring
-        # expression; under the generator it would be copied into every row.
-        indexed = ready.withColumn("_index", query_index(batch, dims).scalar())
-        return indexed.select(*SPAN, *keep, scores.alias("_scores")).select(
-            *SPAN, *keep, F.inline("_scores")
+        ids, weights = query_matrix(batch, dims)
+        return best_matches(
+            ready.select(*SPAN, *keep, "features"),
+            sparse_matrix("features", dims),
+            [*SPAN, *keep],
+            ["doc_id", "page", "idx"],
+            ids,
+            kind,
+            weights,
+            k,
+            floor,
         )
 
     return reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(queries)])
@@ -139,7 +109,7 @@ def top_k(
     if doc_ids is not None:
         chunks = chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     rank = F.row_number().over(_best_first("query_id"))
-    best = score_chunks(chunks, queries).withColumn("rank", rank).where(F.col("rank") <= k)
+    best = score_chunks(chunks, queries, k=k).withColumn("rank", rank).where(F.col("rank") <= k)
     gathered = best.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", *SPAN, "score"))).alias("hits")
     )
@@ -183,46 +153,26 @@ def dense_top_k(
 ) -> DataFrame:
     """The same ranking for dense vectors from any embedder.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. Queries
-    are normalised once and travel as a scalar subquery.
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding, all of one
+    length.
     """
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = lambda v: bind(
-        F.when(norm(v) > 0, norm(v)).otherwise(1.0), lambda n: F.transform(v, lambda x: x / n)
-    )
-    ready = lambda c: bind(double(c), unit)
-
-    def scores(queries_: Column, vector: Column) -> Column:
-        return F.transform(
-            queries_,
-            lambda q: F.struct(
-                q["query_id"].alias("query_id"),
-                F.round(
-                    F.greatest(
-                        F.lit(0.0),
-                        F.least(
-                            F.lit(1.0),
-                            F.aggregate(
-                                F.zip_with(q["v"], vector, lambda a, b: a * b),
-                                F.lit(0.0),
-                                lambda acc, x: acc + x,
-                            ),
-                        ),
-                    ),
-                    12,
-                ).alias("score"),
-            ),
-        )
+    kind = dict(queries.dtypes)["query_id"]
 
     def one_pass(batch: DataFrame) -> DataFrame:
-        packed = batch.select(F.struct("query_id", ready(F.col("embedding")).alias("v")).alias("q"))
-        index = packed.groupBy().agg(F.sort_array(F.collect_list("q")).alias("index")).scalar()
-        found = bind(
-            F.col("_index"), lambda i: bind(ready(F.col("embedding")), lambda v: scores(i, v))
+        rows = batch.select("query_id", "embedding").collect()
+        weights = np.array([r["embedding"] for r in rows], dtype=float)
+        norm = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
+        return best_matches(
+            vectors.select("vec_id", "embedding"),
+            unit_matrix("embedding", weights.shape[1]),
+            ["vec_id"],
+            ["vec_id"],
+            [r["query_id"] for r in rows],
+            kind,
+            weights / np.where(norm > 0, norm, 1.0),
+            k,
+            zeros=True,
         )
-        scored_rows = vectors.withColumn("_index", index).select("vec_id", found.alias("_scores"))
-        return scored_rows.select("vec_id", F.inline("_scores"))
 
     scored = reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(queries)])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -134,8 +134,7 @@ def scan_candidates(
     )
     best = Window.partitionBy("doc_id", "category").orderBy(F.col("score").desc(), "page", "idx")
     return (
-        score_chunks(chunks, probes, keep=("text", "words"))
-        .where(F.col("score") >= min_relevance)
+        score_chunks(chunks, probes, keep=("text", "words"), floor=min_relevance)
         .join(rules, "query_id")
         .select(
             *SPAN,
