@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-PAGES_SCHEMA = "doc_id BIGINT, doc_name STRING, page INT, text STRING"
+PAGES_SCHEMA = "doc_id STRING, doc_name STRING, page INT, text STRING"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

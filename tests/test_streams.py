@@ -1,0 +1,72 @@
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.operators import chunking, scan as batch_scan
+from quire.sources.scratch import scratch_folder
+from quire.sources.tables import read_pages, stream_pages
+from quire.streaming import streams
+from tests.conftest import pages
+
+
+@pytest.fixture
+def arrivals(spark, lease, manual, tmp_path):
+    """Page files as they might arrive, one page delivered twice."""
+    at = str(tmp_path / "pages")
+    lease.unionByName(lease.where("page = 1")).coalesce(1).write.mode("append").parquet(at)
+    manual.coalesce(1).write.mode("append").parquet(at)
+    return at
+
+
+def rows(df, *names):
+    return sorted(tuple(r) for r in df.select(*names).collect())
+
+
+def test_ingest_equals_its_batch_twin(spark, arrivals, tmp_path):
+    out = str(tmp_path / "out")
+    streams.run_ingest(stream_pages(spark, arrivals), out, str(tmp_path / "log")).awaitTermination()
+    batch = streams.ingest(read_pages(spark, arrivals).dropDuplicates(["doc_id", "page"]))
+    want = rows(batch, "chunk_id", "start", "end", "text")
+    assert rows(spark.read.parquet(out), "chunk_id", "start", "end", "text") == want
+    # Nothing new has arrived: running again adds nothing.
+    streams.run_ingest(stream_pages(spark, arrivals), out, str(tmp_path / "log")).awaitTermination()
+    assert rows(spark.read.parquet(out), "chunk_id", "start", "end", "text") == want
+
+
+def test_scan_stream_equals_batch(spark, arrivals, tmp_path):
+    chunks = chunking.chunk_documents(stream_pages(spark, arrivals))
+    out = str(tmp_path / "flags")
+    streams.run_to_table(streams.scan(chunks, batch_scan.CATEGORIES), out, str(tmp_path / "log")).awaitTermination()
+    twin = streams.scan(chunking.chunk_documents(read_pages(spark, arrivals)), batch_scan.CATEGORIES)
+    got = rows(spark.read.parquet(out), "chunk_id", "category")
+    assert got == rows(twin, "chunk_id", "category") and ("lease:3:0", "cancellation") in got
+
+
+def test_late_requests_are_dropped(spark, tmp_path):
+    at = str(tmp_path / "requests")
+    schema = "session int, s long, bytes long, url string, host string"
+
+    def deliver(*requests):
+        spark.createDataFrame([(1, s, b, "http://h/", "h") for s, b in requests], schema).coalesce(1).write.mode("append").parquet(at)
+
+    def run():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at)
+        timed = source.withColumn("ts", F.timestamp_seconds("s"))
+        out = streams.traffic(timed, "60 seconds", "30 seconds")
+        streams.run_to_table(out, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+
+    deliver((10, 5), (50, 7))
+    run()
+    deliver((200, 1))
+    run()
+    deliver((20, 100), (400, 1))
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_timestamp("from"), "n_requests", "bytes_in").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 2, 12), (180, 1, 1)]
+
+
+def test_shared_folder_is_used_when_the_cluster_names_one(spark, tmp_path):
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": str(tmp_path)}.get(key, default)))
+    assert scratch_folder(named).startswith(str(tmp_path))
+    assert not scratch_folder(spark).startswith(str(tmp_path))
