@@ -173,8 +173,8 @@ def _cuts(spark, folder):
 CUT = """marked AS (
   SELECT m.*, (out_doc + position) % 3 = 0 AND position < count(*) OVER (PARTITION BY out_doc) - 1 AS is_cut FROM manifest m),
 numbered AS (
-  SELECT *, coalesce(sum(is_cut::INT) OVER (PARTITION BY out_doc ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part,
-    sum(is_cut::INT) OVER (PARTITION BY out_doc) + 1 AS n_parts FROM marked),
+  SELECT *, coalesce(sum(is_cut::INT) OVER (PARTITION BY out_doc ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part,
+    (sum(is_cut::INT) OVER (PARTITION BY out_doc) + 1)::BIGINT AS n_parts FROM marked),
 parts AS (SELECT out_doc, part, n_parts, src_page, row_number() OVER (PARTITION BY out_doc, part ORDER BY position) - 1 AS position FROM numbered)"""
 _PART = ["out_doc", "part", "n_parts", "position", "src_page"]
 

@@ -74,7 +74,10 @@ def points_to_user(spark, folder):
     points = _boxes(spark, folder).selectExpr(
         "doc_id", "page_index", "double(doc_id * 7 % 400) AS x", "double(page_index * 61 % 500) + 0.5D AS y"
     )
-    return marks.points_to_user(points, _boxes(spark, folder))
+    moved = marks.points_to_user(points, _boxes(spark, folder))
+    return moved.select(
+        "doc_id", "page_index", "x", "y", *[F.round(c, 6).alias(c) for c in ("ux", "uy", "vx", "vy")]
+    )
 
 
 def rects_to_user(spark, folder):
@@ -206,7 +209,7 @@ BLOCKS = f"""{LINES}, linked AS (
   SELECT *, abs(x - lag(x) OVER w) <= 3 AND abs(font_size - lag(font_size) OVER w) <= 1
     AND y - lag(y + height) OVER w <= 1.9 * lag(font_size) OVER w AND y - lag(y + height) OVER w > -lag(font_size) OVER w AS same
   FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
-numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS UNBOUNDED PRECEDING) - 1 AS block_no FROM linked),
+numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS block_no FROM linked),
 blocks AS (SELECT doc_id, page, block_no, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line_no) AS text, min(x) AS x, min(y) AS y,
   max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, max(font_size) AS font_size, min(start) AS start, max(stop) AS stop
   FROM numbered GROUP BY doc_id, page, block_no)"""
@@ -263,8 +266,9 @@ SELECT p.doc_id, p.page, s.cite, p.seq, p.str FROM placed p JOIN src s ON s.doc_
     ),
     "points_to_user": (
         points_to_user,
-        f"""{fx.with_('page_boxes')}, p AS (SELECT *, CAST(doc_id * 7 % 400 AS DOUBLE) AS x, page_index * 61 % 500 + 0.5::DOUBLE AS y FROM page_boxes)
-SELECT doc_id, page_index, x, y, {_USER.format(x='b.x', y='b.y', nx='ux', ny='uy')}, x AS vx, y AS vy FROM p b""",
+        f"""{fx.with_('page_boxes')}, p AS (SELECT *, CAST(doc_id * 7 % 400 AS DOUBLE) AS x, page_index * 61 % 500 + 0.5::DOUBLE AS y FROM page_boxes),
+u AS (SELECT *, {_USER.format(x='b.x', y='b.y', nx='ux', ny='uy')} FROM p b)
+SELECT doc_id, page_index, x, y, round(ux, 6) AS ux, round(uy, 6) AS uy, x AS vx, y AS vy FROM u""",
     ),
     "rects_to_user": (
         rects_to_user,

@@ -365,7 +365,7 @@ SELECT doc_id, len(w) AS n, array_to_string(w, '|') AS words FROM l""",
     ),
     "strip_metadata": (
         strip_metadata,
-        """SELECT doc_id, NULL AS title, NULL AS author, NULL AS subject, NULL AS creator, NULL AS producer, NULL AS keywords, NULL AS xmp, 0 AS created_s, 0 AS modified_s FROM documents""",
+        """SELECT doc_id, NULL::VARCHAR AS title, NULL::VARCHAR AS author, NULL::VARCHAR AS subject, NULL::VARCHAR AS creator, NULL::VARCHAR AS producer, NULL::VARCHAR AS keywords, NULL::VARCHAR AS xmp, 0 AS created_s, 0 AS modified_s FROM documents""",
     ),
     "keep_smaller": (
         keep_smaller,

@@ -1,6 +1,6 @@
 """Run registered queries against their SQL in DuckDB and report differences.
 
-usage: python tools/check_queries.py <folder> [module ...]
+usage: python tools/check_queries.py <folder> [module | :query ...]
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from quire.plans.registry import MODULES  # noqa: E402
 
+# EXACT=1 compares doubles to the last bit.
+EXACT = os.environ.get("EXACT") == "1"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -43,7 +45,7 @@ def canonical(rows, names):
 
     def cell(v):
         if isinstance(v, float):
-            return "nan" if math.isnan(v) else f"{v:.6g}"
+            return "nan" if math.isnan(v) else repr(v + 0.0) if EXACT else f"{v:.6g}"
         if isinstance(v, bool):
             return str(v)
         return str(v)
