@@ -16,6 +16,8 @@ MATCH_TOLERANCE = 1.5
 # Anchor lengths for the phrase join; a phrase uses the longest that fits it.
 GRAMS = (12, 4, 1)
 SEAM = "\u0000"
+# Phrase lists up to this length are tested inside the page rows.
+MAX_SHORT_LIST = 1000
 SEGMENT = 4096
 
 
@@ -103,70 +105,113 @@ def _seams(views: DataFrame, reach: Column) -> DataFrame:
 
 
 def _haystacks(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """Everything a needle may be found in: the pages, and the seams between them."""
+    """Everything a needle may be found in: the pages, and the seams between them.
+
+    Documents of one page have no seams, so only the others take that way.
+    """
     wanted = needles.groupBy().agg(F.collect_set("view").alias("v")).scalar()
     reach = needles.groupBy().agg(F.coalesce(F.max(F.length("needle")), F.lit(1))).scalar()
-    views = (
-        _views(texts).withColumn("_v", wanted).where(F.expr("array_contains(_v, view)")).drop("_v")
-    )
-    whole = views.select(
+
+    def views(rows: DataFrame) -> DataFrame:
+        return _views(rows).withColumn("_v", wanted).where(F.expr("array_contains(_v, view)")).drop("_v")
+
+    whole = views(texts).select(
         "doc_id", F.concat(F.lit("p"), F.col("page").cast("string")).alias("part"), "view", "hay"
     ).where("hay <> ''")
-    return whole.unionByName(_seams(views, reach))
+    several = texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    broken = texts.join(several.select("doc_id"), "doc_id", "left_semi")
+    return whole.unionByName(_seams(views(broken), reach))
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Documents and the phrases readable in them, one row per pair.
+def _grams(text: str, size: int) -> Column:
+    """Distinct runs of ``size`` characters, in linear time."""
+    if size == 1:
+        return F.array_distinct(F.split(text, ""))
+    return F.array_distinct(
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    )
 
-    ``texts``: doc_id, page, text. ``phrases``: phrase_id, phrase. An equi-join
-    on the phrase's leading characters proposes pairs; only those are compared
-    in full. Nothing is compared that does not share that anchor.
+
+def _anchored(needles: DataFrame) -> DataFrame:
+    """Distinct needles with one of their own grams, picked by hash.
+
+    Phrases that begin alike, or are alike, so do not all meet at one key.
     """
-    needles = _needles(phrases.select("phrase_id", "phrase"))
     size = F.coalesce(*[F.when(F.length("needle") >= g, F.lit(g)) for g in GRAMS])
-    anchored = needles.withColumn("size", size).withColumn("gram", F.expr("left(needle, size)"))
-    sizes = anchored.groupBy().agg(F.sort_array(F.collect_set("size")).alias("s")).scalar()
+    grams = F.coalesce(*[F.when(F.col("size") == g, _grams("needle", g)) for g in GRAMS])
+    hashed = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))
+    return (
+        needles.distinct()
+        .withColumn("size", size)
+        .withColumn("gram", F.array_min(hashed)["gram"])
+    )
+
 
+def _found(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """Documents and the needles in them: (doc_id, view, needle).
+
+    An equi-join on the needle's anchor (and on the document, where needles
+    belong to one) proposes pairs; only those are compared in full, so nothing
+    is compared that does not share an anchor. A counted, short list of anchors
+    goes to the pages, which then are read once and never shuffled.
+    """
+    anchored = _anchored(needles)
+    sizes = anchored.groupBy().agg(F.sort_array(F.collect_set("size")).alias("s")).scalar()
     stacks = _haystacks(texts, needles)
     grams = F.concat(
         *[
-            F.when(
-                F.array_contains("_sizes", F.lit(g)),
-                F.array_distinct(
-                    F.split("hay", "")
-                    if g == 1
-                    else F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1))
-                ),
-            ).otherwise(F.array().cast("array<string>"))
+            F.when(F.array_contains("_sizes", F.lit(g)), _grams("hay", g)).otherwise(
+                F.array().cast("array<string>")
+            )
             for g in GRAMS
         ]
     )
-    proposed = (
-        stacks.withColumn("_sizes", sizes)
-        .select("doc_id", "part", "view", F.explode(grams).alias("gram"))
-        .join(anchored.select("view", "gram", "phrase_id", "needle"), ["view", "gram"])
-        .drop("gram")
+    sized = stacks.withColumn("_sizes", sizes)
+    keys = [c for c in ("doc_id", "view", "gram") if c in anchored.columns]
+    pairs = anchored.drop("size")
+    shared = "doc_id" not in keys
+    if shared and needles.limit(MAX_SHORT_LIST + 1).count() <= MAX_SHORT_LIST:
+        anchors = anchored.groupBy().agg(F.sort_array(F.collect_set("gram")).alias("a")).scalar()
+        # The generator holds the whole expression: as a column of its own it
+        # would be worked out again for the filter Spark derives from it.
+        met = sized.withColumn("_anchors", anchors).select(
+            "doc_id", "view", "hay", F.explode(F.array_intersect(grams, "_anchors")).alias("gram")
+        )
+        proposed = met.join(F.broadcast(pairs), keys)
+    else:
+        near = sized.select("doc_id", "part", "view", F.explode(grams).alias("gram")).join(pairs, keys)
+        proposed = stacks.join(near.drop("gram"), ["doc_id", "part", "view"])
+    return (
+        proposed.where(F.contains("hay", F.col("needle")))
+        .select("doc_id", "view", "needle")
+        .distinct()
     )
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Documents and the phrases readable in them, one row per pair.
+
+    ``texts``: doc_id, page, text. ``phrases``: phrase_id, phrase.
+    """
+    needles = _needles(phrases.select("phrase_id", "phrase"))
     return (
-        stacks.join(proposed, ["doc_id", "part", "view"])
-        .where(F.contains("hay", F.col("needle")))
+        _found(texts, needles.select("view", "needle"))
+        .join(needles.select("phrase_id", "view", "needle"), ["view", "needle"])
         .select("doc_id", "phrase_id")
-        .distinct()
     )
 
 
 def requested_hits(texts: DataFrame, requests: DataFrame) -> DataFrame:
     """The same test for phrases asked about one document each.
 
-    ``requests``: doc_id, ord, phrase. The document id is the join key.
+    ``requests``: doc_id, ord, phrase.
     """
     needles = _needles(requests.select("doc_id", "ord", "phrase"))
+    asked = texts.join(requests.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
-        _haystacks(texts, needles)
-        .join(needles, ["doc_id", "view"])
-        .where(F.contains("hay", F.col("needle")))
+        _found(asked, needles.select("doc_id", "view", "needle"))
+        .join(needles, ["doc_id", "view", "needle"])
         .select("doc_id", "ord", "phrase")
-        .distinct()
     )
 
 

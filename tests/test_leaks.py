@@ -56,6 +56,14 @@ def test_agrees_with_a_plain_search_over_whole_documents(spark):
     assert {r["ord"] for r in got} == want
 
 
+def test_long_lists_take_the_join(spark, monkeypatch):
+    texts = ["alpha beta", "gamma delta-", "epsilon"]
+    phrases = ["beta gamma", "deltaepsilon", "a", "--", "-", "zeta", "alpha beta gamma delta epsilon"]
+    short = hits(spark, texts, phrases)
+    monkeypatch.setattr(leaks, "MAX_SHORT_LIST", 2)
+    assert hits(spark, texts, phrases) == short == {0, 1, 2, 4, 6}
+
+
 def test_many_tiny_pages_make_one_phrase(spark):
     letters = "abcdefghijklmnopqrstuvwxyz" * 400
     texts = list(letters)
