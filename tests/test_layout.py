@@ -30,8 +30,8 @@ def texts(df, order):
 def test_lines(spark):
     word = runs(spark, [("Confid", 100, 50), ("ential", 130, 50), (" Memorandum", 160, 50.3)])
     assert texts(lines_of(word), "line_no") == ["Confidential Memorandum"]
-    columns = runs(spark, [("Watercress Capital", 90, 50, 10, 95), ("Memphis, TN", 430, 50, 10, 60)])
-    assert texts(lines_of(columns), "line_no") == ["Watercress Capital", "Memphis, TN"]
+    columns = runs(spark, [("Left hand title", 90, 50, 10, 95), ("Right, 2024", 430, 50, 10, 60)])
+    assert texts(lines_of(columns), "line_no") == ["Left hand title", "Right, 2024"]
     order = runs(spark, [("second", 90, 70), ("first", 90, 50), ("   ", 10, 10), ("", 20, 10)])
     assert texts(lines_of(order), "line_no") == ["first", "second"]
     tall = lines_of(runs(spark, [("Word", 100, 40, 14)])).collect()[0]
@@ -41,10 +41,10 @@ def test_lines(spark):
 @pytest.mark.parametrize(
     "pieces,blocks",
     [
-        ([("Built a comprehensive", 110, 100), ("outlook, and models", 110, 112)], 1),
+        ([("Wrote the yearly", 110, 100), ("report, with tables", 110, 112)], 1),
         ([("first bullet", 110, 100), ("continued", 110, 112), ("indented", 140, 124)], 2),
         ([("end of one", 90, 100), ("start of next", 90, 160)], 2),
-        ([("WORK EXPERIENCE", 90, 100, 12), ("Capital", 90, 114, 10)], 2),
+        ([("SECTION HEAD", 90, 100, 12), ("Body text", 90, 114, 10)], 2),
     ],
 )
 def test_blocks(spark, pieces, blocks):
@@ -55,7 +55,7 @@ def test_blocks(spark, pieces, blocks):
 
 
 def test_smallest_block_under_a_point(spark):
-    big = layout.blocks(lines_of(runs(spark, [("a wide heading line", 50, 50, 20, 400)])))
+    big = layout.blocks(lines_of(runs(spark, [("one broad title row", 50, 50, 20, 400)])))
     small = layout.blocks(lines_of(runs(spark, [("x", 100, 52, 8, 6)]))).withColumn("block_no", F.lit(7).cast("long"))
     points = spark.createDataFrame([("d", 1, 0, 102.0, 56.0), ("d", 1, 1, 900.0, 900.0)], "doc_id string, page int, point int, px double, py double")
     got = layout.block_at(big.unionByName(small), points).collect()
