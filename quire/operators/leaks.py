@@ -16,8 +16,11 @@ MATCH_TOLERANCE = 1.5
 # Anchor lengths for the phrase join; a phrase uses the longest that fits it.
 GRAMS = (12, 4, 1)
 SEAM = "\u0000"
-# Phrase lists up to this length are tested inside the page rows.
+# Phrase lists up to this length are tested inside the page rows, lists up to
+# the second size are held by every task, longer ones meet the pages by shuffle.
 MAX_SHORT_LIST = 1000
+MAX_HELD_LIST = 100_000
+MAX_HELD_CHARS = 16_000_000
 SEGMENT = 4096
 
 
@@ -169,8 +172,11 @@ def _found(texts: DataFrame, needles: DataFrame) -> DataFrame:
     sized = stacks.withColumn("_sizes", sizes)
     keys = [c for c in ("doc_id", "view", "gram") if c in anchored.columns]
     pairs = anchored.drop("size")
-    shared = "doc_id" not in keys
-    if shared and needles.limit(MAX_SHORT_LIST + 1).count() <= MAX_SHORT_LIST:
+    size = needles.limit(MAX_HELD_LIST + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")
+    ).collect()[0]
+    held = size["n"] <= MAX_HELD_LIST and size["chars"] <= MAX_HELD_CHARS
+    if "doc_id" not in keys and held and size["n"] <= MAX_SHORT_LIST:
         anchors = anchored.groupBy().agg(F.sort_array(F.collect_set("gram")).alias("a")).scalar()
         # The generator holds the whole expression: as a column of its own it
         # would be worked out again for the filter Spark derives from it.
@@ -179,7 +185,10 @@ def _found(texts: DataFrame, needles: DataFrame) -> DataFrame:
         )
         proposed = met.join(F.broadcast(pairs), keys)
     else:
-        near = sized.select("doc_id", "part", "view", F.explode(grams).alias("gram")).join(pairs, keys)
+        # A list of measured size is held, so the grams are not shuffled either.
+        near = sized.select("doc_id", "part", "view", F.explode(grams).alias("gram")).join(
+            F.broadcast(pairs) if held else pairs, keys
+        )
         proposed = stacks.join(near.drop("gram"), ["doc_id", "part", "view"])
     return (
         proposed.where(F.contains("hay", F.col("needle")))

@@ -62,6 +62,8 @@ def test_long_lists_take_the_join(spark, monkeypatch):
     short = hits(spark, texts, phrases)
     monkeypatch.setattr(leaks, "MAX_SHORT_LIST", 2)
     assert hits(spark, texts, phrases) == short == {0, 1, 2, 4, 6}
+    monkeypatch.setattr(leaks, "MAX_HELD_LIST", 2)
+    assert hits(spark, texts, phrases) == short
 
 
 def test_many_tiny_pages_make_one_phrase(spark):
