@@ -43,7 +43,7 @@ def coded(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = units.Known(lambda texts: units.ids_bytes(path, texts))
+        known = units.known("ids", path, lambda texts: units.ids_bytes(path, texts))
         for batch in source:
             keys, texts = batch.column(0), batch.column(1)
             schema = pa.schema(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import counts, exact, packing
+from quire.llm import bpe, counts, exact, packing
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_pack_documents(spark, folder):
     return packing.packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_bpe_round_trip(spark, folder):
+    """All documents to ids of the multilingual byte-level vocabulary and back."""
+    return bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op6_exact_duplicates(spark, folder):
     """Documents equal but for white space, and the one of each group that stays."""
     return exact.mark(_table(spark, folder, "documents"))
@@ -38,6 +43,7 @@ def op9_token_counts(spark, folder):
 
 QUERIES = {
     "op2_pack_documents": (op2_pack_documents, None),
+    "op5_bpe_round_trip": (op5_bpe_round_trip, None),
     "op6_exact_duplicates": (op6_exact_duplicates, OP6_SQL),
     "op9_token_counts": (op9_token_counts, None),
 }

@@ -83,7 +83,7 @@ def byte_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 class Known:
     """Values of units, worked out for all unknown units of a slice at once, then kept.
 
-    ``first`` holds values that every worker has from the start (a broadcast table); the rest are
+    ``fixed`` holds values that every worker has from the start (a broadcast table); the rest are
     kept up to ``KEPT`` entries.
     """
 
@@ -117,6 +117,17 @@ class Known:
         yield from map(self.later.__getitem__, block[1:])
 
 
+_known: dict = {}
+
+
+def known(kind: str, path: str, code: Callable[[list[str]], list], first: dict | None = None) -> Known:
+    """The worker's own ``Known`` for a kind of value and a vocabulary; it outlives the task."""
+    held = _known.setdefault((kind, path), Known(code))
+    if first is not None:
+        held.fixed = held.later.first = first
+    return held
+
+
 class _Second(dict):
     """Worker's own entries in front, the broadcast ones behind."""
 
