@@ -5,13 +5,35 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, counts, exact, packing
+from quire.llm import bpe, counts, exact, minhash, packing, vectors
+from quire.llm.shared import ship
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_vectors(spark, folder):
+    """Vectors linked by a cosine of 0.95, their components and the one of each that stays."""
+    return vectors.near_vectors(_table(spark, folder, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id
+  AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT t.vec_id, (SELECT count(*) FROM links WHERE links.a = t.vec_id) AS n_links, component_id,
+  t.vec_id = component_id AS kept
+FROM embeddings AS t JOIN least USING (vec_id)
+"""
+
+
 def op2_pack_documents(spark, folder):
     """All documents in sequences of 2,048 tokens."""
     return packing.packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,14 +58,21 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id)
 """
 
 
+def op7_near_duplicates(spark, folder):
+    """Documents whose five-word shingle sets overlap by 85 percent, and the one that stays."""
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark, folder):
     """Token counts of all documents."""
     return counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op1_near_vectors": (op1_near_vectors, OP1_SQL),
     "op2_pack_documents": (op2_pack_documents, None),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),
     "op6_exact_duplicates": (op6_exact_duplicates, OP6_SQL),
+    "op7_near_duplicates": (op7_near_duplicates, None),
     "op9_token_counts": (op9_token_counts, None),
 }
