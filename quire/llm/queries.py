@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, counts, exact, minhash, packing, vectors
+from quire.llm import bpe, counts, exact, lines, minhash, packing, vectors, warc
 from quire.llm.shared import ship
 
 
@@ -39,6 +40,21 @@ def op2_pack_documents(spark, folder):
     return packing.packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_warc_revisits(spark, folder):
+    """All pages written as archives with revisits, and the records read back."""
+    return warc.round_trip(_table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to FROM q
+"""
+
+
 def op5_bpe_round_trip(spark, folder):
     """All documents to ids of the multilingual byte-level vocabulary and back."""
     return bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -63,6 +79,32 @@ def op7_near_duplicates(spark, folder):
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_line_windows(spark, folder):
+    """Documents without later occurrences of windows of three lines."""
+    return lines.dedup_lines(_table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", F.md5("text").alias("text_md5")
+    )
+
+
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS raw
+  FROM documents),
+s AS (SELECT doc_id, i, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l
+  WHERE trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+w AS (SELECT doc_id, i, lead(i) OVER d AS i2, lead(i, 2) OVER d AS i3,
+    line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS body
+  FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS n FROM w WHERE i3 IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, unnest([i, i2, i3]) AS i FROM f WHERE n > 1),
+t AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) AS text FROM l ANTI JOIN c USING (doc_id, i) GROUP BY doc_id),
+r AS (SELECT d.doc_id, CASE WHEN d.doc_id NOT IN (SELECT doc_id FROM c) THEN d.text
+    WHEN regexp_replace(coalesce(t.text, ''), '[ \t\r\n\x0B\f]', '', 'g') = '' THEN '' ELSE t.text END AS text,
+    d.n_chars AS before, d.doc_id IN (SELECT doc_id FROM c) AS changed
+  FROM documents AS d LEFT JOIN t USING (doc_id))
+SELECT doc_id, CASE WHEN changed THEN length(text) ELSE before END AS n_chars, md5(text) AS text_md5 FROM r
+"""
+
+
 def op9_token_counts(spark, folder):
     """Token counts of all documents."""
     return counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -71,8 +113,10 @@ def op9_token_counts(spark, folder):
 QUERIES = {
     "op1_near_vectors": (op1_near_vectors, OP1_SQL),
     "op2_pack_documents": (op2_pack_documents, None),
+    "op3_warc_revisits": (op3_warc_revisits, OP3_SQL),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),
     "op6_exact_duplicates": (op6_exact_duplicates, OP6_SQL),
     "op7_near_duplicates": (op7_near_duplicates, None),
+    "op8_line_windows": (op8_line_windows, OP8_SQL),
     "op9_token_counts": (op9_token_counts, None),
 }
