@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, counts, exact, lines, minhash, packing, vectors, warc
+from quire.llm import bpe, counts, exact, extract, lines, minhash, packing, quality, vectors, warc
 from quire.llm.shared import ship
 
 
@@ -55,6 +55,13 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN top = page_id THEN 'res
 """
 
 
+def op4_quality_scores(spark, folder):
+    """All documents scored by the co-trained views, and whether they stay."""
+    docs = _table(spark, folder, "documents")
+    model = quality.train(docs, _table(spark, folder, "labels"))
+    return quality.score(docs, model).withColumn("kept", F.col("score") >= F.lit(quality.REJECT))
+
+
 def op5_bpe_round_trip(spark, folder):
     """All documents to ids of the multilingual byte-level vocabulary and back."""
     return bpe.round_trip(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -110,13 +117,21 @@ def op9_token_counts(spark, folder):
     return counts.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_main_text(spark, folder):
+    """Main text of all pages."""
+    pages = _table(spark, folder, "pages")
+    return extract.extract(pages, extract.train(pages))
+
+
 QUERIES = {
     "op1_near_vectors": (op1_near_vectors, OP1_SQL),
     "op2_pack_documents": (op2_pack_documents, None),
     "op3_warc_revisits": (op3_warc_revisits, OP3_SQL),
+    "op4_quality_scores": (op4_quality_scores, None),
     "op5_bpe_round_trip": (op5_bpe_round_trip, None),
     "op6_exact_duplicates": (op6_exact_duplicates, OP6_SQL),
     "op7_near_duplicates": (op7_near_duplicates, None),
     "op8_line_windows": (op8_line_windows, OP8_SQL),
     "op9_token_counts": (op9_token_counts, None),
+    "op10_main_text": (op10_main_text, None),
 }
