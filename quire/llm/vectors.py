@@ -135,7 +135,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         )
     )
     told = store(told, "told")
-    rows = wide.withColumn("vector", F.expr("transform(vector, x -> x + 0.0D)")).join(told, "vector", "left")
+    named = F.expr("if(vec_id IS NOT NULL, transform(vector, x -> x + 0.0D), NULL)")
+    rows = wide.withColumn("vector", named).join(told, "vector", "left")
     return rows.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
