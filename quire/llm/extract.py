@@ -37,6 +37,7 @@ from quire.llm import units
 LABELLED = 200  # pages of the table that the model is fitted on
 SEED_WEIGHT = 20.0  # of a page written out here, next to one from the table
 SMOOTH = 0.5
+FLOORS = {"leaf": 0.03, "box": 0.003}  # least share of a value that is seen, so that one sight never decides alone
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -66,6 +67,13 @@ _WORDS = [
     ("main", r"article|content|post|entry|story|main|body|text|prose|markdown"),
 ]
 _WORDS = [(name, re.compile(words, re.I)) for name, words in _WORDS]
+#: What short leaves outside of articles tend to say.
+_SAYS = [
+    ("rights", re.compile(r"©|\bcopyright\b|all rights reserved|\bimprint\b|terms of (?:use|service)|privacy policy", re.I)),
+    ("notice", re.compile(r"\bcookies?\b|subscribe|newsletter|sign up|log ?in\b", re.I)),
+    ("pointer", re.compile(r"^(?:read more|related|share|tweet|advert|sponsored|by the same|more from|you may also)", re.I)),
+    ("reply", re.compile(r"^(?:repl(?:y|ies)|comments?\b|\d+ comments|posted by|leave a)", re.I)),
+]
 #: Kinds whose inside is never part of an article when pages label themselves.
 _APART = {"nav", "aside", "footer", "form", "header", "menu", "dialog", "button", "search", "label", "option"}
 _APART_WORDS = {"comment", "advert", "notice", "aside", "menu", "form", "bottom", "hidden"}
@@ -178,7 +186,8 @@ def _leaf(text: str, linked: int) -> tuple[str, ...]:
     n = len(text)
     size = sum(n >= bound for bound in (12, 30, 80, 200, 600))
     share = min(2, int(3 * linked / max(1, n)))
-    return f"size {size}", f"links {share}", "stop" if text[-1] in ".!?:;…\"'»”)" else "open"
+    says = next((name for name, words in _SAYS if words.search(text)), "none") if n < 600 else "none"
+    return f"size {size}", f"links {share}", "stop" if text[-1] in ".!?:;…\"'»”)" else "open", says
 
 
 def labels(tree: Tree) -> list[int] | None:
@@ -252,10 +261,11 @@ class Model:
             out = [0.0, 0.0]
             for slot, value in enumerate(seen):
                 group = f"{'leaf' if leaf else 'box'} {slot}"
-                room = SMOOTH * (len(self.values.get(group, ())) + 1)
+                floor = FLOORS["leaf" if leaf else "box"]
+                room = floor * (len(self.values.get(group, ())) + 1)
                 for label in (0, 1):
-                    n = self.counts.get(f"{group}|{value}|{label}", 0.0) + SMOOTH
-                    out[label] += log(n / (self.totals[group, str(label)] + room))
+                    total = self.totals[group, str(label)] or 1.0
+                    out[label] += log((self.counts.get(f"{group}|{value}|{label}", 0.0) / total + floor) / (1 + room))
             self.views[seen, leaf] = (out[0], out[1])
         return self.views[seen, leaf]
 
@@ -327,24 +337,27 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
 
 
 _PARA = "<p>A paragraph of the story that runs on for a good while, with commas, clauses and an end, as such paragraphs do.</p>"
-_LONG = _PARA * 3 + "<p>Short one.</p>" + _PARA
+_LONG = _PARA * 3 + "<p>Short one.</p>" + _PARA + "<p>" + "A longer one tells more of it, at ease, in many words. " * 6 + "</p>"
+_SAID = "I think the writer has a point here, but left out what matters most to those of us who live with it every day of the year. "
+_LAW = "Copyright of the publisher, all rights reserved. No part of these pages may be copied without leave of the owners, who are named in the imprint. "
+_SELL = "Buy this thing now, it is cheaper than ever before in the shop, and comes to your door within a day or two at no cost at all. "
 #: Labelled pages; ``x-label`` says where content begins and where it ends again.
 SEEDS = [
     f'<html><body><div class="header"><div class="logo">Site name</div><ul class="nav"><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></div>'
     f'<div id="content" x-label="content"><h1>Title of the story</h1>{_LONG}<div class="share" x-label="no"><a href="#">Share this</a></div></div>'
-    f'<div class="sidebar"><h3>Related</h3><ul><li><a href="/x">Another story here</a></li><li><a href="/y">And one more</a></li></ul></div>'
-    f'<div id="comments"><h3>Comments</h3><div class="comment"><p>I liked it very much, thank you for writing this down for all of us.</p></div></div>'
-    f'<div class="footer"><p>Copyright, all rights reserved.</p></div></body></html>',
+    f'<div class="sidebar"><h3>Related</h3><ul><li><a href="/x">Another story here</a></li><li><a href="/y">And one more</a></li></ul><p>{_SELL}</p></div>'
+    f'<div id="comments"><h3>Comments</h3><div class="comment"><p>{_SAID}</p></div><div class="comment"><p>{_SAID * 3}</p></div></div>'
+    f'<div class="footer"><p>{_LAW}</p></div></body></html>',
     f'<html><body><header><h2>The daily page</h2></header><nav><a href="/">Home</a> <a href="/b">News</a></nav><main x-label="content"><h1>Headline</h1>{_LONG}'
-    f'<aside x-label="no"><p>More on this in our long guide to the topic.</p></aside><blockquote>A quote that somebody said about it.</blockquote>{_PARA}</main>'
-    f'<section class="comments"><h2>Reader comments</h2><ol><li><p>First! And what a good piece of writing this was, really.</p></li></ol></section>'
-    f'<footer><p>Imprint and contact of the publisher of these pages.</p></footer></body></html>',
-    f'<html><body><div class="cookie-notice"><p>We use cookies to make this site work better for you and for others.</p><button>Accept</button></div>'
+    f'<aside x-label="no"><p>More on this in our long guide to the topic. {_SELL}</p></aside><blockquote>A quote that somebody said about it.</blockquote>{_PARA}</main>'
+    f'<section class="comments"><h2>Reader comments</h2><ol><li><p>First! {_SAID}</p></li><li>{_SAID * 2}</li></ol></section>'
+    f'<footer>{_LAW}</footer></body></html>',
+    f'<html><body><div class="cookie-notice"><p>We use cookies to make this site work better for you and for others. {_SELL}</p><button>Accept</button></div>'
     f'<h1 x-label="content">A plain page</h1><div class="story-text" x-label="content">{_LONG}<ul><li>First point of a list in the text</li><li>Second point of it</li></ul></div>'
-    f'<form action="/s"><label>Search</label><p>Type words to find pages on this site.</p></form></body></html>',
+    f'<form action="/s"><label>Search</label><p>Type words to find pages on this site.</p></form><div id="respond"><p>{_SAID}</p></div></body></html>',
     f'<html><body><div><div><div x-label="content"><h2>Title</h2>{_LONG}<table><tr><td>Cell one</td><td>Cell two</td></tr></table></div></div>'
     f'<div><ul><li><a href="/1">One link</a></li><li><a href="/2">Two links</a></li><li><a href="/3">Three links</a></li></ul></div></div></body></html>',
     f'<html><body><article x-label="content"><header><h1>Title in a header</h1></header>{_LONG}<figure><figcaption>What the picture shows.</figcaption></figure>'
-    f'<div class="ad" x-label="no"><p>Buy this thing now, it is cheaper than ever before in the shop.</p></div>{_PARA}<footer x-label="no"><p>Filed under: things</p></footer></article>'
-    f'<div class="newsletter"><p>Get our letter every week, and never miss a story again from us.</p><form><label>Mail</label></form></div></body></html>',
+    f'<div class="ad" x-label="no"><p>{_SELL}</p></div>{_PARA}<footer x-label="no"><p>Filed under: things</p></footer></article>'
+    f'<div class="newsletter"><p>Get our letter every week, and never miss a story again from us. {_SELL}</p><form><label>Mail</label></form></div><div class="ads">{_SELL}</div></body></html>',
 ]
