@@ -336,7 +336,7 @@ def extract(pages: DataFrame, model: Model) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, kind)
 
 
-_PARA = "<p>A paragraph of the story that runs on for a good while, with commas, clauses and an end, as such paragraphs do.</p>"
+_PARA = "<p>A paragraph of the story that runs on for a good while, with commas, asides and an end, as such paragraphs do.</p>"
 _LONG = _PARA * 3 + "<p>Short one.</p>" + _PARA + "<p>" + "A longer one tells more of it, at ease, in many words. " * 6 + "</p>"
 _SAID = "I think the writer has a point here, but left out what matters most to those of us who live with it every day of the year. "
 _LAW = "Copyright of the publisher, all rights reserved. No part of these pages may be copied without leave of the owners, who are named in the imprint. "

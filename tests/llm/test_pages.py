@@ -74,7 +74,7 @@ def model():
 
 def test_held_out_layouts(model):
     """Layouts that are not among the written ones."""
-    para = "<p>Here the text of an unseen page goes on at some length, with a clause or two, until it stops.</p>"
+    para = "<p>Here the text of an unseen page goes on at some length, with a turn or two, until it stops.</p>"
     page = (
         '<body><div class="top-menu"><a href="/">Start</a><a href="/n">News</a></div><div class="post-body"><h1>Head &amp; tail</h1>'
         f'{para * 4}</div><div id="respond"><p>{"I have to say something about this. " * 4}</p></div>'
