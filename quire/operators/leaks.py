@@ -13,15 +13,14 @@ MAX_CANVAS_SIDE = 16384
 BYTES_PER_PIXEL = 0.12
 SLOW_PAGES = 120
 MATCH_TOLERANCE = 1.5
-# Anchor lengths for the phrase join; a phrase uses the longest that fits it.
-GRAMS = (12, 4, 1)
+# Anchor lengths for the phrase join; a phrase uses the longest that fits it, and
+# is its own anchor where it is shorter than the second.
+GRAMS = (12, 4, 3, 2, 1)
 SEAM = "\u0000"
-# Phrase lists up to this length are tested inside the page rows, lists up to
-# the second size are held by every task, longer ones meet the pages by shuffle.
-MAX_SHORT_LIST = 1000
-MAX_HELD_LIST = 100_000
-MAX_HELD_CHARS = 16_000_000
+# Shortest segment of a document that phrases across pages are looked for in.
 SEGMENT = 4096
+# 64-bit words of the filter of anchors that every page's runs of characters pass.
+FILTER_WORDS = 1 << 14
 
 
 def _needles(phrases: DataFrame) -> DataFrame:
@@ -76,14 +75,14 @@ def _seams(views: DataFrame, reach: Column) -> DataFrame:
     placed = running_total(
         short, ["doc_id", "view"], ["page"], F.length("hay").cast("long"), "at"
     ).where("hay <> ''")
-    low = F.greatest(
-        F.lit(0), F.floor((F.col("at") - SEGMENT - F.col("_r")) / SEGMENT) + 1
-    )
-    high = F.floor((F.col("at") + F.length("hay") - 1) / SEGMENT)
+    # As long as the longest needle at least, so a character is in three segments at most.
+    length = F.greatest(F.lit(SEGMENT), F.col("_r"))
+    low = F.greatest(F.lit(0), F.floor((F.col("at") - length - F.col("_r")) / length) + 1)
+    high = F.floor((F.col("at") + F.length("hay") - 1) / length)
 
     def piece(seg: Column) -> Column:
-        begin = F.greatest(seg * SEGMENT, F.col("at"))
-        stop = F.least(seg * SEGMENT + SEGMENT + F.col("_r"), F.col("at") + F.length("hay"))
+        begin = F.greatest(seg * length, F.col("at"))
+        stop = F.least(seg * length + length + F.col("_r"), F.col("at") + F.length("hay"))
         return F.struct(
             seg.alias("seg"),
             F.substring(
@@ -107,16 +106,14 @@ def _seams(views: DataFrame, reach: Column) -> DataFrame:
     )
 
 
-def _haystacks(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def _haystacks(texts: DataFrame, wanted: Column, reach: Column) -> DataFrame:
     """Everything a needle may be found in: the pages, and the seams between them.
 
     Documents of one page have no seams, so only the others take that way.
     """
-    wanted = needles.groupBy().agg(F.collect_set("view").alias("v")).scalar()
-    reach = needles.groupBy().agg(F.coalesce(F.max(F.length("needle")), F.lit(1))).scalar()
 
     def views(rows: DataFrame) -> DataFrame:
-        return _views(rows).withColumn("_v", wanted).where(F.expr("array_contains(_v, view)")).drop("_v")
+        return _views(rows).where(F.array_contains(wanted, F.col("view")))
 
     whole = views(texts).select(
         "doc_id", F.concat(F.lit("p"), F.col("page").cast("string")).alias("part"), "view", "hay"
@@ -150,48 +147,63 @@ def _anchored(needles: DataFrame) -> DataFrame:
     )
 
 
+def _slot(gram: Column) -> tuple[Column, Column]:
+    """Word of the anchor filter and bit in it."""
+    h = F.xxhash64(gram)
+    return F.pmod(h, F.lit(FILTER_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+
+
+def _filter_of(anchored: DataFrame) -> Column:
+    """The anchors as one array of words with a bit set for each, whatever their number."""
+    word, bit = _slot(F.col("gram"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = anchored.groupBy(word.alias("id")).agg(F.bit_or(one).alias("bits"))
+    every = anchored.sparkSession.range(0, FILTER_WORDS, 1, 1).join(words, "id", "left")
+    listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return every.groupBy().agg(F.transform(listed, lambda w: w["bits"])).scalar()
+
+
 def _found(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """Documents and the needles in them: (doc_id, view, needle).
 
     An equi-join on the needle's anchor (and on the document, where needles
     belong to one) proposes pairs; only those are compared in full, so nothing
-    is compared that does not share an anchor. A counted, short list of anchors
-    goes to the pages, which then are read once and never shuffled.
+    is compared that does not share an anchor. A page's runs of characters pass
+    a filter of all anchors first, so few of them are joined, and the text
+    follows only where something was proposed. The plan is the same for a list
+    of any length; the optimizer sees to small sides.
     """
     anchored = _anchored(needles)
-    sizes = anchored.groupBy().agg(F.sort_array(F.collect_set("size")).alias("s")).scalar()
-    stacks = _haystacks(texts, needles)
+    facts = anchored.groupBy().agg(
+        F.struct(
+            F.collect_set("view").alias("views"),
+            F.coalesce(F.max(F.length("needle")), F.lit(1)).alias("reach"),
+            F.collect_set("size").alias("sizes"),
+        )
+    ).scalar()
+    anchors = _filter_of(anchored)
+    stacks = _haystacks(texts, facts["views"], facts["reach"])
+
+    word, bit = _slot(F.col("gram"))
+    may_be_anchor = F.getbit(F.get(anchors, word.cast("int")), bit) == 1
     grams = F.concat(
         *[
-            F.when(F.array_contains("_sizes", F.lit(g)), _grams("hay", g)).otherwise(
+            F.when(F.array_contains(facts["sizes"], F.lit(g)), _grams("hay", g)).otherwise(
                 F.array().cast("array<string>")
             )
             for g in GRAMS
         ]
     )
-    sized = stacks.withColumn("_sizes", sizes)
     keys = [c for c in ("doc_id", "view", "gram") if c in anchored.columns]
-    pairs = anchored.drop("size")
-    size = needles.limit(MAX_HELD_LIST + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.length("needle")), F.lit(0)).alias("chars")
-    ).collect()[0]
-    held = size["n"] <= MAX_HELD_LIST and size["chars"] <= MAX_HELD_CHARS
-    if "doc_id" not in keys and held and size["n"] <= MAX_SHORT_LIST:
-        anchors = anchored.groupBy().agg(F.sort_array(F.collect_set("gram")).alias("a")).scalar()
-        # The generator holds the whole expression: as a column of its own it
-        # would be worked out again for the filter Spark derives from it.
-        met = sized.withColumn("_anchors", anchors).select(
-            "doc_id", "view", "hay", F.explode(F.array_intersect(grams, "_anchors")).alias("gram")
-        )
-        proposed = met.join(F.broadcast(pairs), keys)
-    else:
-        # A list of measured size is held, so the grams are not shuffled either.
-        near = sized.select("doc_id", "part", "view", F.explode(grams).alias("gram")).join(
-            F.broadcast(pairs) if held else pairs, keys
-        )
-        proposed = stacks.join(near.drop("gram"), ["doc_id", "part", "view"])
+    near = (
+        stacks.select("doc_id", "part", "view", F.explode(grams).alias("gram"))
+        .where(may_be_anchor)
+        .join(anchored.drop("size"), keys)
+        .drop("gram")
+    )
     return (
-        proposed.where(F.contains("hay", F.col("needle")))
+        stacks.join(near, ["doc_id", "part", "view"])
+        .where(F.contains("hay", F.col("needle")))
         .select("doc_id", "view", "needle")
         .distinct()
     )
@@ -235,22 +247,42 @@ def leak_verdict(before: DataFrame, after: DataFrame, requests: DataFrame) -> Da
     """Per document: phrases still found (as asked, once each) and whether it is clean.
 
     ``after`` is everything readable in the result: page text, annotations and
-    metadata as rows of ``doc_id, page, text``.
+    metadata as rows of ``doc_id, page, text``. A document of which nothing was
+    asked is not clean. Both texts are searched in one go.
     """
-    found = requested_hits(after, requests).select("doc_id", "ord", F.lit(True).alias("_found"))
-    known = requested_hits(before, requests).select("doc_id", "ord", F.lit(True).alias("_known"))
-    judged = requests.join(found, ["doc_id", "ord"], "left").join(known, ["doc_id", "ord"], "left")
-    per_phrase = judged.groupBy("doc_id", "phrase").agg(
-        F.min("ord").alias("ord"),
-        F.bool_or(F.coalesce("_found", F.lit(False))).alias("found"),
-        F.bool_or(F.coalesce("_known", F.lit(False))).alias("known"),
+    side = lambda df, name: df.withColumn("doc_id", F.struct(F.lit(name).alias("side"), "doc_id"))
+    texts = side(before.select("doc_id", "page", "text"), "before").unionByName(
+        side(after.select("doc_id", "page", "text"), "after")
+    )
+    asked = requests.select(
+        F.explode(F.transform(F.array(F.lit("before"), F.lit("after")), lambda s: F.struct(s.alias("side"), "doc_id"))).alias("doc_id"),
+        "ord",
+        "phrase",
+    )
+    hits = requested_hits(texts, asked).select("doc_id.doc_id", "ord", "phrase", F.col("doc_id.side").alias("side"))
+    no = F.lit(False)
+    per_phrase = (
+        hits.unionByName(requests.select("doc_id", "ord", "phrase", F.lit("asked").alias("side")))
+        .groupBy("doc_id", "phrase")
+        .agg(
+            F.min("ord").alias("ord"),
+            F.coalesce(F.bool_or(F.col("side") == "after"), no).alias("found"),
+            F.coalesce(F.bool_or(F.col("side") == "before"), no).alias("known"),
+        )
     )
     listed = F.sort_array(F.collect_list(F.when(F.col("found"), F.struct("ord", "phrase"))))
-    return per_phrase.groupBy("doc_id").agg(
+    per_doc = per_phrase.groupBy("doc_id").agg(
         F.transform(listed, lambda p: p["phrase"]).alias("found"),
         F.sum(F.when(~F.col("known"), 1).otherwise(0)).alias("n_missing"),
         (F.bool_and(F.col("known")) & ~F.bool_or(F.col("found"))).alias("clean"),
     )
+    every = before.select("doc_id").unionByName(requests.select("doc_id")).distinct()
+    return every.join(per_doc, "doc_id", "left").select(
+        "doc_id",
+        F.coalesce("found", F.array().cast("array<string>")).alias("found"),
+        F.coalesce("n_missing", F.lit(0).cast("long")).alias("n_missing"),
+        F.coalesce("clean", no).alias("clean"),
+    )
 
 
 def annotation_text(annots: DataFrame) -> DataFrame:

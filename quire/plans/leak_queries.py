@@ -65,6 +65,7 @@ def requests(spark, folder):
     return (
         table(spark, folder, "conversations")
         .withColumn("nxt", F.coalesce(F.lead("text").over(order), F.lit("#end#")))
+        .where("conv_id % 10 <> 7")
         .selectExpr(
             "conv_id AS doc_id",
             "turn",
@@ -78,7 +79,8 @@ def requests(spark, folder):
 
 
 REQUESTS = """turns AS (
-  SELECT conv_id AS doc_id, turn, text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '#end#') AS nxt FROM conversations),
+  SELECT conv_id AS doc_id, turn, text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '#end#') AS nxt FROM conversations
+  WHERE conv_id % 10 <> 7),
 requests AS (
   SELECT doc_id, CAST(turn * 3 AS INT) AS ord, right(text, 12) || ' - ' || left(nxt, 12) AS phrase FROM turns
   UNION ALL SELECT doc_id, CAST(turn * 3 + 1 AS INT), substr(text, 5, 15) FROM turns
@@ -338,9 +340,11 @@ b AS (SELECT doc_id, replace({norm_sql("string_agg(text, chr(10) ORDER BY page)"
 a AS (SELECT doc_id, replace({norm_sql("string_agg(text, chr(10) ORDER BY page)")}, '-', '') AS t FROM after GROUP BY doc_id),
 r AS (SELECT doc_id, phrase, min(ord) AS ord, replace({norm_sql('phrase')}, '-', '') AS n FROM requests GROUP BY doc_id, phrase),
 j AS (SELECT r.*, n <> '' AND contains(a.t, n) AS found, n <> '' AND contains(b.t, n) AS known
-  FROM r JOIN a ON a.doc_id = r.doc_id JOIN b ON b.doc_id = r.doc_id)
-SELECT doc_id, coalesce(string_agg(CASE WHEN found THEN phrase END, '|' ORDER BY ord), '') AS found,
-  count(*) FILTER (WHERE NOT known) AS n_missing, bool_and(known) AND NOT bool_or(found) AS clean FROM j GROUP BY doc_id""",
+  FROM r JOIN a ON a.doc_id = r.doc_id JOIN b ON b.doc_id = r.doc_id),
+v AS (SELECT doc_id, coalesce(string_agg(CASE WHEN found THEN phrase END, '|' ORDER BY ord), '') AS found,
+  count(*) FILTER (WHERE NOT known) AS n_missing, bool_and(known) AND NOT bool_or(found) AS clean FROM j GROUP BY doc_id)
+SELECT b.doc_id, coalesce(found, '') AS found, coalesce(n_missing, 0) AS n_missing, coalesce(clean, false) AS clean
+FROM b LEFT JOIN v ON v.doc_id = b.doc_id""",
     ),
     "annotation_text": (
         annotation_text,

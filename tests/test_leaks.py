@@ -56,14 +56,19 @@ def test_agrees_with_a_plain_search_over_whole_documents(spark):
     assert {r["ord"] for r in got} == want
 
 
-def test_long_lists_take_the_join(spark, monkeypatch):
+def test_a_full_anchor_filter_changes_nothing(spark, monkeypatch):
     texts = ["alpha beta", "gamma delta-", "epsilon"]
-    phrases = ["beta gamma", "deltaepsilon", "a", "--", "-", "zeta", "alpha beta gamma delta epsilon"]
-    short = hits(spark, texts, phrases)
-    monkeypatch.setattr(leaks, "MAX_SHORT_LIST", 2)
-    assert hits(spark, texts, phrases) == short == {0, 1, 2, 4, 6}
-    monkeypatch.setattr(leaks, "MAX_HELD_LIST", 2)
-    assert hits(spark, texts, phrases) == short
+    phrases = ["beta gamma", "deltaepsilon", "a", "--", "-", "zeta", "alpha beta gamma delta epsilon", "et", "eta"]
+    wide = hits(spark, texts, phrases)
+    monkeypatch.setattr(leaks, "FILTER_WORDS", 1)
+    assert hits(spark, texts, phrases) == wide == {0, 1, 2, 4, 6, 7, 8}
+
+
+def test_long_list_and_long_phrase(spark):
+    long = "x1 y2 z3 " * 1500
+    texts = ["head " + long, long + " tail of it", "other page"]
+    phrases = [f"never {i}" for i in range(3000)] + [long.strip(), "head x1 y2", long + long, "tail of it other", "of it"]
+    assert hits(spark, texts, phrases) == {3000, 3001, 3002, 3003, 3004}
 
 
 def test_many_tiny_pages_make_one_phrase(spark):
@@ -83,6 +88,8 @@ def test_missing_and_verdict(spark):
     assert not verdict("Jane Roe", "John Smith")["clean"]
     both = verdict("Acme", "Jane Roe", "Acme")
     assert not both["clean"] and both["found"] == ["Acme"]
+    nothing = leaks.leak_verdict(before, after, ask()).collect()
+    assert [(r["doc_id"], r["found"], r["n_missing"], r["clean"]) for r in nothing] == [("d", [], 0, False)]
 
 
 def test_stable_text_really_is_stable():
