@@ -13,7 +13,7 @@ from quire.plans.registry import queries
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 # Compiles the plans before anything is timed, on small tables if there are any.
 WARM = os.environ.get("BENCH_WARM_DIR", os.path.join(os.path.dirname(FOLDER.rstrip("/")), "sf0.001"))

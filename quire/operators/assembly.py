@@ -30,6 +30,17 @@ class Outcome(NamedTuple):
     rejected: DataFrame
 
 
+# More than one request for a document where one is meant.
+DOUBLED = "more-than-one-request"
+
+
+def _single(requests: DataFrame, *names: str) -> DataFrame:
+    """One row per document: the number of its requests and the values of the only one."""
+    return requests.groupBy("out_doc").agg(
+        F.count("*").alias("_asked"), *[F.first(n).alias(n) for n in names]
+    )
+
+
 def totals(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("out_doc").agg(F.count("*").alias("n_pages"))
 
@@ -118,6 +129,7 @@ def rotate_pages(manifest: DataFrame, requests: DataFrame) -> Outcome:
         .groupBy("out_doc")
         .agg(
             F.when(F.bool_or(F.col("turn") % 90 != 0), "not-a-quarter-turn")
+            .when(F.count_distinct("page_index", "turn") > F.count_distinct("page_index"), "conflicting-turns")
             .when(~F.bool_or(_in_range()), "no-pages-selected")
             .alias("reason")
         )
@@ -178,9 +190,13 @@ def reorder_pages(manifest: DataFrame, order: DataFrame) -> Outcome:
 
 def move_page(manifest: DataFrame, moves: DataFrame) -> Outcome:
     """Move one page; ``dst`` counts after it is lifted out. ``moves``: out_doc, src, dst."""
+    moves = _single(moves, "src", "dst")
     verdicts = moves.join(totals(manifest), "out_doc", "left").select(
         "out_doc",
-        F.when(~_in_range("src"), "no-such-page").when(~_in_range("dst"), "no-such-place").alias("reason"),
+        F.when(F.col("_asked") > 1, DOUBLED)
+        .when(~_in_range("src"), "no-such-page")
+        .when(~_in_range("dst"), "no-such-place")
+        .alias("reason"),
     )
     pages, rejected = _settle(manifest, verdicts)
     p, a, b = F.col("position"), F.col("src"), F.col("dst")
@@ -235,11 +251,12 @@ def insert_blank(manifest: DataFrame, requests: DataFrame) -> Outcome:
     finite = lambda c: ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < F.lit(float("inf")))
     sized = F.col("new_width").isNotNull() | F.col("new_height").isNotNull()
     whole = F.coalesce(finite("new_width") & finite("new_height"), F.lit(False))
-    known = requests.join(totals(manifest), "out_doc", "left")
+    known = _single(requests, "at", "new_width", "new_height").join(totals(manifest), "out_doc", "left")
     fits = F.coalesce((F.col("at") >= 0) & (F.col("at") <= F.col("n_pages")), F.lit(False))
     verdicts = known.select(
         "out_doc",
-        F.when(~fits, "no-such-place")
+        F.when(F.col("_asked") > 1, DOUBLED)
+        .when(~fits, "no-such-place")
         .when(F.col("n_pages") + 1 > MAX_PAGES, "too-many-pages")
         .when(sized & ~whole, "bad-size")
         .alias("reason"),
@@ -275,7 +292,7 @@ def _merge_plan(inputs: DataFrame, sources: DataFrame) -> DataFrame:
     """Inputs with their page counts, wanted pages and reason, if refused."""
     counts = totals(sources).withColumnRenamed("out_doc", "src_doc")
     wanted = F.sort_array(F.array_distinct("pages"))
-    bad = F.size(F.filter("pages", lambda p: (p < 0) | (p >= F.col("n_pages"))))
+    bad = F.size(F.filter("pages", lambda p: p.isNull() | (p < 0) | (p >= F.col("n_pages"))))
     return (
         inputs.join(counts, "src_doc", "left")
         .withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
@@ -359,8 +376,12 @@ def split_at(manifest: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def split_every(manifest: DataFrame, sizes: DataFrame) -> Outcome:
     """Runs of ``n`` pages. ``sizes``: out_doc, n."""
+    sizes = _single(sizes, "n")
     verdicts = sizes.select(
-        "out_doc", F.when(~F.coalesce(F.col("n") >= 1, F.lit(False)), "bad-size").alias("reason")
+        "out_doc",
+        F.when(F.col("_asked") > 1, DOUBLED)
+        .when(~F.coalesce(F.col("n") >= 1, F.lit(False)), "bad-size")
+        .alias("reason"),
     )
     pages, rejected = _settle(manifest, verdicts)
     cut = (

@@ -7,7 +7,7 @@ name, kind (text, bool, list), v_text, v_bool, v_list.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.names import settle_names
 
@@ -75,8 +75,9 @@ def _given(values: DataFrame) -> DataFrame:
 def validate_fill(fields: DataFrame, values: DataFrame) -> DataFrame:
     """Values that cannot be filled in, each with its reason."""
     has_form = fields.select("doc_id").distinct().withColumn("_form", F.lit(True))
+    times = F.count("*").over(Window.partitionBy("doc_id", "name"))
     joined = (
-        _given(values)
+        _given(values).withColumn("_times", times)
         .join(fields.withColumn("_known", F.lit(True)), ["doc_id", "name"], "left")
         .join(has_form, "doc_id", "left")
     )
@@ -88,6 +89,7 @@ def validate_fill(fields: DataFrame, values: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("_form").isNull(), "no-form")
         .when(F.col("_known").isNull(), "no-such-field")
+        .when(F.col("_times") > 1, "more-than-one-value")
         .when(
             kind == "text",
             F.when(shape != "text", "wrong-shape").when(

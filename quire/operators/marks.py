@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.functions.text import strip_space
+
 from quire.functions.geometry import box_columns, rect_to_user, user_to_view, view_size, view_to_user
 from quire.functions.running import renumber
 from quire.operators.intake import fold_rotation
@@ -109,9 +111,10 @@ def place_images(marks: DataFrame, page_boxes: DataFrame) -> DataFrame:
     h = F.when(both | (F.col("width").isNull() & F.col("height").isNotNull()), F.col("height")).when(
         F.col("width").isNotNull(), F.col("width") * ratio
     ).otherwise(F.col("own_height"))
-    sized = on.where("own_width > 0 AND own_height > 0").withColumns({"_w": w, "_h": h})
+    sized = on.withColumns({"_w": w, "_h": h})
     px, py = view_to_user(F.col("x"), F.col("y") + F.col("_h"))
-    ok = (F.col("_w") > 0) & (F.col("_h") > 0)
+    known = F.coalesce((F.col("own_width") > 0) & (F.col("own_height") > 0), F.lit(False))
+    ok = known & F.coalesce((F.col("_w") > 0) & (F.col("_h") > 0), F.lit(False))
     return sized.select(
         *PLACE,
         "mark",
@@ -167,7 +170,8 @@ def fit_text(edits: DataFrame, glyph_widths: DataFrame) -> DataFrame:
 
     ``edits``: edit, text, room, size, squeeze. ``glyph_widths``: ch, em.
     Characters are counted per edit before they meet the widths, so a common
-    letter is one row per edit however often it occurs.
+    letter is one row per edit however often it occurs. A text with a character
+    that has no width cannot be drawn: ``no-such-glyph``, without sizes.
     """
     chars = (
         edits.select("edit", F.explode(F.split("text", "")).alias("ch"))
@@ -175,7 +179,12 @@ def fit_text(edits: DataFrame, glyph_widths: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     ems = (
-        chars.join(glyph_widths, "ch").groupBy("edit").agg(F.sum(F.col("n") * F.col("em")).alias("_ems"))
+        chars.join(glyph_widths, "ch", "left")
+        .groupBy("edit")
+        .agg(
+            F.sum(F.col("n") * F.col("em")).alias("_ems"),
+            F.bool_or(F.col("em").isNull() & (F.col("ch") != "")).alias("_missing"),
+        )
     )
     width = lambda size: F.coalesce("_ems", F.lit(0.0)) * F.coalesce("squeeze", F.lit(1.0)) * size
     room = F.abs("room")
@@ -197,12 +206,14 @@ def fit_text(edits: DataFrame, glyph_widths: DataFrame) -> DataFrame:
         "suggested", F.when(keep, start).otherwise(searched)
     )
     over = width(start) - room
+    drawn = ~F.coalesce("_missing", F.lit(False))
     return fitted.select(
         "edit",
-        (~(over > 0)).alias("fits"),
-        F.greatest(over, F.lit(0.0)).alias("overflow"),
-        "suggested",
-        F.when(width(start) <= room, None)
+        (drawn & ~(over > 0)).alias("fits"),
+        F.when(drawn, F.greatest(over, F.lit(0.0))).alias("overflow"),
+        F.when(drawn, F.col("suggested")).alias("suggested"),
+        F.when(~drawn, "no-such-glyph")
+        .when(width(start) <= room, None)
         .when(width(F.col("suggested")) > room, "overflows")
         .otherwise("shrunk")
         .alias("warning"),
@@ -230,7 +241,7 @@ def plan_edits(edits: DataFrame, docs: DataFrame, outcomes: DataFrame) -> tuple[
     sized = (F.abs("width") > 0) & (F.abs("height") > 0)
     key = ["doc_id", "page_index", "_kx", "_ky"]
     cut = (
-        fine.where(sized & (F.length(F.trim(F.coalesce("original", F.lit("")))) > 0))
+        fine.where(sized & (strip_space(F.coalesce("original", F.lit(""))) != ""))
         .join(outcomes.where("ok").select("doc_id", "edit"), ["doc_id", "edit"], "left_semi")
         .select(*key, F.lit(True).alias("_cut"))
         .distinct()

@@ -62,18 +62,21 @@ def read_metadata(info: DataFrame) -> DataFrame:
 
 
 def _patched(patches: DataFrame) -> DataFrame:
-    """Patches with the first date that is none, if any."""
+    """One patch per document, with the fault that refuses it, if any."""
+    patches = patches.groupBy("doc_id").agg(F.count("*").alias("_asked"), F.first("patch").alias("patch"))
     bad = lambda k: F.map_contains_key("patch", k) & (F.col("patch")[k] != "") & F.try_to_timestamp(
         F.col("patch")[k]
     ).isNull()
     return patches.withColumn(
         "_fault",
-        F.when(bad("created"), "created-is-no-date").when(bad("modified"), "modified-is-no-date"),
+        F.when(F.col("_asked") > 1, "more-than-one-request")
+        .when(bad("created"), "created-is-no-date")
+        .when(bad("modified"), "modified-is-no-date"),
     )
 
 
 def rejected_patches(patches: DataFrame) -> DataFrame:
-    """Documents whose patch names an impossible date."""
+    """Documents with two patches, or one that names an impossible date."""
     return _patched(patches).where("_fault IS NOT NULL").select("doc_id", F.col("_fault").alias("reason"))
 
 

@@ -145,6 +145,20 @@ def top_k(
     )
 
 
+def _vector_fault(dims: int) -> Column:
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (
+        F.when(F.col("embedding").isNull(), "no-vector")
+        .when(F.size("embedding") != dims, "wrong-length")
+        .when(odd, "not-a-number")
+    )
+
+
+def unusable_vectors(vectors: DataFrame, key: str, dims: int) -> DataFrame:
+    """Vectors that cannot be compared, each with its reason."""
+    return vectors.select(key, _vector_fault(dims).alias("reason")).where("reason IS NOT NULL")
+
+
 def dense_top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -153,18 +167,23 @@ def dense_top_k(
 ) -> DataFrame:
     """The same ranking for dense vectors from any embedder.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding, all of one
-    length.
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. All are as
+    long as the longest vector of ``queries``; others, and those with nulls or
+    numbers that are not finite, take no part (:func:`unusable_vectors`).
     """
     kind = dict(queries.dtypes)["query_id"]
+    dims = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+
+    def usable(df: DataFrame) -> DataFrame:
+        return df.where(_vector_fault(dims).isNull())
 
     def one_pass(batch: DataFrame) -> DataFrame:
         rows = batch.select("query_id", "embedding").collect()
-        weights = np.array([r["embedding"] for r in rows], dtype=float)
+        weights = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), dims)
         norm = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
         return best_matches(
-            vectors.select("vec_id", "embedding"),
-            unit_matrix("embedding", weights.shape[1]),
+            usable(vectors).select("vec_id", "embedding"),
+            unit_matrix("embedding", dims),
             ["vec_id"],
             ["vec_id"],
             [r["query_id"] for r in rows],
@@ -174,7 +193,7 @@ def dense_top_k(
             zeros=True,
         )
 
-    scored = reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(queries)])
+    scored = reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(usable(queries))])
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         scored.withColumn("rank", F.row_number().over(best))
@@ -252,11 +271,12 @@ def ask_batch(
             F.lit(None).cast("array<int>").alias("cited"),
         )
     else:
-        said = answers.select(
-            "query_id",
-            F.coalesce("found", F.lit(False)).alias("said"),
-            F.col("answer").alias("reply"),
-            "citations",
+        # Two replies to one question support nothing.
+        once = F.count("*") == 1
+        said = answers.groupBy("query_id").agg(
+            (F.coalesce(F.first("found"), F.lit(False)) | ~once).alias("said"),
+            F.first("answer").alias("reply"),
+            F.when(once, F.first("citations")).alias("citations"),
         )
         asked = asked.join(said, "query_id", "left").withColumn(
             "cited", valid_citations(F.col("citations"), F.size("gated"))

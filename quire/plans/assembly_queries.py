@@ -74,7 +74,10 @@ def format_ranges(spark, folder):
 
 
 def rotate_pages(spark, folder):
-    return _report(asm.rotate_pages(fx.manifest(spark, folder), _selected(spark, folder)))
+    """Some documents are asked for two turns of one page."""
+    asked = _selected(spark, folder)
+    again = asked.where("out_doc % 17 = 4").withColumn("turn", F.col("turn") + 90)
+    return _report(asm.rotate_pages(fx.manifest(spark, folder), asked.unionByName(again)))
 
 
 def _doomed(spark, folder):
@@ -101,7 +104,7 @@ def reorder_pages(spark, folder):
 
 
 def move_page(spark, folder):
-    moves = _talk(spark, folder).where("turn = 0").selectExpr(
+    moves = _talk(spark, folder).where("turn = 0 OR turn = 1 AND conv_id % 16 = 3").selectExpr(
         "conv_id AS out_doc",
         "int(CASE WHEN conv_id % 8 = 0 THEN 99 ELSE conv_id % n END) AS src",
         "int(CASE WHEN conv_id % 8 = 1 THEN -1 ELSE (conv_id * 3 + 1) % n END) AS dst",
@@ -118,7 +121,7 @@ def extract_pages(spark, folder):
 
 
 def insert_blank(spark, folder):
-    asked = _talk(spark, folder).where("turn = 0").selectExpr(
+    asked = _talk(spark, folder).where("turn = 0 OR turn = 1 AND conv_id % 16 = 5").selectExpr(
         "conv_id AS out_doc",
         "int(conv_id % (n + 2)) AS at",
         "CASE WHEN conv_id % 4 < 2 THEN 300.0D END AS new_width",
@@ -186,7 +189,7 @@ def split_at(spark, folder):
 
 
 def split_every(spark, folder):
-    sizes = table(spark, folder, "conversations").where("turn = 0").selectExpr(
+    sizes = table(spark, folder, "conversations").where("turn = 0 OR turn = 1 AND conv_id % 16 = 6").selectExpr(
         "conv_id AS out_doc", "int(conv_id % 4) AS n"
     )
     out = asm.split_every(fx.manifest(spark, folder), sizes)
@@ -332,7 +335,7 @@ SELECT d.conv_id AS doc_id, coalesce(t, 'none') AS ranges FROM (SELECT DISTINCT
     "rotate_pages": (
         rotate_pages,
         f"""{_W}, {SELECTED}, v AS (SELECT out_doc, CASE WHEN any_value(turn) % 90 <> 0 THEN 'not-a-quarter-turn'
-  WHEN out_doc % 13 = 0 THEN 'no-pages-selected' END AS reason FROM sel GROUP BY out_doc)
+  WHEN out_doc % 17 = 4 THEN 'conflicting-turns' WHEN out_doc % 13 = 0 THEN 'no-pages-selected' END AS reason FROM sel GROUP BY out_doc)
 SELECT m.out_doc, position, src_doc, src_page, (rotation + coalesce(s.turn, 0) + 720) % 360 AS rotation, width, height, NULL AS reason
 FROM manifest m JOIN v ON v.out_doc = m.out_doc AND v.reason IS NULL LEFT JOIN sel s ON s.out_doc = m.out_doc AND s.page_index = m.position
 UNION ALL SELECT out_doc, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM v WHERE reason IS NOT NULL""",
@@ -369,7 +372,7 @@ UNION ALL SELECT out_doc, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM v WHER
         move_page,
         f"""{_W}, mv AS (SELECT conv_id AS out_doc, n, CASE WHEN conv_id % 8 = 0 THEN 99 ELSE conv_id % n END AS src,
   CASE WHEN conv_id % 8 = 1 THEN -1 ELSE (conv_id * 3 + 1) % n END AS dst FROM talk WHERE turn = 0),
-v AS (SELECT *, CASE WHEN src >= n THEN 'no-such-page' WHEN dst < 0 THEN 'no-such-place' END AS reason FROM mv),
+v AS (SELECT *, CASE WHEN out_doc % 16 = 3 AND n > 1 THEN 'more-than-one-request' WHEN src >= n THEN 'no-such-page' WHEN dst < 0 THEN 'no-such-place' END AS reason FROM mv),
 keyed AS (SELECT m.*, CASE WHEN m.position = src THEN dst + CASE WHEN dst > src THEN 0.5 ELSE -0.5 END ELSE m.position END AS k
   FROM manifest m JOIN v ON v.out_doc = m.out_doc AND v.reason IS NULL)
 SELECT out_doc, row_number() OVER (PARTITION BY out_doc ORDER BY k) - 1 AS position, src_doc, src_page, rotation, width, height, NULL AS reason FROM keyed
@@ -385,7 +388,7 @@ UNION ALL SELECT out_doc, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM v WHER
     ),
     "insert_blank": (
         insert_blank,
-        f"""{_W}, q AS (SELECT conv_id AS out_doc, n, conv_id % (n + 2) AS spot, CASE WHEN conv_id % (n + 2) > n THEN 'no-such-place' WHEN conv_id % 4 = 1 THEN 'bad-size' END AS reason
+        f"""{_W}, q AS (SELECT conv_id AS out_doc, n, conv_id % (n + 2) AS spot, CASE WHEN conv_id % 16 = 5 AND n > 1 THEN 'more-than-one-request' WHEN conv_id % (n + 2) > n THEN 'no-such-place' WHEN conv_id % 4 = 1 THEN 'bad-size' END AS reason
   FROM talk WHERE turn = 0)
 SELECT m.out_doc, position + (position >= spot)::INT AS position, src_doc, src_page, rotation, width, height, NULL AS reason
 FROM manifest m JOIN q ON q.out_doc = m.out_doc AND q.reason IS NULL
@@ -414,8 +417,10 @@ UNION ALL SELECT out_doc, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM verdic
     "split_at": (split_at, f"{_W}, {CUT} SELECT out_doc, part, n_parts, position, src_page FROM parts"),
     "split_every": (
         split_every,
-        f"""{_W} SELECT out_doc, position // (out_doc % 4) AS part, ceil(count(*) OVER (PARTITION BY out_doc) / (out_doc % 4))::BIGINT AS n_parts,
-  position % (out_doc % 4) AS position, src_page, NULL AS reason FROM manifest WHERE out_doc % 4 > 0
+        f"""{_W}, twice AS (SELECT out_doc FROM manifest WHERE out_doc % 16 = 6 GROUP BY out_doc HAVING count(*) > 1)
+SELECT out_doc, position // (out_doc % 4) AS part, ceil(count(*) OVER (PARTITION BY out_doc) / (out_doc % 4))::BIGINT AS n_parts,
+  position % (out_doc % 4) AS position, src_page, NULL AS reason FROM manifest WHERE out_doc % 4 > 0 AND out_doc NOT IN (SELECT out_doc FROM twice)
+UNION ALL SELECT out_doc, NULL, NULL, NULL, NULL, 'more-than-one-request' FROM twice
 UNION ALL SELECT DISTINCT out_doc, NULL, NULL, NULL, NULL, 'bad-size' FROM manifest WHERE out_doc % 4 = 0""",
     ),
     "split_by_ranges": (

@@ -46,7 +46,7 @@ def blocks(spark, folder):
 
 def block_at(spark, folder):
     """Twelve clicks on every page."""
-    pages = fx.runs(spark, folder).where("seq % 400 = 1").select("doc_id", "page")
+    pages = fx.runs(spark, folder).select("doc_id", "page").distinct()
     points = pages.selectExpr(
         "doc_id", "page", "explode(sequence(0, 11)) AS point"
     ).selectExpr(
@@ -60,7 +60,7 @@ def block_at(spark, folder):
 
 def locate_citations(spark, folder):
     placed = intake.place_runs(fx.runs(spark, folder))
-    sources = fx.runs(spark, folder).where("seq % 400 = 1").selectExpr(
+    sources = fx.runs(spark, folder).select("doc_id", "page").distinct().selectExpr(
         "doc_id", "page", "explode(array(0, 1)) AS cite"
     ).selectExpr("doc_id", "page", "cite", "int(doc_id % 300 + cite * 90) AS start", "int(doc_id % 300 + cite * 90 + 40) AS end")
     return layout.locate_citations(sources, placed).select("doc_id", "page", "cite", "seq", "str")
@@ -145,13 +145,14 @@ def page_labels(spark, folder):
 
 
 def fit_text(spark, folder):
-    """First words of every document against a box; widths known for ASCII letters."""
+    """Whole documents against a box; widths known for most of their characters."""
     edits = table(spark, folder, "documents").selectExpr(
-        "doc_id AS edit", "CASE WHEN doc_id % 50 = 0 THEN '' ELSE left(text, int(doc_id % 40 + 1)) END AS text",
-        "double(doc_id % 120 - 10) AS room", "double(8 + doc_id % 7) AS size",
+        "doc_id AS edit", "CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END AS text",
+        "n_chars * double(doc_id % 9 - 1) AS room", "double(8 + doc_id % 7) AS size",
         "CASE WHEN doc_id % 4 = 0 THEN 0.9D END AS squeeze",
     )
-    letters = spark.range(26).selectExpr("char(97 + id) AS ch", "0.3D + id * 0.01D AS em")
+    # Known: all of Latin-1 but the dollar sign.
+    letters = spark.range(10, 256).where("id <> 36").selectExpr("char(id) AS ch", "0.3D + id % 26 * 0.01D AS em")
     out = marks.fit_text(edits, letters)
     return out.select(
         "edit", "fits", F.round("overflow", 6).alias("overflow"), F.round("suggested", 6).alias("suggested"), "warning"
@@ -253,16 +254,18 @@ QUERIES = {
     "block_at": (
         block_at,
         f"""{BLOCKS}, pts AS (SELECT doc_id, page, point, 70 + (doc_id * 31 + point * 97) % 500 AS px, 70 + (doc_id * 17 + point * 61) % 720 AS py
-  FROM (SELECT doc_id, page, CAST(unnest(range(12)) AS INT) AS point FROM runs WHERE seq % 400 = 1))
+  FROM (SELECT doc_id, page, CAST(unnest(range(12)) AS INT) AS point FROM (SELECT DISTINCT doc_id, page FROM runs)))
 SELECT p.doc_id, p.page, p.point, b.block_no FROM pts p JOIN blocks b ON b.doc_id = p.doc_id AND b.page = p.page
   AND px >= x - 2 AND px <= x + width + 2 AND py >= y - 2 AND py <= y + height + 2
 QUALIFY row_number() OVER (PARTITION BY p.doc_id, p.page, p.point ORDER BY width * height, b.block_no) = 1""",
     ),
     "locate_citations": (
         locate_citations,
-        f"""{fx.with_('runs')}, {PLACED}, src AS (SELECT doc_id, page, CAST(unnest([0, 1]) AS INT) AS cite FROM runs WHERE seq % 400 = 1)
-SELECT p.doc_id, p.page, s.cite, p.seq, p.str FROM placed p JOIN src s ON s.doc_id = p.doc_id AND s.page = p.page
-  AND p.start < p.doc_id % 300 + s.cite * 90 + 40 AND p.stop > p.doc_id % 300 + s.cite * 90 WHERE trim(p.str) <> ''""",
+        f"""{fx.with_('runs')}, {PLACED.replace('AS (', 'AS MATERIALIZED (', 1)},
+src AS (SELECT doc_id, page, cite, doc_id % 300 + cite * 90 AS a, doc_id % 300 + cite * 90 + 40 AS b
+  FROM (SELECT DISTINCT doc_id, page FROM placed) CROSS JOIN (SELECT 0 AS cite UNION ALL SELECT 1)),
+met AS MATERIALIZED (SELECT p.doc_id, p.page, s.cite, p.seq, p.str, p.start, p.stop, s.a, s.b FROM placed p JOIN src s ON s.doc_id = p.doc_id AND s.page = p.page)
+SELECT doc_id, page, cite, seq, str FROM met WHERE start < b AND stop > a""",
     ),
     "points_to_user": (
         points_to_user,
@@ -320,17 +323,20 @@ FROM s WHERE page_index < n""",
     "fit_text": (
         fit_text,
         """WITH RECURSIVE e AS (
-  SELECT doc_id AS edit, CASE WHEN doc_id % 50 = 0 THEN '' ELSE left(text, CAST(doc_id % 40 + 1 AS INT)) END AS text, abs(CAST(doc_id % 120 - 10 AS DOUBLE)) AS room,
+  SELECT doc_id AS edit, CASE WHEN doc_id % 50 = 0 THEN '' ELSE text END AS text, abs(CAST(n_chars * (doc_id % 9 - 1) AS DOUBLE)) AS room,
     CAST(8 + doc_id % 7 AS DOUBLE) AS size, CASE WHEN doc_id % 4 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS q FROM documents),
-ch AS (SELECT edit, unnest(string_split(text, '')) AS c FROM e),
-w AS (SELECT e.*, q * coalesce((SELECT sum(0.3::DOUBLE + (ascii(c) - 97) * 0.01::DOUBLE) FROM ch WHERE ch.edit = e.edit AND c BETWEEN 'a' AND 'z' AND length(c) = 1 AND ascii(c) BETWEEN 97 AND 122), 0) AS ems FROM e),
+ch AS (SELECT edit, c, count(*) AS n FROM (SELECT edit, unnest(string_split(text, '')) AS c FROM e) GROUP BY edit, c),
+em AS (SELECT edit, sum(n * (0.3::DOUBLE + unicode(c) % 26 * 0.01::DOUBLE)) AS s, bool_or(unicode(c) NOT BETWEEN 10 AND 255 OR c = '$') AS missing
+  FROM ch WHERE c <> '' GROUP BY edit),
+w AS (SELECT e.*, q * coalesce(s, 0) AS ems, coalesce(missing, false) AS missing FROM e LEFT JOIN em USING (edit)),
 bis AS (
   SELECT edit, 0 AS i, size * 0.6 AS low, size AS high FROM w
   UNION ALL SELECT b.edit, i + 1, CASE WHEN ems * (low + high) / 2 <= room THEN (low + high) / 2 ELSE low END,
     CASE WHEN ems * (low + high) / 2 <= room THEN high ELSE (low + high) / 2 END FROM bis b JOIN w ON w.edit = b.edit WHERE i < 20),
 f AS (SELECT w.*, CASE WHEN NOT room > 0 OR text = '' OR ems * size <= room THEN size ELSE floor(low * 100 + 1e-6) / 100 END AS sug FROM w JOIN bis b ON b.edit = w.edit AND i = 20)
-SELECT edit, ems * size <= room AS fits, round(greatest(ems * size - room, 0), 6) AS overflow, round(sug, 6) AS suggested,
-  CASE WHEN ems * size <= room THEN NULL WHEN ems * sug > room THEN 'overflows' ELSE 'shrunk' END AS warning FROM f""",
+SELECT edit, NOT missing AND ems * size <= room AS fits, CASE WHEN NOT missing THEN round(greatest(ems * size - room, 0), 6) END AS overflow,
+  CASE WHEN NOT missing THEN round(sug, 6) END AS suggested,
+  CASE WHEN missing THEN 'no-such-glyph' WHEN ems * size <= room THEN NULL WHEN ems * sug > room THEN 'overflows' ELSE 'shrunk' END AS warning FROM f""",
     ),
     "plan_edits": (
         plan_edits,

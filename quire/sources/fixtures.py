@@ -183,5 +183,5 @@ runs AS (
 
 
 def with_(*names: str) -> str:
-    """WITH clause made of the named derivations."""
+    """WITH list made of the named derivations."""
     return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in names)

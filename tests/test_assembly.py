@@ -166,3 +166,28 @@ def test_image_pages(spark):
     fit = asm.plan_image_pages(images, ask("letter", 36.0)).manifest.orderBy("position").collect()
     assert fit[1]["width"] == 540.0 and fit[1]["x"] == 36.0 and fit[1]["y"] == 126.0
     assert reasons(asm.plan_image_pages(images, ask("a4", 300.0))) == {"a": "no-room"}
+
+
+def test_doubled_requests_are_refused(spark):
+    """Two requests where one is meant never multiply pages."""
+    m = book(spark, d=3, e=3)
+    turns = spark.createDataFrame([("d", 0, 90), ("d", 0, 180), ("e", 0, 90), ("e", 0, 90)], "out_doc string, page_index int, turn int")
+    out = asm.rotate_pages(m, turns)
+    assert reasons(out) == {"d": "conflicting-turns"} and out.manifest.count() == 3
+    moves = spark.createDataFrame([("d", 0, 1), ("d", 0, 2), ("e", 0, 2)], "out_doc string, src int, dst int")
+    out = asm.move_page(m, moves)
+    assert reasons(out) == {"d": asm.DOUBLED} and order(out.manifest, "e") == [1, 2, 0]
+    blanks = spark.createDataFrame([("d", 0, None, None), ("d", 1, None, None), ("e", 3, None, None)], "out_doc string, at int, new_width double, new_height double")
+    out = asm.insert_blank(m, blanks)
+    assert reasons(out) == {"d": asm.DOUBLED} and out.manifest.count() == 4
+    sizes = spark.createDataFrame([("d", 2), ("d", 2), ("e", 2)], "out_doc string, n int")
+    out = asm.split_every(m, sizes)
+    assert reasons(out) == {"d": asm.DOUBLED} and out.manifest.count() == 3
+
+
+def test_merge_refuses_a_null_page(spark):
+    inputs = spark.createDataFrame(
+        [("o", 0, "d", "first", [None, 0]), ("o", 1, "e", "second", None)],
+        "out_doc string, input_ord int, src_doc string, name string, pages array<int>",
+    )
+    assert reasons(asm.merge_docs(inputs, book(spark, d=3, e=2))) == {"o": "no-such-page: first"}

@@ -119,7 +119,7 @@ def test_fit_shrinks_to_a_floor(spark):
     assert not got[2]["fits"] and got[2]["suggested"] == 9.99 or got[2]["suggested"] == 10.0
     assert got[2]["warning"] == "shrunk" and got[2]["overflow"] == pytest.approx(10.0)
     assert got[3]["suggested"] == 7.2 and got[3]["warning"] == "overflows"
-    assert got[4]["fits"] and got[5]["fits"]
+    assert got[4]["fits"] and not got[5]["fits"] and got[5]["warning"] == "no-such-glyph"
 
 
 def test_labels_count_to_the_last_number_printed(spark):
@@ -129,3 +129,11 @@ def test_labels_count_to_the_last_number_printed(spark):
     assert [(r["page_index"], r["label"]) for r in got] == [(0, "1 of 3"), (2, "2 of 3"), (4, "3 of 3")]
     late = marks.page_labels(picked, docs, "{n} of {total}", start=7).orderBy("page_index").collect()
     assert late[0]["label"] == "7 of 9"
+
+
+def test_text_without_a_glyph_does_not_fit(spark):
+    widths = spark.createDataFrame([("a", 0.5)], "ch string, em double")
+    edits = spark.createDataFrame([(1, "AAAA", 5.0, 12.0, None), (2, "a", 50.0, 12.0, None)], "edit int, text string, room double, size double, squeeze double")
+    got = {r["edit"]: r for r in marks.fit_text(edits, widths).collect()}
+    assert not got[1]["fits"] and got[1]["warning"] == "no-such-glyph" and got[1]["suggested"] is None
+    assert got[2]["fits"] and got[2]["warning"] is None

@@ -104,10 +104,10 @@ def test_a_third_of_all_chunks_may_be_copies(spark, monkeypatch):
     from quire.functions import scoring
 
     monkeypatch.setattr(scoring, "BLOCK_ROWS", 16)
-    texts = [("same late fee clause" if i % 3 == 0 else f"other words {i} late") for i in range(600)]
+    texts = [("same late fee sentence" if i % 3 == 0 else f"other words {i} late") for i in range(600)]
     rows = [(i, f"d{i}", 1, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id int, doc_name string, page int, text string").repartition(7)
-    asked = spark.createDataFrame([(1, "same late fee clause")], "query_id int, question string")
+    asked = spark.createDataFrame([(1, "same late fee sentence")], "query_id int, question string")
     hits = retrieval.top_k(chunking.chunk_documents(df), asked, 5).orderBy("rank").collect()
     assert [h["doc_id"] for h in hits] == [0, 3, 6, 9, 12]
     assert {h["score"] for h in hits} == {1.0}
@@ -142,3 +142,22 @@ def test_model_output_is_untrusted(spark):
     assert rows[1]["found"] and rows[1]["citations"] == [0.0, 1.5] and rows[1]["reason"] is None
     assert rows[2]["reason"] == rows[3]["reason"] == "unparseable"
     assert rows[4]["found"] is False and rows[4]["citations"] == []
+
+
+def test_dense_vectors_that_cannot_be_compared(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [float("nan"), 1.0]), (5, [0.5, None]), (6, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    asked = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, embedding array<double>")
+    hits = retrieval.dense_top_k(vectors, asked).collect()
+    assert [(h["vec_id"], h["score"]) for h in sorted(hits, key=lambda h: h["rank"])] == [(1, 1.0), (6, 0.0)]
+    faults = {r["vec_id"]: r["reason"] for r in retrieval.unusable_vectors(vectors, "vec_id", 2).collect()}
+    assert faults == {2: "no-vector", 3: "wrong-length", 4: "not-a-number", 5: "not-a-number"}
+    assert retrieval.dense_top_k(vectors, asked.limit(0)).count() == 0
+
+
+def test_two_replies_support_nothing(spark, lease):
+    asked = spark.createDataFrame([(1, "What is the late fee?")], "query_id int, question string")
+    gated = retrieval.relevance_gate(retrieval.top_k(chunking.chunk_documents(lease), asked), asked, lease)
+    said = spark.createDataFrame([(1, True, "one", [0.0]), (1, False, "two", [0.0])], "query_id int, found boolean, answer string, citations array<double>")
+    rows = retrieval.ask_batch(asked, gated, said).collect()
+    assert len(rows) == 1 and (rows[0]["mode"], rows[0]["answer"]) == ("abstain", retrieval.ABSTAIN_TEXT)
