@@ -4,7 +4,9 @@ Lines are cut at ``\\n`` and compared without blanks, tabs and carriage returns
 lines take no part and stay. Every three consecutive lines of a document form a window, known by a
 128-bit hash. Windows that occur more than once in the whole corpus are found by an aggregation
 that first combines on the map side; the first occurrence, by ``doc_id`` and then by position,
-stays. Each later occurrence covers its three lines, and the union of what is covered is taken out.
+stays. Each later occurrence covers its three lines, and the union of what is covered is taken out. Only
+documents that may have such lines (a Bloom filter of their ids tells) are shuffled to meet them;
+the others pass straight through.
 
 A document whose lines are all taken out is left with an empty text, or dropped with
 ``drop_emptied``. Documents with fewer than three lines, null texts and rows with a null ``doc_id``
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import bloom
 from quire.llm.shared import store
 
 WINDOW = 3
@@ -67,7 +70,8 @@ def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def dedup_lines(docs: DataFrame, width: int = WINDOW, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the covered lines taken out of ``text``; all columns are kept."""
     out = covered(docs, width).withColumnsRenamed({"id": "__covered_id", "lines": _COVERED})
-    joined = docs.join(out, docs["doc_id"] == out["__covered_id"], "left").drop("__covered_id")
+    passed, maybe = bloom.split(docs, "doc_id", out)
+    joined = maybe.join(out, F.col("doc_id") == F.col("__covered_id"), "left").drop("__covered_id")
     text_at = docs.columns.index("text")
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -93,7 +97,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, drop_emptied: bool = False
             yield edited
 
     kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return joined.mapInArrow(run, kept)
+    return passed.unionByName(joined.mapInArrow(run, kept))
 
 
 def without(text: str, gone: set[int]) -> str:
