@@ -40,15 +40,15 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def compare_in_buckets(
-    members: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    members: DataFrame, compare: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 ) -> DataFrame:
     """Pairs ``a < b`` of members that share a bucket and pass ``compare``.
 
     ``members`` has ``bucket, n`` (its size), ``id, mark`` (long) and ``payload`` (binary); only
     payloads of one length are compared. A bucket is split into blocks of about ``BLOCK`` members by
     a hash of the id, and every two blocks meet in one group, so no group grows with the bucket.
-    ``compare`` gets marks and payloads (rows of bytes) of both sides and gives a boolean matrix;
-    nothing but the pairs it accepts leaves a task.
+    ``compare`` gets the bucket, and marks and payloads (rows of bytes) of both sides, and gives a
+    boolean matrix; nothing but the pairs it accepts leaves a task.
     """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -92,7 +92,9 @@ def _starts(table: pa.Table) -> np.ndarray:
 
 
 def _groups(table, starts, compare, schema):
-    ids, marks, own, i, j, size = (table[c].to_numpy() for c in ("id", "mark", "own", "i", "j", "size"))
+    bucket, ids, marks, own, i, j, size = (
+        table[c].to_numpy() for c in ("bucket", "id", "mark", "own", "i", "j", "size")
+    )
     flat = np.frombuffer(b"".join(table["payload"].to_pylist()), np.uint8)
     place = np.cumsum(size, dtype=np.int64) - size
     lefts, rights = [], []
@@ -104,7 +106,7 @@ def _groups(table, starts, compare, schema):
         key, mark, block = ids[group], marks[group], own[group]
         same = i[begin] == j[begin]
         x, y = (slice(None),) * 2 if same else (block == i[begin], block == j[begin])
-        good = compare(mark[x], payload[x], mark[y], payload[y])
+        good = compare(int(bucket[begin]), mark[x], payload[x], mark[y], payload[y])
         good &= (key[x][:, None] < key[y][None]) if same else (key[x][:, None] != key[y][None])
         p, q = np.nonzero(good)
         lefts.append(key[x][p])

@@ -112,7 +112,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     full = store(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = entries.join(full, "bucket").join(_binary(members), "id").withColumn("mark", F.lit(0).cast("long"))
 
-    def close(mark_x, x, mark_y, y):
+    def close(bucket, mark_x, x, mark_y, y):
         p, q = (np.ascontiguousarray(v).view(np.float64) for v in (x, y))
         return (p / np.linalg.norm(p, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T >= cosine
 

@@ -134,7 +134,7 @@ def test_buckets_larger_than_a_block(spark):
     """Every two members of a large bucket meet once."""
     rows = [(1, 300, i, 0, bytes([i % 3])) for i in range(300)] + [(2, 1, 7, 0, b"\1")]
     members = spark.createDataFrame(rows, "bucket long, n long, id long, mark long, payload binary")
-    met = components.compare_in_buckets(members, lambda mx, x, my, y: x[:, 0][:, None] == y[:, 0][None])
+    met = components.compare_in_buckets(members, lambda bucket, mx, x, my, y: x[:, 0][:, None] == y[:, 0][None])
     assert met.count() == 3 * (100 * 99 // 2)
 
 
