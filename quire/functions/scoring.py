@@ -1,8 +1,9 @@
-"""Dot products of many rows with a small set of queries, inside Spark tasks.
+"""Dot products of many rows with many queries, inside Spark tasks.
 
-Spark partitions the rows; a task multiplies its batches with the query matrix
-and keeps, per query, the best rows it has seen. What leaves a task is at most
-``k`` rows per query, so the ranking shuffle does not depend on the row count.
+Spark partitions the rows; a task multiplies blocks of them with blocks of
+queries and keeps, per query, the best rows it has seen. What leaves a task is
+at most ``k`` rows per query as long as the queries fit one block, and per block
+of rows beyond that; nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -47,51 +48,81 @@ def unit_matrix(column: str, dims: int) -> Callable:
     return read
 
 
+def _packed(column: str, limit: int) -> Callable:
+    """Task that turns its rows into Arrow streams of at most ``limit`` rows, one a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), limit):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(at, limit))
+                stream = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([stream], names=[column])
+
+    return run
+
+
+def _unpacked(stream: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(stream).read_next_batch()
+
+
 def best_matches(
     rows: DataFrame,
     read: Callable,
     keep: list[str],
     order: list[str],
-    ids: list,
-    id_type: str,
-    weights: np.ndarray,
+    queries: DataFrame,
+    read_queries: Callable,
     k: int | None = None,
     floor: float = 0.0,
     zeros: bool = False,
 ) -> DataFrame:
     """``keep`` columns, query_id and score of every pair worth ranking.
 
-    With ``k`` each task returns its best ``k`` rows per query, ties by
-    ``order``; without it every pair that reaches ``floor``. Scores are clamped
-    to [0, 1] and rounded to twelve places before anything is compared. Pairs
-    that score zero are left out unless ``zeros``.
+    The queries, any number of them, are a table too: rows and queries are
+    packed into blocks, each block of rows meets each block of queries, and a
+    task multiplies the two. With ``k`` it returns its best ``k`` rows per query,
+    ties by ``order``; without it every pair that reaches ``floor``. Scores are
+    clamped to [0, 1] and rounded to twelve places before anything is compared.
+    Pairs that score zero are left out unless ``zeros``.
     """
+    types = dict(rows.dtypes)
+    id_type = dict(queries.dtypes)["query_id"]
     id_arrow = to_arrow_type(T.DataType.fromDDL(id_type))
-    wide = weights.T.copy()
-    n_queries = len(ids)
+    limit = BLOCK_ROWS
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Query ids, kept columns and scores of two blocks; the ids object is the same while the queries are."""
+        seen, ids, weights = None, None, None
         for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                scores = np.round(np.clip(read(part) @ wide, 0.0, 1.0), 12)
-                yield pa.Table.from_batches([part]).select(keep), scores
-
-    def shaped(held: pa.Table, query: np.ndarray, score: np.ndarray) -> list[pa.RecordBatch]:
-        labels = pa.array(ids, id_arrow).take(pa.array(query))
-        full = held.append_column("query_id", labels).append_column("score", pa.array(score))
+            for stream, block in zip(batch.column(0), batch.column(1), strict=True):
+                asked = block.as_py()
+                if asked != seen:
+                    part = _unpacked(asked)
+                    seen, ids, weights = asked, part.column("query_id").cast(id_arrow), read_queries(part).T.copy()
+                part = _unpacked(stream.as_py())
+                scores = np.round(np.clip(read(part) @ weights, 0.0, 1.0), 12)
+                yield ids, pa.Table.from_batches([part]).select(keep), scores
+
+    def shaped(held: pa.Table, ids: pa.Array, query: np.ndarray, score: np.ndarray) -> list[pa.RecordBatch]:
+        full = held.append_column("query_id", ids.take(pa.array(query))).append_column("score", pa.array(score))
         return full.combine_chunks().to_batches()
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, scores in blocks(batches):
+        for ids, held, scores in met(batches):
             row, query = np.nonzero((scores >= floor) & (zeros | (scores > 0)))
             if len(row):
-                yield from shaped(held.take(pa.array(row)), query, scores[row, query])
+                yield from shaped(held.take(pa.array(row)), ids, query, scores[row, query])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, query, score = None, np.empty(0, int), np.empty(0)
-        bar = np.full(n_queries, floor)
-        for held, scores in blocks(batches):
+        current, kept, query, score, bar = None, None, None, None, None
+        for ids, held, scores in met(batches):
+            if ids is not current:
+                if kept is not None:
+                    yield from shaped(kept, current, query, score)
+                current, kept, query, score = ids, None, np.empty(0, int), np.empty(0)
+                bar = np.full(len(ids), floor)
             n = len(scores)
             reach = np.partition(scores, n - k, axis=0)[n - k] if n > k else bar
             row, found = np.nonzero((scores >= np.maximum(bar, reach)) & (zeros | (scores > 0)))
@@ -110,8 +141,10 @@ def best_matches(
             full = ranked[nth == k - 1]
             bar[full["_q"].to_numpy()] = full["_s"].to_numpy()
         if kept is not None:
-            yield from shaped(kept, query, score)
+            yield from shaped(kept, current, query, score)
 
-    types = dict(rows.dtypes)
+    blocks = rows.mapInArrow(_packed("rows", limit), "rows binary").crossJoin(
+        queries.mapInArrow(_packed("queries", limit), "queries binary")
+    )
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", query_id {id_type}, score double"
-    return rows.mapInArrow(best if k else every, schema)
+    return blocks.mapInArrow(best if k else every, schema)

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.scoring import best_matches, sparse_matrix, unit_matrix
@@ -14,8 +10,6 @@ from quire.functions.text import FEATURE_DIMS, hash_features, l2_normalize, toke
 TOP_K = 6
 MIN_RELEVANCE = 0.03
 MIN_RELEVANCE_DENSE = 0.25
-# Queries are held by every task; a larger set takes more passes over the chunks.
-MAX_QUERIES_PER_PASS = 2000
 
 ABSTAIN_TEXT = "The documents do not seem to answer this; the closest passages are listed."
 EXTRACT_TEXT = "These passages match the question best."
@@ -36,26 +30,6 @@ def with_features(chunks: DataFrame, dims: int = FEATURE_DIMS) -> DataFrame:
     )
 
 
-def _passes(queries: DataFrame) -> list[DataFrame]:
-    """The queries in sets small enough to be held by every task."""
-    n = math.ceil(queries.count() / MAX_QUERIES_PER_PASS)
-    if n <= 1:
-        return [queries]
-    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [queries.where(part == i) for i in range(n)]
-
-
-def query_matrix(queries: DataFrame, dims: int = FEATURE_DIMS) -> tuple[list, np.ndarray]:
-    """Ids and unit vectors of one pass of queries, as rows of a matrix."""
-    features = l2_normalize(hash_features(tokens(F.col("question")), dims))
-    rows = queries.select("query_id", features.alias("f")).collect()
-    out = np.zeros((len(rows), dims))
-    for i, row in enumerate(rows):
-        for bucket, weight in row["f"]:
-            out[i, bucket] = weight
-    return [row["query_id"] for row in rows], out
-
-
 def score_chunks(
     chunks: DataFrame,
     queries: DataFrame,
@@ -66,28 +40,25 @@ def score_chunks(
 ) -> DataFrame:
     """Positive cosine scores of (query, chunk) pairs, exact.
 
-    The chunks stay where they are: each task multiplies its own with the query
-    vectors. With ``k`` it gives back its best ``k`` per query, otherwise all
-    pairs that reach ``floor``. Queries beyond one pass take another pass.
+    The chunks stay where they are and are read once, whatever the number of
+    queries. With ``k`` each task gives back its best ``k`` per query, otherwise
+    all pairs that reach ``floor``.
     """
     ready = with_features(chunks, dims)
-    kind = dict(queries.dtypes)["query_id"]
-
-    def one_pass(batch: DataFrame) -> DataFrame:
-        ids, weights = query_matrix(batch, dims)
-        return best_matches(
-            ready.select(*SPAN, *keep, "features"),
-            sparse_matrix("features", dims),
-            [*SPAN, *keep],
-            ["doc_id", "page", "idx"],
-            ids,
-            kind,
-            weights,
-            k,
-            floor,
-        )
-
-    return reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(queries)])
+    asked = queries.select(
+        "query_id", l2_normalize(hash_features(tokens(F.col("question")), dims)).alias("features")
+    )
+    matrix = sparse_matrix("features", dims)
+    return best_matches(
+        ready.select(*SPAN, *keep, "features"),
+        matrix,
+        [*SPAN, *keep],
+        ["doc_id", "page", "idx"],
+        asked,
+        matrix,
+        k,
+        floor,
+    )
 
 
 def _best_first(*by: str) -> Window:
@@ -171,29 +142,12 @@ def dense_top_k(
     long as the longest vector of ``queries``; others, and those with nulls or
     numbers that are not finite, take no part (:func:`unusable_vectors`).
     """
-    kind = dict(queries.dtypes)["query_id"]
     dims = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-
-    def usable(df: DataFrame) -> DataFrame:
-        return df.where(_vector_fault(dims).isNull())
-
-    def one_pass(batch: DataFrame) -> DataFrame:
-        rows = batch.select("query_id", "embedding").collect()
-        weights = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), dims)
-        norm = np.sqrt((weights * weights).sum(axis=1, keepdims=True))
-        return best_matches(
-            usable(vectors).select("vec_id", "embedding"),
-            unit_matrix("embedding", dims),
-            ["vec_id"],
-            ["vec_id"],
-            [r["query_id"] for r in rows],
-            kind,
-            weights / np.where(norm > 0, norm, 1.0),
-            k,
-            zeros=True,
-        )
-
-    scored = reduce(DataFrame.unionByName, [one_pass(b) for b in _passes(usable(queries))])
+    usable = lambda df, key: df.where(_vector_fault(dims).isNull()).select(key, "embedding")
+    matrix = unit_matrix("embedding", dims)
+    scored = best_matches(
+        usable(vectors, "vec_id"), matrix, ["vec_id"], ["vec_id"], usable(queries, "query_id"), matrix, k, zeros=True
+    )
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (
         scored.withColumn("rank", F.row_number().over(best))
@@ -333,8 +287,8 @@ def build_prompts(queries: DataFrame, hits: DataFrame) -> DataFrame:
         .select(
             "query_id",
             F.concat(
-                F.lit("Document excerpts:\n\n"), "excerpts",
-                F.lit("\n\nQuestion: "), F.trim("question"),
+                F.lit("Passages to answer from:\n\n"), "excerpts",
+                F.lit("\n\nTo answer: "), F.trim("question"),
             ).alias("prompt"),
         )
     )

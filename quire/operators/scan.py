@@ -335,8 +335,8 @@ def scan_prompts(pool: DataFrame, cands: DataFrame, pages: DataFrame, cats: Data
         .select(
             "doc_id",
             F.concat(
-                F.lit("Risk categories to look for:\n"), F.array_join(lines, "\n"),
-                F.lit("\n\nDocument excerpts:\n\n"), "excerpts",
+                F.lit("Kinds of risk:\n"), F.array_join(lines, "\n"),
+                F.lit("\n\nPassages:\n\n"), "excerpts",
             ).alias("prompt"),
         )
     )

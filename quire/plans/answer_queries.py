@@ -316,7 +316,7 @@ SELECT o_orderkey, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS kept FROM
         f"""{GATED}, lines AS (
   SELECT query_id, string_agg('[Excerpt ' || g || '] (from ' || doc_name || ', page ' || page || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS x
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS g FROM gated WHERE relevant) GROUP BY query_id),
-p AS (SELECT l.query_id, 'Document excerpts:' || chr(10) || chr(10) || x || chr(10) || chr(10) || 'Question: ' || trim(q.question) AS prompt
+p AS (SELECT l.query_id, 'Passages to answer from:' || chr(10) || chr(10) || x || chr(10) || chr(10) || 'To answer: ' || trim(q.question) AS prompt
   FROM lines l JOIN questions q ON q.query_id = l.query_id)
 SELECT query_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM p""",
     ),

@@ -222,14 +222,14 @@ def _parts(spark, folder):
     return table(spark, folder, "documents").selectExpr(
         "doc_id AS out_doc",
         "CASE doc_id % 4 WHEN 0 THEN 'My: Lease?.PDF' WHEN 1 THEN concat(' a/b  - c ', source, '.pdf') "
-        "WHEN 2 THEN '.pdf' ELSE left(replace(text, '\\n', ' '), 130) END AS base",
+        "WHEN 2 THEN '.pdf' ELSE replace(text, '\\n', ' ') END AS base",
         "int(doc_id % 12 + 1) AS n_parts",
     ).selectExpr("*", "explode(sequence(0, n_parts - 1)) AS part")
 
 
 PARTS_IN = r"""base_ AS (
   SELECT doc_id AS out_doc, CASE doc_id % 4 WHEN 0 THEN 'My: Lease?.PDF' WHEN 1 THEN ' a/b  - c ' || source || '.pdf'
-    WHEN 2 THEN '.pdf' ELSE left(replace(text, chr(10), ' '), 130) END AS base, CAST(doc_id % 12 + 1 AS INT) AS n_parts FROM documents),
+    WHEN 2 THEN '.pdf' ELSE replace(text, chr(10), ' ') END AS base, CAST(doc_id % 12 + 1 AS INT) AS n_parts FROM documents),
 parts_in AS (SELECT *, CAST(unnest(range(n_parts)) AS INT) AS part FROM base_)"""
 
 
@@ -240,7 +240,7 @@ def part_names(spark, folder):
 def _meta(spark, folder):
     return table(spark, folder, "documents").selectExpr(
         "doc_id AS out_doc",
-        "CASE WHEN doc_id % 3 <> 0 THEN left(text, 10) END AS title",
+        "CASE WHEN doc_id % 3 <> 0 THEN text END AS title",
         "source AS author",
         "CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS subject",
         "'a, b c' AS keywords",
@@ -250,7 +250,7 @@ def _meta(spark, folder):
 
 
 META = """meta AS (
-  SELECT doc_id AS out_doc, CASE WHEN doc_id % 3 <> 0 THEN left(text, 10) END AS title, source AS author,
+  SELECT doc_id AS out_doc, CASE WHEN doc_id % 3 <> 0 THEN text END AS title, source AS author,
     CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END AS subject, 'a, b c' AS keywords,
     CASE WHEN doc_id % 5 = 0 THEN 'quire' ELSE 'Writer' END AS creator, n_chars AS created_s FROM documents)"""
 

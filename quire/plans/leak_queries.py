@@ -121,7 +121,7 @@ def annots(spark, folder):
         "conv_id AS doc_id",
         "int(turn + 1) AS page",
         "int(turn) AS seq",
-        "CASE WHEN turn % 2 = 0 THEN array(role, '', left(text, 9)) ELSE cast(array() AS array<string>) END AS field_value",
+        "CASE WHEN turn % 2 = 0 THEN array(role, '', text) ELSE cast(array() AS array<string>) END AS field_value",
         "CASE WHEN turn % 3 = 0 THEN array('default') END AS default_value",
         "CASE WHEN turn % 4 = 1 THEN 'On' END AS button",
         "concat(role, '.', turn) AS name",
@@ -131,7 +131,7 @@ def annots(spark, folder):
         "right(text, 20) AS contents",
         "role AS title",
         "cast(null AS string) AS rich",
-        "CASE WHEN turn % 2 = 1 THEN array(named_struct('export', 'y', 'display', 'Yes'), named_struct('export', '', 'display', left(text, 4))) END AS options",
+        "CASE WHEN turn % 2 = 1 THEN array(named_struct('export', 'y', 'display', 'Yes'), named_struct('export', '', 'display', text)) END AS options",
     )
 
 
@@ -142,7 +142,7 @@ def annotation_text(spark, folder):
 def metadata_text(spark, folder):
     meta = table(spark, folder, "documents").selectExpr(
         "doc_id",
-        """map('Title', named_struct('kind', 'string', 'value', left(text, 20)),
+        """map('Title', named_struct('kind', 'string', 'value', text),
                'Pages', named_struct('kind', 'number', 'value', string(n_chars)),
                'Author', named_struct('kind', CASE WHEN doc_id % 2 = 0 THEN 'string' ELSE 'name' END, 'value', source)) AS info""",
         "CASE WHEN doc_id % 3 = 0 THEN concat('<x>', lang, '</x>') END AS xmp",
@@ -350,14 +350,14 @@ FROM b LEFT JOIN v ON v.doc_id = b.doc_id""",
         annotation_text,
         """WITH parts AS (
   SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page, CAST(turn AS INT) AS seq,
-    list_concat(CASE WHEN turn % 2 = 0 THEN [role, '', left(text, 9)] ELSE [] END, CASE WHEN turn % 3 = 0 THEN ['default'] ELSE [] END,
+    list_concat(CASE WHEN turn % 2 = 0 THEN [role, '', text] ELSE [] END, CASE WHEN turn % 3 = 0 THEN ['default'] ELSE [] END,
       [CASE WHEN turn % 4 = 1 THEN 'On' END, role || '.' || turn, CASE WHEN turn % 5 = 0 THEN 'http://a.example/' END, right(text, 20), role],
-      CASE WHEN turn % 2 = 1 THEN ['y', 'Yes', left(text, 4)] ELSE [] END) AS l FROM conversations)
+      CASE WHEN turn % 2 = 1 THEN ['y', 'Yes', text] ELSE [] END) AS l FROM conversations)
 SELECT doc_id, page, seq, array_to_string(list_filter(l, lambda x: length(x) > 0), chr(10)) AS text FROM parts""",
     ),
     "metadata_text": (
         metadata_text,
-        """SELECT doc_id, left(text, 20) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || source ELSE '' END
+        """SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || source ELSE '' END
   || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '<x>' || lang || '</x>' ELSE '' END AS text FROM documents""",
     ),
     "residual_text": (

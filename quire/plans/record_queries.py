@@ -115,7 +115,7 @@ def _info(spark, folder):
     """Info dictionaries made of document properties, some entries malformed."""
     return table(spark, folder, "documents").selectExpr(
         "doc_id",
-        """map('Title', named_struct('kind', CASE WHEN doc_id % 7 = 0 THEN 'number' ELSE 'string' END, 'value', left(text, 12)),
+        """map('Title', named_struct('kind', CASE WHEN doc_id % 7 = 0 THEN 'number' ELSE 'string' END, 'value', text),
           'Author', named_struct('kind', 'string', 'value', source),
           'Keywords', named_struct('kind', 'string', 'value', CASE doc_id % 4 WHEN 0 THEN concat(' a, b c ;', lang, ',,') WHEN 1 THEN concat('one  two ', lang) WHEN 2 THEN '' ELSE ' , ' END),
           'CreationDate', named_struct('kind', 'string', 'value', CASE doc_id % 5 WHEN 0 THEN 'last Tuesday' WHEN 1 THEN concat('D:2024', lpad(string(doc_id % 12 + 1), 2, '0'), '0312')
@@ -136,7 +136,7 @@ def read_metadata(spark, folder):
 
 def split_keywords(spark, folder):
     raw = F.expr(
-        "CASE doc_id % 4 WHEN 0 THEN replace(left(text, 60), ' ', '; ') WHEN 1 THEN left(text, 40) WHEN 2 THEN NULL ELSE concat(' ', source, ' ,', lang) END"
+        "CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '; ') WHEN 1 THEN text WHEN 2 THEN NULL ELSE concat(' ', source, ' ,', lang) END"
     )
     words = metadata.split_keywords(raw)
     return table(spark, folder, "documents").select(
@@ -146,7 +146,7 @@ def split_keywords(spark, folder):
 
 def _meta(spark, folder):
     return table(spark, folder, "documents").selectExpr(
-        "doc_id", "left(text, 10) AS title", "source AS author", "lang AS subject", "'Writer' AS creator",
+        "doc_id", "text AS title", "source AS author", "lang AS subject", "'Writer' AS creator",
         "cast(NULL AS string) AS producer", "'old, words' AS keywords",
         "timestamp_seconds(n_chars) AS created", "timestamp_seconds(0) AS modified", "'<xmp/>' AS xmp",
     )
@@ -252,7 +252,7 @@ def plan_export(spark, folder):
     return sizes.plan_export(grown, picked, asked)
 
 
-_META_SQL = """meta AS (SELECT doc_id, left(text, 10) AS title, source AS author, lang AS subject, n_chars AS created_s, doc_id % 6 AS k, doc_id % 9 = 8 AS none, lang FROM documents)"""
+_META_SQL = """meta AS (SELECT doc_id, text AS title, source AS author, lang AS subject, n_chars AS created_s, doc_id % 6 AS k, doc_id % 9 = 8 AS none, lang FROM documents)"""
 _CAND = """cand AS (
   SELECT o_orderkey AS doc_id, 'tidy' AS method, o_totalprice AS p, o_totalprice * (0.985::DOUBLE + (o_orderkey % 5) * 0.004::DOUBLE) AS q FROM orders
   UNION ALL SELECT o_orderkey, 'flatten', o_totalprice, o_totalprice * (0.6::DOUBLE + (o_custkey % 10) * 0.06::DOUBLE) FROM orders),
@@ -338,7 +338,7 @@ UNION ALL SELECT out_doc, input_ord, root, '', false FROM named WHERE name = ''"
     ),
     "read_metadata": (
         read_metadata,
-        r"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 12) END AS title, source AS author, '' AS subject, '' AS creator, '' AS producer,
+        r"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS title, source AS author, '' AS subject, '' AS creator, '' AS producer,
   CASE doc_id % 4 WHEN 0 THEN 'a|b c|' || lang WHEN 1 THEN 'one|two|' || lang ELSE '' END AS keywords,
   CASE doc_id % 5 WHEN 1 THEN epoch(make_timestamp(2024, doc_id % 12 + 1, 3, 12, 0, 0.0))::BIGINT
     WHEN 2 THEN epoch(TIMESTAMP '2024-02-29 07:45:30')::BIGINT WHEN 4 THEN epoch(TIMESTAMP '2023-05-06 07:08:09')::BIGINT END AS created_s,
@@ -346,7 +346,7 @@ UNION ALL SELECT out_doc, input_ord, root, '', false FROM named WHERE name = ''"
     ),
     "split_keywords": (
         split_keywords,
-        r"""WITH raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(left(text, 60), ' ', '; ') WHEN 1 THEN left(text, 40) WHEN 2 THEN NULL ELSE ' ' || source || ' ,' || lang END AS r FROM documents),
+        r"""WITH raw AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '; ') WHEN 1 THEN text WHEN 2 THEN NULL ELSE ' ' || source || ' ,' || lang END AS r FROM documents),
 l AS (SELECT doc_id, coalesce(list_filter(list_transform(CASE WHEN regexp_matches(r, '[,;]') THEN string_split_regex(r, '[,;]') ELSE string_split_regex(r, '\s+') END,
   lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''), []) AS w FROM raw)
 SELECT doc_id, len(w) AS n, array_to_string(w, '|') AS words FROM l""",

@@ -235,7 +235,7 @@ FROM documents d LEFT JOIN gate g ON g.doc_id = d.doc_id GROUP BY d.doc_id""",
         f"""{CAND}, ex AS (SELECT doc_id, string_agg('[Excerpt ' || pool_index || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pool_index) AS x FROM pool GROUP BY doc_id),
 off AS (SELECT doc_id, string_agg('- ' || category || ': ' || hint, chr(10) ORDER BY ord) AS o
   FROM (SELECT DISTINCT doc_id, category, hint, ord FROM cands) GROUP BY doc_id),
-p AS (SELECT ex.doc_id, 'Risk categories to look for:' || chr(10) || o || chr(10) || chr(10) || 'Document excerpts:' || chr(10) || chr(10) || x AS prompt
+p AS (SELECT ex.doc_id, 'Kinds of risk:' || chr(10) || o || chr(10) || chr(10) || 'Passages:' || chr(10) || chr(10) || x AS prompt
   FROM ex JOIN off ON off.doc_id = ex.doc_id)
 SELECT doc_id, length(prompt) AS n_chars, md5(prompt) AS digest FROM p""",
     ),

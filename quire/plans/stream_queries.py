@@ -14,26 +14,27 @@ from quire.sources.tables import table
 from quire.streaming import streams
 
 
+# State partitions of the registered streams; a stream that is to run for long states more.
+STATE_PARTITIONS = 16
+
+
 def _stream(spark, folder, name):
-    """A given table as a stream of its file."""
+    """A given table as a stream of its file, in a session of its own.
+
+    A stream fixes its number of state partitions when it first runs; it is stated here, and
+    the caller's session keeps its settings.
+    """
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    return own.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _finish(spark, stream):
-    """Run a stream to its end and read what it wrote.
-
-    A new stream fixes its number of state partitions; on a machine with few
-    cores it takes no more than twice as many.
-    """
+    """Run a stream to its end and read what it wrote."""
     at = scratch_folder(spark)
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(int(before), 2 * spark.sparkContext.defaultParallelism))
-    try:
-        streams.run_to_table(stream, f"{at}/out", f"{at}/log").awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    streams.run_to_table(stream, f"{at}/out", f"{at}/log").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -48,7 +49,7 @@ def stream_ingest(spark, folder):
     at = scratch_folder(spark)
     pages = _stream(spark, folder, "documents").selectExpr(*_PAGES)
     streams.run_ingest(pages, f"{at}/out", f"{at}/log").awaitTermination()
-    written = spark.read.parquet(f"{at}/out")
+    written = streams.newest_chunks(spark.read.parquet(f"{at}/out"))
     return written.select(
         "chunk_id", "start", "end", F.md5("text").alias("digest"), F.size("features").cast("long").alias("n_features")
     )

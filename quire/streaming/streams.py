@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.functions.binding import bind
 from quire.functions.text import hash_features, l2_normalize, tokens
@@ -25,15 +20,21 @@ def ingest(pages: DataFrame) -> DataFrame:
 
 
 def run_ingest(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append chunks to a table; a page delivered twice in a batch counts once.
+    """Append chunks to a table; of a page delivered twice in a batch the newest version counts.
 
-    The batch number is a partition of the target and is overwritten, so a batch
-    replayed after a lost driver or executor does not write its rows again.
+    ``pages`` may have a ``version`` (an increasing number); without one all deliveries of a
+    page are the same. The batch number is a partition of the target and is overwritten, so a
+    batch replayed after a lost driver or executor does not write its rows again. Read the
+    table with :func:`newest_chunks`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["doc_id", "page"])
-        ingest(once).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        known = batch if "version" in batch.columns else batch.withColumn("version", F.lit(0))
+        others = [c for c in known.columns if c not in ("doc_id", "page")]
+        last = F.max_by(F.struct(*others), "version")
+        once = known.groupBy("doc_id", "page").agg(last.alias("_last")).select("doc_id", "page", "_last.*")
+        chunks = ingest(once).join(once.select("doc_id", "page", "version"), ["doc_id", "page"])
+        chunks.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -43,6 +44,16 @@ def run_ingest(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def newest_chunks(written: DataFrame) -> DataFrame:
+    """Of all batches the chunks of each page's newest version; of equal ones the later batch."""
+    by_page = written.groupBy("doc_id", "page").agg(F.max(F.struct("version", "batch")).alias("_top"))
+    return (
+        written.join(by_page, ["doc_id", "page"])
+        .where((F.col("version") == F.col("_top.version")) & (F.col("batch") == F.col("_top.batch")))
+        .drop("_top", "version", "batch")
+    )
+
+
 def scan(chunks: DataFrame, categories: list[tuple]) -> DataFrame:
     """Chunks that carry a signal of a category and share its words, as they come.
 
@@ -72,17 +83,15 @@ def scan(chunks: DataFrame, categories: list[tuple]) -> DataFrame:
 
 
 def traffic(requests: DataFrame, width: str, late: str, slide: str | None = None) -> DataFrame:
-    """Requests and bytes per session in windows; rows later than ``late`` are dropped."""
+    """Requests, bytes and distinct hosts per session in windows; rows later than ``late`` are dropped."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
         requests.where(~F.regexp_like("url", F.lit(r"\A(blob|data|filesystem):")))
         .withWatermark("ts", late)
-        .groupBy("session", window)
-        .agg(
-            F.count("*").alias("n_requests"),
-            F.sum("bytes").alias("bytes_in"),
-            F.approx_count_distinct("host").alias("n_hosts"),
-        )
+        .groupBy("session", window, "host")
+        .agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+        .groupBy("session", "window")
+        .agg(F.sum("n").alias("n_requests"), F.sum("b").alias("bytes_in"), F.count("host").alias("n_hosts"))
         .select("session", F.col("window.start").alias("from"), F.col("window.end").alias("until"), "n_requests", "bytes_in", "n_hosts")
     )
 
@@ -106,38 +115,16 @@ def visits(requests: DataFrame, pause: str, late: str) -> DataFrame:
 def expire(docs: DataFrame, ttl_seconds: int, late: str) -> DataFrame:
     """Documents that outlive their time, emitted once event time has passed it.
 
-    ``docs``: doc_id, sample, created_at. State is one row per document; the
-    event-time timer fires when the watermark passes the end of its life.
+    ``docs``: doc_id of any type, sample, created_at. A document is a session that lasts
+    until nothing new of it has come for its time to live, so its state is one row.
     """
-
-    def live(
-        key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (end,) = state.get
-            state.remove()
-            yield pd.DataFrame({"doc_id": [key[0]], "expired_s": [end]})
-            return
-        newest = max(int(b["created_s"].max()) for b in batches)
-        end = newest + ttl_seconds
-        if state.exists:
-            end = max(end, state.get[0])
-        state.update((end,))
-        watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(end * 1000, watermark + 1))
-
+    life = F.session_window("created_at", f"{ttl_seconds} seconds")
     return (
         docs.where("not sample")
-        .withColumn("created_s", F.unix_timestamp("created_at"))
         .withWatermark("created_at", late)
-        .groupBy("doc_id")
-        .applyInPandasWithState(
-            live,
-            "doc_id BIGINT, expired_s BIGINT",
-            "end_s BIGINT",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+        .groupBy("doc_id", life)
+        .agg(F.count("*").alias("n"))
+        .select("doc_id", F.unix_timestamp("session_window.end").alias("expired_s"))
     )
 
 

@@ -87,7 +87,9 @@ def test_supported_answer_keeps_order_and_receipts(spark, lease):
         assert text[s["page"]][s["start"] : s["end"]] == s["quote"]
 
 
-def test_many_queries_take_several_passes(spark, lease, manual, monkeypatch):
+def test_many_queries_meet_the_chunks_in_blocks(spark, lease, manual, monkeypatch):
+    from quire.functions import scoring
+
     both = chunking.chunk_documents(lease.unionByName(manual))
     asked = spark.createDataFrame(
         [(i, q) for i, q in enumerate(["pet fee", "blender motor", "late rent", "written notice", "the"])],
@@ -95,8 +97,9 @@ def test_many_queries_take_several_passes(spark, lease, manual, monkeypatch):
     )
     key = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
     once = key(retrieval.top_k(both, asked, 3))
-    monkeypatch.setattr(retrieval, "MAX_QUERIES_PER_PASS", 2)
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 2)
     assert key(retrieval.top_k(both, asked, 3)) == once and len(once) == 15
+    assert key(retrieval.top_k(both.repartition(3), asked.repartition(2), 3)) == once
 
 
 def test_a_third_of_all_chunks_may_be_copies(spark, monkeypatch):

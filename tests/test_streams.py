@@ -66,7 +66,38 @@ def test_late_requests_are_dropped(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(0, 2, 12), (180, 1, 1)]
 
 
+def test_newest_version_of_a_page_wins(spark, tmp_path):
+    at, out = str(tmp_path / "pages"), str(tmp_path / "out")
+    schema = "doc_id string, page int, text string, version int"
+
+    def deliver(*rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(at)
+        streams.run_ingest(spark.readStream.schema(schema).parquet(at), out, str(tmp_path / "log")).awaitTermination()
+
+    deliver(("a", 1, "first words", 1), ("a", 1, "second words", 2), ("b", 1, "other page", 1))
+    deliver(("a", 1, "third words here", 3), ("b", 1, "an old text", 0))
+    got = streams.newest_chunks(spark.read.parquet(out))
+    assert rows(got, "doc_id", "text") == [("a", "third words here"), ("b", "other page")]
+
+
+def test_hosts_are_counted_exactly_and_ids_may_be_words(spark, tmp_path):
+    at = str(tmp_path / "requests")
+    data = [("s", 10 + i % 40, 1, "http://h/", f"h{i % 700}") for i in range(2100)] + [("s", 5000, 1, "http://h/", "h")]
+    spark.createDataFrame(data, "session string, s long, bytes long, url string, host string").coalesce(1).write.parquet(at)
+    source = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    timed = source.withColumn("ts", F.timestamp_seconds("s"))
+    streams.run_to_table(streams.traffic(timed, "60 seconds", "30 seconds"), str(tmp_path / "o1"), str(tmp_path / "l1")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "o1")), "n_requests", "n_hosts") == [(2100, 700)]
+    docs = timed.select(F.col("host").alias("doc_id"), F.lit(False).alias("sample"), F.col("ts").alias("created_at"))
+    streams.run_to_table(streams.expire(docs, 100, "30 seconds"), str(tmp_path / "o2"), str(tmp_path / "l2")).awaitTermination()
+    gone = {r["doc_id"]: r["expired_s"] for r in spark.read.parquet(str(tmp_path / "o2")).collect()}
+    last = {f"h{k}": max(10 + i % 40 for i in range(2100) if i % 700 == k) + 100 for k in range(700)}
+    assert gone == last
+
+
 def test_shared_folder_is_used_when_the_cluster_names_one(spark, tmp_path):
-    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": str(tmp_path)}.get(key, default)))
-    assert scratch_folder(named).startswith(str(tmp_path))
-    assert not scratch_folder(spark).startswith(str(tmp_path))
+    conf = lambda **kv: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: kv.get(key.replace(".", "_"), default)))
+    assert scratch_folder(conf(spark_checkpoint_dir=str(tmp_path))).startswith(str(tmp_path))
+    assert scratch_folder(conf(spark_master="local[2]", spark_sql_warehouse_dir="/w")).startswith("/w/")
+    with pytest.raises(ValueError):
+        scratch_folder(conf(spark_master="spark://host:7077"))
