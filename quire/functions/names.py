@@ -44,13 +44,15 @@ def settle_names(
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
+        after: dict[str, int] = {}  # numbers below it are taken for good
         chosen = []
         part = part.sort_values(order)
         for wanted in part[name]:
-            settled, n = wanted, 2
+            settled, n = wanted, after.get(wanted, 2)
             while settled in used:
                 settled, n = candidate(wanted, n), n + 1
             used.add(settled)
+            after[wanted] = n
             chosen.append(settled)
         return part.drop(columns="_family").assign(**{out: chosen})
 

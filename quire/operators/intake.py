@@ -16,14 +16,17 @@ def intake_check(files: DataFrame, contents: DataFrame) -> DataFrame:
     """First failing admission rule per file, ``ok`` when none fails.
 
     ``files``: name, size, content. ``contents``: name, n_pages, n_chunks, one
-    row per file a parser could read.
+    row per file a parser could read. Where both have a ``path`` it is the key,
+    and files of one name in two folders stay apart.
     """
     head = F.substring("content", 1, 4)
+    key = ["path"] if "path" in files.columns and "path" in contents.columns else ["name"]
+    names = list(dict.fromkeys([*key, "name"]))
     return (
-        files.select("name", "size", head.alias("head"))
-        .join(contents, "name", "left")
+        files.select(*names, "size", head.alias("head"))
+        .join(contents.select(*key, "n_pages", "n_chunks"), key, "left")
         .select(
-            "name",
+            *names,
             F.when(~F.lower("name").endswith(".pdf"), "not-a-pdf-name")
             .when(F.col("size") > MAX_UPLOAD_BYTES, "too-large")
             .when(F.col("head") != F.lit("%PDF").cast("binary"), "not-a-pdf")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quire.operators import chunking, intake
 from quire.sources import fixtures as fx
+from quire.sources import tables
+from quire.sources.scratch import scratch_folder
 from quire.sources.tables import table
 
 with_ = fx.with_
@@ -13,8 +15,11 @@ NOW = 1704067200 + 5400
 
 
 def read_pages(spark, folder):
-    return fx.corpus(spark, folder).select(
-        "doc_id", "page", F.length("text").cast("long").alias("n_chars")
+    """The corpus written as a page table and read by the reader."""
+    at = scratch_folder(spark)
+    fx.corpus(spark, folder).withColumn("doc_id", F.col("doc_id").cast("string")).write.parquet(at)
+    return tables.read_pages(spark, at).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "page", F.length("text").cast("long").alias("n_chars")
     )
 
 

@@ -22,14 +22,17 @@ def stream_pages(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Raw files as ``name, size, content`` for intake and type checks."""
+    """Raw files as ``path, name, size, content`` for intake and type checks.
+
+    Two folders may hold files of one name; ``path`` tells them apart.
+    """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
         .selectExpr(
-            "element_at(split(path, '/'), -1) AS name", "length AS size", "content"
+            "path", "element_at(split(path, '/'), -1) AS name", "length AS size", "content"
         )
     )
 

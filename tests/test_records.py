@@ -130,3 +130,25 @@ def test_hosts(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
     got = [r[0] for r in df.orderBy("i").select(sizes.host_of(F.col("url"), F.lit("own.example"))).collect()]
     assert got == ["a.example", "a.example:8080", "own.example", "own.example", None, "b.example"]
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    from quire.sources.tables import read_files
+
+    for k, folder in enumerate(("one", "two")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.pdf").write_bytes(b"%PDF-1.7" if k else b"other")
+    files = read_files(spark, str(tmp_path))
+    contents = files.selectExpr("path", "1 AS n_pages", "1 AS n_chunks")
+    rows = intake.intake_check(files, contents).collect()
+    assert sorted((r["path"].split("/")[-2], r["verdict"]) for r in rows) == [("one", "not-a-pdf"), ("two", "ok")]
+
+
+def test_many_equal_names_are_numbered_in_one_pass(spark):
+    """Equal names mixed with numbered ones; counting starts where the last one stopped."""
+    from quire.operators import assembly
+
+    rows = [(1, i, "a.png" if i % 2 else "a-2.png") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "archive int, seq int, name string")
+    got = assembly.unique_names(df)
+    assert got.count() == 20_000 and got.select("unique_name").distinct().count() == 20_000
