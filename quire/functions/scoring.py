@@ -144,7 +144,9 @@ def best_matches(
             yield from shaped(kept, current, query, score)
 
     blocks = rows.mapInArrow(_packed("rows", limit), "rows binary").crossJoin(
-        queries.mapInArrow(_packed("queries", limit), "queries binary")
+        # In one partition, as a product computes the rows again for each partition of the other
+        # side; this task only packs, the vectors were worked out before.
+        queries.repartition(1).mapInArrow(_packed("queries", limit), "queries binary")
     )
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", query_id {id_type}, score double"
     return blocks.mapInArrow(best if k else every, schema)

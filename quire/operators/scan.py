@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.binding import bind
 from quire.functions.text import SPACE, SPACE_CHARS, strip_space, tokens
-from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, score_chunks, valid_citations
+from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, score_chunks, valid_citations, with_features
 
 QUOTE_CHARS = 320
 LEAD_IN_CHARS = 220
@@ -129,20 +129,32 @@ def scan_candidates(
     rules = cats.select(
         F.col("id").alias("query_id"), "ord", tokens(F.col("probe")).alias("probe_words"), "signals"
     )
-    signalled = bind(
-        F.lower("text"), lambda low: F.exists("signals", lambda s: F.contains(low, s))
+    listed = rules.groupBy().agg(F.collect_list(F.struct("query_id", "probe_words", "signals"))).scalar()
+    tested = bind(
+        F.lower("text"),
+        lambda low: F.transform(
+            "_rules",
+            lambda r: F.struct(
+                r["query_id"].alias("id"),
+                F.arrays_overlap("words", r["probe_words"]).alias("shared"),
+                F.exists(r["signals"], lambda s: F.contains(low, s)).alias("signalled"),
+            ),
+        ),
     )
+    marked = with_features(chunks).withColumn("_rules", listed).withColumn("_marks", tested).drop("_rules")
+    mark = F.get(F.filter("_marks", lambda m: m["id"] == F.col("query_id")), F.lit(0))
     best = Window.partitionBy("doc_id", "category").orderBy(F.col("score").desc(), "page", "idx")
     return (
-        score_chunks(chunks, probes, keep=("text", "words"), floor=min_relevance)
-        .join(rules, "query_id")
+        score_chunks(marked, probes, keep=("_marks",), floor=min_relevance)
+        .withColumn("_mark", mark)
+        .join(rules.select("query_id", "ord"), "query_id")
         .select(
             *SPAN,
             F.col("query_id").alias("category"),
             "ord",
             "score",
-            F.arrays_overlap("words", "probe_words").alias("shared"),
-            signalled.alias("signalled"),
+            F.col("_mark.shared").alias("shared"),
+            F.col("_mark.signalled").alias("signalled"),
         )
         .withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & F.col("shared"))
