@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm import bloom
+from quire.llm import bloom, units
 from quire.llm.shared import store
 
 WINDOW = 3
@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, drop_emptied: bool = False
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in (b.slice(i, j - i) for b in source for i, j in units.byte_slices(b.column(text_at))):
             gone = batch.column(batch.num_columns - 1)
             columns = batch.columns[:-1]
             rows = [i for i in range(len(batch)) if gone[i].is_valid]

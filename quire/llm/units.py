@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 SPECIAL = "<|endoftext|>"
 SLICE = 1 << 20  # characters cut at once
-KEPT = 800_000  # units a worker keeps; beyond it the kept ones are let go and coded again when met
+KEPT = 300_000  # units a worker keeps; beyond it the kept ones are let go and coded again when met
 
 _ADJACENT = re.compile(r"\s\s")
 
