@@ -6,7 +6,7 @@ applied at all its positions, from left to right, and only the pairs with the tw
 merged place are looked up again. A word whose bytes are a token is that token. Ranks need not grow
 along a merge chain: a lower rank that turns up is taken before the rest of the current one.
 
-A worker keeps the ids of words it has met (``units.Known``), so a slice replays only new words,
+A task keeps the ids of words it has met (``units.Known``), so a slice replays only new words,
 and no pre-token is shuffled. Decoding joins the tokens' bytes.
 
 A null text is empty (no ids). Every row gives one row. Other columns are ignored.
@@ -148,15 +148,19 @@ def _blocks(text: str) -> list[list[str]]:
     return list(units.pieces(text)) if units.plain(text) else [[w] for w in _SPLIT.findall(text)]
 
 
-def _coded(keys: pa.Array, texts: pa.Array, path: str) -> Iterator[tuple]:
+def _words(path: str) -> units.Known:
+    """The ids of the units that a task has met."""
+    return units.Known(vocabulary(path).code)
+
+
+def _coded(keys: pa.Array, texts: pa.Array, known: units.Known) -> Iterator[tuple]:
     """Key and ids (bytes) of every row."""
-    known = units.known("bpe", path, lambda parts: vocabulary(path).code(parts))
     for begin, end in units.byte_slices(texts):
         part = texts.slice(begin, end - begin).to_pylist()
         cut = [_blocks(t or "") for t in part]
         known.learn([block for blocks in cut for block in blocks])
         for key, blocks in zip(keys.slice(begin, end - begin).to_pylist(), cut, strict=True):
-            yield key, b"".join([v for block in blocks for v in known.values(block)])
+            yield key, b"".join([b"".join(known.values(block)) for block in blocks])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -164,10 +168,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _words(path)
         for batch in source:
             keys = batch.column(0)
             schema = pa.schema([("doc_id", keys.type), ("ids", pa.list_(pa.int32()))])
-            rows = ((key, np.frombuffer(ids, "<u4")) for key, ids in _coded(keys, batch.column(1), path))
+            rows = ((key, np.frombuffer(ids, "<u4")) for key, ids in _coded(keys, batch.column(1), known))
             yield from batches(rows, schema, 256)
 
     return docs.select("doc_id", "text").mapInArrow(run, kind)
@@ -199,20 +204,20 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(path)
+        tables, known = vocabulary(path), _words(path)
         for batch in source:
             keys = batch.column(0)
             schema = pa.schema(
                 [("doc_id", keys.type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
             )
-            yield from batches(_digests(keys, batch.column(1), path, known), schema)
+            yield from batches(_digests(keys, batch.column(1), known, tables), schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def _digests(keys, texts, path, known):
-    for key, packed in _coded(keys, texts, path):
+def _digests(keys, texts, known, tables):
+    for key, packed in _coded(keys, texts, known):
         ids = np.frombuffer(packed, "<u4").tolist()
-        listed = ",".join(map(known.digits.__getitem__, ids))
-        decoded = b"".join(map(known.tokens.__getitem__, ids))
+        listed = ",".join(map(tables.digits.__getitem__, ids))
+        decoded = b"".join(map(tables.tokens.__getitem__, ids))
         yield key, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()

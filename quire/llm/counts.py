@@ -61,9 +61,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, table: int = TABL
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiers = units.known(
-            "counts", path, lambda texts: [len(i) for i in units.encode(path, texts)], shared.value
-        )
+        tiers = units.Known(lambda texts: [len(i) for i in units.encode(path, texts)], shared.value)
         for batch in source:
             keys, texts = batch.column(0), batch.column(1)
             schema = pa.schema([("doc_id", keys.type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -84,5 +82,5 @@ def _count(keys, texts, tiers, path):
             if blocks is None:
                 n = len(units.encode(path, [text])[0])
             else:
-                n = sum(v for block in blocks for v in tiers.values(block))
+                n = sum(sum(tiers.values(block)) for block in blocks)
             yield key, size, n

@@ -43,7 +43,7 @@ def coded(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = units.known("ids", path, lambda texts: units.ids_bytes(path, texts))
+        known = units.Known(lambda texts: units.ids_bytes(path, texts))
         for batch in source:
             keys, texts = batch.column(0), batch.column(1)
             schema = pa.schema(
@@ -64,7 +64,7 @@ def _code(keys, texts, known, path, capacity, with_ids):
             if blocks is None:
                 ids = units.ids_bytes(path, [text])[0] + END
             else:
-                ids = b"".join([v for block in blocks for v in known.values(block)]) + END
+                ids = b"".join([b"".join(known.values(block)) for block in blocks]) + END
             n = len(ids) // 4
             bounds = [0, *range(first_length(n, capacity) * 4, len(ids) + 1, capacity * 4)]
             view = memoryview(ids)

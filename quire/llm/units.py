@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 SPECIAL = "<|endoftext|>"
 SLICE = 1 << 20  # characters cut at once
-KEPT = 300_000  # units a worker keeps; beyond it the kept ones are let go and coded again when met
+KEPT = 400_000  # units a task keeps; beyond it the kept ones are let go and coded again when met
 
 _ADJACENT = re.compile(r"\s\s")
 
@@ -84,7 +84,8 @@ class Known:
     """Values of units, worked out for all unknown units of a slice at once, then kept.
 
     ``fixed`` holds values that every worker has from the start (a broadcast table); the rest are
-    kept up to ``KEPT`` entries.
+    kept up to ``KEPT`` entries. A task has its own: a table that outlives it was slower, as it is
+    always full and lookups in it miss the processor's caches.
     """
 
     def __init__(self, code: Callable[[list[str]], list], first: dict | None = None):
@@ -110,22 +111,11 @@ class Known:
         heads = list({block[0] for block in cut if block[0]}.difference(self.heads))
         self.heads.update(zip(heads, self.code(heads), strict=True))
 
-    def values(self, block: list[str]) -> Iterator:
+    def values(self, block: list[str]) -> list:
         """Values of a block's units in order."""
-        if block[0]:
-            yield self.heads[block[0]]
-        yield from map(self.later.__getitem__, block[1:])
-
-
-_known: dict = {}
-
-
-def known(kind: str, path: str, code: Callable[[list[str]], list], first: dict | None = None) -> Known:
-    """The worker's own ``Known`` for a kind of value and a vocabulary; it outlives the task."""
-    held = _known.setdefault((kind, path), Known(code))
-    if first is not None:
-        held.fixed = held.later.first = first
-    return held
+        found = [self.heads[block[0]]] if block[0] else []
+        found.extend(map(self.later.__getitem__, block[1:]))
+        return found
 
 
 class _Second(dict):
