@@ -8,7 +8,9 @@ from quire.operators import assembly as asm
 from quire.sources import fixtures as fx
 from quire.sources.tables import table
 
-NOW = F.timestamp_seconds(F.lit(1717200000))
+def _now():
+    return F.timestamp_seconds(F.lit(1717200000))
+
 
 _REPORT = ["out_doc", "position", "src_doc", "src_page", "rotation", "width", "height"]
 
@@ -262,18 +264,18 @@ def _meta_rows(df):
 
 
 def carry_metadata_split(spark, folder):
-    return _meta_rows(asm.carry_metadata_split(_parts(spark, folder), _meta(spark, folder), NOW))
+    return _meta_rows(asm.carry_metadata_split(_parts(spark, folder), _meta(spark, folder), _now()))
 
 
 def carry_metadata_merge(spark, folder):
     inputs = table(spark, folder, "documents").selectExpr(
         "doc_id div 4 AS out_doc", "int(3 - doc_id % 4) AS input_ord", "doc_id AS src_doc"
     )
-    return _meta_rows(asm.carry_metadata_merge(inputs, _meta(spark, folder), NOW))
+    return _meta_rows(asm.carry_metadata_merge(inputs, _meta(spark, folder), _now()))
 
 
 def carry_metadata_edit(spark, folder):
-    return _meta_rows(asm.carry_metadata_edit(_meta(spark, folder), NOW)).select(
+    return _meta_rows(asm.carry_metadata_edit(_meta(spark, folder), _now())).select(
         "out_doc", "title", "author", "keywords", "created_s", "modified_s"
     )
 
