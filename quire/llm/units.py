@@ -84,8 +84,7 @@ class Known:
     """Values of units, worked out for all unknown units of a slice at once, then kept.
 
     ``fixed`` holds values that every worker has from the start (a broadcast table); the rest are
-    kept up to ``KEPT`` entries. A task has its own: a table that outlives it was slower, as it is
-    always full and lookups in it miss the processor's caches.
+    kept up to ``KEPT`` entries. Each task has its own.
     """
 
     def __init__(self, code: Callable[[list[str]], list], first: dict | None = None):
