@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quire.sources.scratch import scratch_folder
+
 # Rows multiplied at a time; also bounds how many tied rows are ever held.
 BLOCK_ROWS = 1024
 
@@ -67,6 +69,19 @@ def _unpacked(stream: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(stream).read_next_batch()
 
 
+def query_blocks(queries: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """Queries packed into blocks, each in a task of its own.
+
+    The queries are stored first: a product computes a side again for each partition of
+    the other, and their number says how many blocks they make.
+    """
+    spark, at = queries.sparkSession, f"{scratch_folder(queries.sparkSession)}/queries"
+    queries.write.parquet(at)
+    stored = spark.read.schema(queries.schema).parquet(at)
+    blocks = max(1, -(-stored.count() // limit))
+    return stored.repartition(blocks).mapInArrow(_packed("queries", limit), "queries binary")
+
+
 def best_matches(
     rows: DataFrame,
     read: Callable,
@@ -143,10 +158,6 @@ def best_matches(
         if kept is not None:
             yield from shaped(kept, current, query, score)
 
-    blocks = rows.mapInArrow(_packed("rows", limit), "rows binary").crossJoin(
-        # In one partition, as a product computes the rows again for each partition of the other
-        # side; this task only packs, the vectors were worked out before.
-        queries.repartition(1).mapInArrow(_packed("queries", limit), "queries binary")
-    )
+    blocks = rows.mapInArrow(_packed("rows", limit), "rows binary").crossJoin(query_blocks(queries, limit))
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", query_id {id_type}, score double"
     return blocks.mapInArrow(best if k else every, schema)

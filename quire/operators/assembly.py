@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.functions.names import settle_names
+from quire.functions.names import NUMBER, number_path, settle_names
 from quire.functions.running import renumber, running_total
 from quire.functions.text import strip_space
 from quire.operators.intake import fold_rotation
@@ -507,21 +507,21 @@ def unique_names(names: DataFrame) -> DataFrame:
     stem = lambda c: F.when(F.regexp_like(c, F.lit(split)), F.regexp_extract(c, split, 1)).otherwise(c)
     ext = lambda c: F.regexp_extract(c, split, 2)
     own = F.col("name")
-    family = F.concat(F.regexp_replace(stem(own), r"(-\d+)+\z", ""), F.lit("/"), ext(own))
-
-    def candidate(name: str, n: int) -> str:
-        dot = name.rfind(".")
-        return f"{name[:dot]}-{n}{name[dot:]}" if dot > 0 else f"{name}-{n}"
-
+    numbers = rf"((?:-{NUMBER})+)\z"
+    # A stem before an extension is never empty, so '-2.png' is no form of '.png'.
+    tail = F.when(ext(own) == "", F.regexp_extract(own, numbers, 1)).otherwise(
+        F.regexp_extract(stem(own), rf"(?s)(?<=.){numbers}", 1)
+    )
+    root = F.concat(F.left(stem(own), F.length(stem(own)) - F.length(tail)), ext(own))
     return settle_names(
         names.select("archive", "seq", "name"),
         ["archive"],
         ["seq"],
         "name",
         "unique_name",
-        family,
+        root,
+        number_path(tail),
         lambda name, n: F.concat(stem(name), F.lit("-"), n, ext(name)),
-        candidate,
     ).drop("name")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quire.functions.names import settle_names
+from quire.functions.names import NUMBER, number_path, settle_names
 
 PICKERS = ["dropdown", "optionlist"]
 FILLABLE = ["text", "checkbox", "radio", *PICKERS]
@@ -209,16 +209,16 @@ def merge_fields(fields: DataFrame) -> DataFrame:
         F.when(F.coalesce("had", F.lit("")) != "", F.col("had")).when(~F.col("has_kids"), "Field").otherwise(""),
     )
     real = named.where("name <> ''")
-    family = F.regexp_replace("name", r"( \(\d+\))+\z", "")
+    tail = F.regexp_extract("name", rf"((?: \({NUMBER}\))+)\z", 1)
     settled = settle_names(
         real,
         ["out_doc"],
         ["input_ord", "seq"],
         "name",
         "new_name",
-        family,
+        F.left("name", F.length("name") - F.length(tail)),
+        number_path(tail),
         lambda name, n: F.concat(name, F.lit(" ("), n, F.lit(")")),
-        lambda name, n: f"{name} ({n})",
     )
     silent = named.where("name = ''").withColumn("new_name", F.lit(""))
     return settled.unionByName(silent).select(

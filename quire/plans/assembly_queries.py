@@ -289,6 +289,15 @@ def unique_names(spark, folder):
     return asm.unique_names(names)
 
 
+def unique_names_archive(spark, folder):
+    """One archive of a hundred names a document: equal ones, and forms of them that are wanted as well."""
+    names = table(spark, folder, "documents").selectExpr("doc_id", "explode(sequence(0, 99)) AS j").selectExpr(
+        "1 AS archive", "doc_id * 100 + j AS seq",
+        "CASE WHEN doc_id * 100 + j = 40 THEN 'a-5000.png' WHEN j = 50 THEN 'a-2.png' ELSE 'a.png' END AS name",
+    )
+    return asm.unique_names(names)
+
+
 def relink(spark, folder):
     parts = asm.split_at(fx.manifest(spark, folder), _cuts(spark, folder)).withColumn(
         "out_doc", F.col("out_doc") * 100 + F.col("part")
@@ -478,6 +487,16 @@ walk AS (
       ELSE n.root || n.tail || '-' || list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, n.root || n.tail || '-' || k || n.ext))[1] || n.ext END AS pick
     FROM walk w JOIN names n ON n.archive = w.archive AND n.i = w.i + 1))
 SELECT archive, seq, unique_name FROM walk""",
+    ),
+    # The second a.png takes a-2.png before any row wants it; a-5000.png is wanted long before the count gets there.
+    "unique_names_archive": (
+        unique_names_archive,
+        r"""WITH n AS (SELECT doc_id * 100 + j AS seq,
+    CASE WHEN doc_id * 100 + j = 40 THEN 'a-5000' WHEN j = 50 THEN 'a-2' ELSE 'a' END AS stem
+  FROM documents, range(100) AS t(j)),
+c AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY seq) AS k FROM n)
+SELECT 1 AS archive, seq, CASE stem WHEN 'a-5000' THEN stem WHEN 'a-2' THEN stem || '-' || (k + 1)
+  ELSE CASE WHEN k = 1 THEN stem WHEN k < 5000 THEN stem || '-' || k ELSE stem || '-' || (k + 1) END END || '.png' AS unique_name FROM c""",
     ),
     "relink": (
         relink,

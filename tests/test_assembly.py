@@ -191,3 +191,37 @@ def test_merge_refuses_a_null_page(spark):
         "out_doc string, input_ord int, src_doc string, name string, pages array<int>",
     )
     assert reasons(asm.merge_docs(inputs, book(spark, d=3, e=2))) == {"o": "no-such-page: first"}
+
+
+def _plain_names(rows):
+    want, used = {}, {}
+    for archive, seq, name in rows:
+        taken, after = used.setdefault(archive, (set(), {}))
+        dot = name.rfind(".")
+        stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+        settled, n = name, after.get(name, 2)
+        while settled in taken:
+            settled, n = f"{stem}-{n}{ext}", n + 1
+        taken.add(settled)
+        after[name] = n
+        want[archive, seq] = settled
+    return want
+
+
+def test_a_mixed_family_is_not_gathered(spark):
+    """A single form among many equal names; no task gets the rows of the family."""
+    rows = [(1, i, "a-2.png" if i == 777 else "a-60000.png" if i == 5 else "a.png") for i in range(100_000)]
+    got = asm.unique_names(spark.createDataFrame(rows, "archive int, seq int, name string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
+    assert {(r["archive"], r["seq"]): r["unique_name"] for r in got.collect()} == _plain_names(rows)
+
+
+def test_forms_of_forms_and_odd_numbers(spark):
+    rng = random.Random(3)
+    pool = ["a.png", "a-2.png", "a-2-2.png", "a-3.png", "a-23.png", "a-02.png", "a-1.png", "a-2-3.png", "a-5-2-2.png", "-2.png", ".png", ".png-2",
+            "-2", "", "a", "a-2", "a-99999999999999999999999.png", "a\nb.png", "a\nb-2.png"]
+    weights = [rng.random() ** 3 for _ in pool]
+    rows = [(i % 3, i * 37, name) for i, name in enumerate(rng.choices(pool, weights, k=3000))]
+    df = spark.createDataFrame(rows, "archive int, seq int, name string").repartition(3)
+    assert {(r["archive"], r["seq"]): r["unique_name"] for r in asm.unique_names(df).collect()} == _plain_names(rows)

@@ -164,3 +164,16 @@ def test_two_replies_support_nothing(spark, lease):
     said = spark.createDataFrame([(1, True, "one", [0.0]), (1, False, "two", [0.0])], "query_id int, found boolean, answer string, citations array<double>")
     rows = retrieval.ask_batch(asked, gated, said).collect()
     assert len(rows) == 1 and (rows[0]["mode"], rows[0]["answer"]) == ("abstain", retrieval.ABSTAIN_TEXT)
+
+
+def test_queries_are_packed_by_many_tasks(spark):
+    from quire.functions import scoring
+
+    asked = spark.range(5000).selectExpr("id AS query_id", "array(double(id % 7), 1D, double(id % 3)) AS embedding")
+    blocks = scoring.query_blocks(asked)
+    held = blocks.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(held) == 5 and all(r["count"] <= 2 for r in held)
+    vectors = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0])], "vec_id int, embedding array<double>")
+    hits = retrieval.dense_top_k(vectors, asked, k=1)
+    assert hits.count() == 5000 == hits.select("query_id").distinct().count()
+    assert {r["vec_id"] for r in hits.where("query_id % 7 > 1").collect()} == {1}
