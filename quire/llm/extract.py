@@ -12,7 +12,8 @@ for layouts without telling markup, and a bounded sample of the given pages that
 themselves (one ``article`` or ``main``), where labels follow the markup. Counting runs in tasks;
 only the counts, as many as there are kinds, reach the driver.
 
-Scripts, styles, comments of the markup and the head are dropped while parsing. Text of a block has
+Scripts, styles, text areas, titles, frames, comments of the markup and the head are dropped while
+parsing; all else is judged, formulas, drawings, objects and noscript parts too. Text of a block has
 its character references decoded and its white space made single; blocks are joined by line feeds.
 A null html is empty and gives an empty text. Every row gives one row; null ids and urls are kept.
 Other columns are ignored.
@@ -41,17 +42,16 @@ FLOORS = {"leaf": 0.03, "box": 0.003}  # least share of a value that is seen, so
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in (
-    "script", "style", "template", "noscript", "textarea", "title", "svg", "iframe", "select", "object", "math",
-)}
+#: Elements whose inside is no markup: all up to the closing tag is dropped, or to the end of the page without one.
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set(
     "html body article main section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody"
     " tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog menu"
-    " center hgroup search button label option".split()
+    " center hgroup search button label select option".split()
 )
 #: An element that ends when one of these begins inside its parent.
-_ENDS = {"p": _BLOCK - {"button", "label", "option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
+_ENDS = {"p": _BLOCK - {"button", "label", "select", "option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
          "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words in class, id and role, the first group that is found counts.
 _WORDS = [
@@ -75,7 +75,7 @@ _SAYS = [
     ("reply", re.compile(r"^(?:repl(?:y|ies)|comments?\b|\d+ comments|posted by|leave a)", re.I)),
 ]
 #: Kinds whose inside is never part of an article when pages label themselves.
-_APART = {"nav", "aside", "footer", "form", "header", "menu", "dialog", "button", "search", "label", "option"}
+_APART = {"nav", "aside", "footer", "form", "header", "menu", "dialog", "button", "search", "label", "select", "option"}
 _APART_WORDS = {"comment", "advert", "notice", "aside", "menu", "form", "bottom", "hidden"}
 
 
@@ -96,6 +96,7 @@ def parse(page: str) -> Tree:
     stack: list[tuple[str, int]] = [("root", 0)]
     buffer: list[str] = []
     linked = links = 0
+    drawn = 0  # open svg and math elements, in which "/>" closes any tag
     at = 0
 
     def add(parent: int, kind: str, seen: tuple, text: str | None, truth: str | None = None) -> int:
@@ -130,7 +131,15 @@ def parse(page: str) -> Tree:
         if name is None:
             continue
         name, closing = name.lower(), bool(tag[1])
+        if name in ("svg", "math"):
+            if closing:
+                drawn = max(0, drawn - 1)
+            elif not tag[3].endswith("/"):
+                drawn += 1
+            continue
         if not closing and name in _RAW:
+            if drawn and tag[3].endswith("/"):
+                continue
             end = _RAW[name].search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -146,6 +155,7 @@ def parse(page: str) -> Tree:
             continue
         if name not in _BLOCK:
             continue
+        drawn = 0  # an element of the page ends a drawing that was left open
         flush()
         if closing:
             for depth in range(len(stack) - 1, 0, -1):

@@ -84,6 +84,38 @@ def test_held_out_layouts(model):
     assert text.startswith("Head & tail\nHere the text") and text.count("\n") == 4
 
 
+_STORY = "<p>Here the text of an unseen page goes on at some length, with a turn or two, until it stops.</p>"
+
+
+@pytest.mark.parametrize(
+    "odd",
+    ["<svg width='1'/>", '<svg class="icon" />', "<math/>", "<svg><title/><style/><path d='M0'/></svg>", "<svg><path d='M0'>", "<math>",
+     "<object data='x'>", "<select>", "<select><option>One<option>Two</select>", "<noscript>", "<template>", "<OBJECT><svg/>"],
+)
+def test_odd_elements_do_not_drop_the_rest(model, odd):
+    """Self-closed and unclosed elements ahead of an article."""
+    page = f'<body><div class="header">{odd}<a href="/">Start</a></div><div class="post-body"><h1>Head</h1>{_STORY * 4}</div></body>'
+    text = model.extract(page)
+    assert text.startswith("Head\nHere the text") and text.count("Here the text") == 4
+
+
+def test_formulas_objects_and_noscript_stay(model):
+    inside = "".join(
+        f"<p>Here the text of the page holds {part}, and goes on at some length after it until it stops.</p>"
+        for part in ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "<object data='a'>words of an object</object>", "<noscript>words without scripts</noscript>")
+    )
+    text = model.extract(f'<body><div class="post-body"><h1>Head</h1>{_STORY * 2}{inside}</div></body>')
+    assert all(f"holds {words}, and" in text for words in ("x=2", "words of an object", "words without scripts"))
+
+
+def test_raw_elements_still_end_at_their_own_tag():
+    texts = lambda page: [t for t in extract.parse(page).text if t]
+    assert texts("<p>a<script/>if (x < 1) y</script>b</p>") == ["ab"]
+    assert texts("<p>a</p><style>p { x: y }") == ["a"]
+    assert texts("<p>a<svg><title>icon</title></svg>b<textarea>c</textarea></p>") == ["ab"]
+    assert texts("<p>a<svg><path></p><p>b<script/>c</script>d</p>") == ["a", "bd"]
+
+
 @pytest.mark.parametrize(
     "page", [None, "", "<", "<a <a <a", "</p></div>", "<p", "<!-- open", "<script>", "&#0;&bogus;&#x110000;", "<p>" * 3000, '<a "' * 5000 + ">"]
 )
