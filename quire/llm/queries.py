@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, counts, exact, extract, lines, minhash, packing, quality, vectors, warc
+from quire.llm import bpe, counts, exact, extract, lines, minhash, packing, quality, repair, vectors, warc
 from quire.llm.shared import ship
 
 
@@ -123,6 +123,58 @@ def op10_main_text(spark, folder):
     return extract.extract(pages, extract.train(pages))
 
 
+def op12_conversation_repair(spark, folder):
+    """All conversations damaged at fixed places, and the cheapest repair of each."""
+    return repair.repair(repair.damage(_table(spark, folder, "conversations")))
+
+
+# The checksum is worked out bit by bit; the cheapest edits row by row, the best of each state kept.
+OP12_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations),
+c AS (SELECT *, xor(list_reduce(list_transform(string_split(place, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+      lambda a, b: list_reduce([1, 1, 1, 1, 1, 1, 1, 1],
+        lambda d, k: xor(d >> 1, CASE WHEN d % 2 = 1 THEN 3988292384 ELSE 0 END), xor(a, b)), 4294967295), 4294967295) % 20 AS f FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN f = 0 THEN 0 WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+n AS (SELECT *, row_number() OVER w AS i, left(role, 1) AS r, lag(left(role, 1)) OVER w AS p,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+k AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS kind
+  FROM n),
+moves AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS m(q, r, z)),
+puts AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', 'user:' || chr(10)),
+    (0, 3, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 2, 5, 'I', 'user:' || chr(10)),
+    (1, 3, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 3, 5, 'I', 'assistant:' || chr(10)),
+    (2, 2, 10, 'II', 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 2, 5, 'I', 'user:' || chr(10)),
+    (3, 3, 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))) AS p(q, z, cost, audit, lines)),
+s AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {'cost': CAST(0 AS BIGINT), 'audit': '', 'done': ''} AS best FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT s.conv_id, k.i, s.q, {'cost': s.best.cost + 2, 'audit': s.best.audit || 'D', 'done': s.best.done} AS best
+      FROM s JOIN k ON k.conv_id = s.conv_id AND k.i = s.i + 1
+    UNION ALL
+    SELECT s.conv_id, k.i, m.z, {'cost': s.best.cost + p.cost + CASE WHEN e.e = 'K' THEN 0 ELSE 1 END + CASE WHEN kind = 't' THEN 5 ELSE 0 END,
+        'audit': s.best.audit || p.audit || e.e, 'done': s.best.done || p.lines || CASE WHEN e.e = 'K' THEN k.role WHEN m.r = 'u' THEN 'user'
+        ELSE 'assistant' END || ':' || k.text || chr(10)}
+      FROM s JOIN k ON k.conv_id = s.conv_id AND k.i = s.i + 1 AND k.kind IN ('k', 't') JOIN puts AS p ON p.q = s.q
+      CROSS JOIN (VALUES ('K'), ('R')) AS e(e) JOIN moves AS m ON m.q = p.z AND ((e.e = 'K' AND m.r = k.r) OR (e.e = 'R' AND m.r <> 's'))
+  ) AS x GROUP BY conv_id, i, q),
+o AS (SELECT conv_id, min({'cost': best.cost + p.cost, 'audit': best.audit || p.audit, 'done': best.done || p.lines}) AS best
+  FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS top FROM s) AS s JOIN puts AS p ON p.q = s.q AND p.z IN (0, 3)
+  WHERE i = top GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'b') AS blank,
+    count(*) FILTER (kind = 'd') AS duplicate, count(*) FILTER (kind = 't') AS truncated,
+    count(*) FILTER (p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit,
+  sha256(CASE WHEN best.done = '' THEN '' ELSE left(best.done, -1) END) AS repaired_sha256
+FROM o LEFT JOIN g USING (conv_id)
+"""
+
+
 QUERIES = {
     "op1_near_vectors": (op1_near_vectors, OP1_SQL),
     "op2_pack_documents": (op2_pack_documents, None),
@@ -134,4 +186,5 @@ QUERIES = {
     "op8_line_windows": (op8_line_windows, OP8_SQL),
     "op9_token_counts": (op9_token_counts, None),
     "op10_main_text": (op10_main_text, None),
+    "op12_conversation_repair": (op12_conversation_repair, OP12_SQL),
 }
