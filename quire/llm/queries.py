@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, counts, exact, extract, lines, minhash, packing, quality, repair, vectors, warc
-from quire.llm.shared import ship
+from quire.llm import bpe, counts, exact, extract, lines, minhash, negatives, packing, positions, quality, repair, vectors, warc
+from quire.llm.shared import ship, store
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -123,6 +123,29 @@ def op10_main_text(spark, folder):
     return extract.extract(pages, extract.train(pages))
 
 
+def op11_hard_negatives(spark, folder):
+    """Hard negatives of every fiftieth vector, for each of its five nearest of the same label."""
+    rows = store(negatives.prepared(negatives.relabelled(_table(spark, folder, "embeddings"))), "vectors")
+    return negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def op12_conversation_repair(spark, folder):
     """All conversations damaged at fixed places, and the cheapest repair of each."""
     return repair.repair(repair.damage(_table(spark, folder, "conversations")))
@@ -175,6 +198,29 @@ FROM o LEFT JOIN g USING (conv_id)
 """
 
 
+def op13_benchmark_hits(spark, folder):
+    """All documents against all windows of ten benchmark words."""
+    return positions.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> ''), []) AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_split_to_array(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + 9) AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM g))),
+m AS (SELECT doc_id, item, n, i FROM s JOIN g USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_near_vectors": (op1_near_vectors, OP1_SQL),
     "op2_pack_documents": (op2_pack_documents, None),
@@ -186,5 +232,7 @@ QUERIES = {
     "op8_line_windows": (op8_line_windows, OP8_SQL),
     "op9_token_counts": (op9_token_counts, None),
     "op10_main_text": (op10_main_text, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
     "op12_conversation_repair": (op12_conversation_repair, OP12_SQL),
+    "op13_benchmark_hits": (op13_benchmark_hits, OP13_SQL),
 }
