@@ -65,21 +65,24 @@ def _packed(column: str, limit: int) -> Callable:
     return run
 
 
-def _unpacked(stream: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(stream).read_next_batch()
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def query_blocks(queries: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
-    """Queries packed into blocks, each in a task of its own.
+def paired_blocks(rows: DataFrame, queries: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """``rows, queries``: every block of rows beside every block of queries, as Arrow streams.
 
-    The queries are stored first: a product computes a side again for each partition of
-    the other, and their number says how many blocks they make.
+    The queries are stored first: a product computes a side again for each partition of the
+    other, and their number says how many blocks they make. If there is more than one, the
+    rows are stored too, so that whatever made them runs once.
     """
-    spark, at = queries.sparkSession, f"{scratch_folder(queries.sparkSession)}/queries"
-    queries.write.parquet(at)
-    stored = spark.read.schema(queries.schema).parquet(at)
+    at = scratch_folder(queries.sparkSession)
+    stored = _stored(queries, f"{at}/queries")
     blocks = max(1, -(-stored.count() // limit))
-    return stored.repartition(blocks).mapInArrow(_packed("queries", limit), "queries binary")
+    asked = stored.repartition(blocks).mapInArrow(_packed("queries", limit), "queries binary")
+    packed = rows.mapInArrow(_packed("rows", limit), "rows binary")
+    return (packed if blocks == 1 else _stored(packed, f"{at}/rows")).crossJoin(asked)
 
 
 def best_matches(
@@ -107,6 +110,10 @@ def best_matches(
     id_arrow = to_arrow_type(T.DataType.fromDDL(id_type))
     limit = BLOCK_ROWS
 
+    # Nested like the readers, so that they are shipped whole and workers need no package install.
+    def unpacked(stream: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(stream).read_next_batch()
+
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Query ids, kept columns and scores of two blocks; the ids object is the same while the queries are."""
         seen, ids, weights = None, None, None
@@ -114,9 +121,9 @@ def best_matches(
             for stream, block in zip(batch.column(0), batch.column(1), strict=True):
                 asked = block.as_py()
                 if asked != seen:
-                    part = _unpacked(asked)
+                    part = unpacked(asked)
                     seen, ids, weights = asked, part.column("query_id").cast(id_arrow), read_queries(part).T.copy()
-                part = _unpacked(stream.as_py())
+                part = unpacked(stream.as_py())
                 scores = np.round(np.clip(read(part) @ weights, 0.0, 1.0), 12)
                 yield ids, pa.Table.from_batches([part]).select(keep), scores
 
@@ -158,6 +165,6 @@ def best_matches(
         if kept is not None:
             yield from shaped(kept, current, query, score)
 
-    blocks = rows.mapInArrow(_packed("rows", limit), "rows binary").crossJoin(query_blocks(queries, limit))
+    blocks = paired_blocks(rows, queries, limit)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + f", query_id {id_type}, score double"
     return blocks.mapInArrow(best if k else every, schema)

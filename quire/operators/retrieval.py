@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.scoring import best_matches, sparse_matrix, unit_matrix
-from quire.functions.text import FEATURE_DIMS, hash_features, l2_normalize, tokens
+from quire.functions.text import FEATURE_DIMS, dense_vector, hash_features, l2_normalize, tokens
 
 TOP_K = 6
 MIN_RELEVANCE = 0.03
@@ -81,6 +85,11 @@ def top_k(
         chunks = chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     rank = F.row_number().over(_best_first("query_id"))
     best = score_chunks(chunks, queries, k=k).withColumn("rank", rank).where(F.col("rank") <= k)
+    return filled(best, chunks, queries, k)
+
+
+def filled(best: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Ranked positive hits of every query, made up to ``k`` with the first other chunks at score zero."""
     gathered = best.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", *SPAN, "score"))).alias("hits")
     )
@@ -135,14 +144,15 @@ def dense_top_k(
     queries: DataFrame,
     k: int = TOP_K,
     min_relevance: float = MIN_RELEVANCE_DENSE,
+    dims: int | None = None,
 ) -> DataFrame:
     """The same ranking for dense vectors from any embedder.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. All are as
-    long as the longest vector of ``queries``; others, and those with nulls or
-    numbers that are not finite, take no part (:func:`unusable_vectors`).
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding. All are ``dims`` long
+    (not stated: as long as the longest vector of ``queries``, which is looked up); others, and those
+    with nulls or numbers that are not finite, take no part (:func:`unusable_vectors`).
     """
-    dims = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    dims = dims or queries.agg(F.max(F.size("embedding"))).first()[0] or 1
     usable = lambda df, key: df.where(_vector_fault(dims).isNull()).select(key, "embedding")
     matrix = unit_matrix("embedding", dims)
     scored = best_matches(
@@ -156,6 +166,44 @@ def dense_top_k(
     )
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """Turns texts into vectors of ``dims`` numbers, with the score from which a hit bears on a question.
+
+    ``embed`` makes a column of vectors from a column of texts: a built-in expression, or a pandas
+    UDF over an iterator of batches that loads its model once for each worker.
+    """
+
+    embed: Callable[[Column], Column]
+    dims: int
+    min_relevance: float = MIN_RELEVANCE_DENSE
+
+
+def hashing_embedder(dims: int = FEATURE_DIMS) -> Embedder:
+    """Hashed tokens written out; built-in functions only."""
+    embed = lambda text: dense_vector(l2_normalize(hash_features(tokens(text), dims)), dims)
+    return Embedder(embed, dims, MIN_RELEVANCE)
+
+
+def loaded_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], dims: int, min_relevance: float = MIN_RELEVANCE_DENSE) -> Embedder:
+    """An embedder of one's own: ``load`` runs once for each task and gives a function of a batch of texts."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series(model([t or "" for t in texts]), dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return Embedder(F.pandas_udf(run, "array<double>"), dims, min_relevance)
+
+
+def embed_top_k(texts: DataFrame, queries: DataFrame, embedder: Embedder, k: int = TOP_K) -> DataFrame:
+    """:func:`dense_top_k` of ``vec_id, text`` for ``query_id, question``, by any embedder and its own bar."""
+    vectors = texts.select("vec_id", embedder.embed(F.col("text")).alias("embedding"))
+    asked = queries.select("query_id", embedder.embed(F.col("question")).alias("embedding"))
+    return dense_top_k(vectors, asked, k, embedder.min_relevance, embedder.dims)
+
+
 def relevance_gate(
     hits: DataFrame,
     queries: DataFrame,

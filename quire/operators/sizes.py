@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.functions.running import renumber
 from quire.operators.assembly import safe_name
 
 BARELY = 0.01
@@ -67,6 +68,35 @@ def size_totals(sizes: DataFrame) -> DataFrame:
     )
 
 
+def grouped_totals(
+    rows: DataFrame, by: list[str], measure: str, distinct: str, exact: bool = True
+) -> DataFrame:
+    """Totals by every combination of ``by``, up to one line for all.
+
+    ``grouping`` has a bit for each column left out (the first is the highest). Rows are summed
+    once for the finest groups; the coarser lines are made of these sums, and of mergeable
+    sketches for the number of different values of ``distinct`` (``about``, within some percent).
+    With ``exact`` that number is also counted (``n_distinct``), from one row a group and value.
+    """
+    finest = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(measure).alias("s"), F.hll_sketch_agg(F.col(distinct).cast("string")).alias("sketch")
+    )
+    grouping = F.grouping_id(*by).cast("long").alias("grouping")
+    lines = finest.cube(*by).agg(
+        grouping, F.sum("n").alias("n_rows"), F.sum("s").alias("total"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"),
+    )
+    if not exact:
+        return lines
+    # Groups of one value: a coarser line counts it once however many of its groups have it.
+    values = rows.where(F.col(distinct).isNotNull()).select(*by, F.col(distinct).alias("_value")).distinct()
+    counted = values.cube(*by).agg(grouping, F.count_distinct("_value").alias("n_distinct"))
+    same = [lines["grouping"] == counted["grouping"], *[lines[c].eqNullSafe(counted[c]) for c in by]]
+    return lines.join(counted, same, "left").select(
+        *[lines[c] for c in by], lines["grouping"], "n_rows", "total", "about", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct")
+    )
+
+
 def flatten_estimate(docs: DataFrame, dpi: Column) -> DataFrame:
     """Pixels and rough bytes of drawing every page. ``docs``: doc_id, n_pages."""
     bad = dpi.isNull() | F.isnan(dpi) | (dpi <= 0) | (dpi == F.lit(float("inf")))
@@ -139,6 +169,20 @@ def traffic(requests: DataFrame, loads: DataFrame, uploads: DataFrame) -> DataFr
     )
 
 
+def first_seen_hosts(seen: DataFrame, salts: int = 16) -> DataFrame:
+    """``session, place, host, first``: each session's hosts in the order they were first seen.
+
+    ``seen``: session, ts, host. One row a host instead of a list, so a session may have any number.
+    First sights are found per salt and then per host; places are counted off in blocks of time.
+    """
+    salt = F.pmod(F.xxhash64("ts"), F.lit(salts)).alias("_salt")
+    early = seen.where("host IS NOT NULL").groupBy("session", "host", salt).agg(F.min("ts").alias("first"))
+    first = early.groupBy("session", "host").agg(F.min("first").alias("first"))
+    timed = first.withColumn("_micros", F.unix_micros(F.col("first").cast("timestamp")))
+    placed = renumber(timed, ["session"], ["_micros", "host"], "place", block=3_600_000_000)
+    return placed.select("session", "place", "host", "first")
+
+
 def plan_export(shapes: DataFrame, selection: DataFrame, requests: DataFrame) -> DataFrame:
     """Image files of the selected pages, or why a page cannot be exported.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.text import STOP_WORDS, dense_vector, hash_features, l2_normalize, tokens
-from quire.operators import chunking, retrieval
+from quire.operators import chunking, index, retrieval
 from quire.plans.chunk_queries import chunks_sql
 from quire.sources import fixtures as fx
+from quire.sources.scratch import scratch_folder
 from quire.sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -86,6 +87,17 @@ def top_k(spark, folder):
     return hits.selectExpr("query_id", "chunk_id", "bigint(rank) AS rank", "round(score, 6) AS score")
 
 
+def document_questions(spark, folder):
+    """The whole text of every twentieth document as a question."""
+    return table(spark, folder, "documents").where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text AS question")
+
+
+def index_top_k(spark, folder):
+    built = index.build(_chunks(spark, folder), scratch_folder(spark))
+    hits = index.index_top_k(built, document_questions(spark, folder))
+    return hits.selectExpr("query_id", "chunk_id", "bigint(rank) AS rank", "round(score, 6) AS score")
+
+
 def top_k_selected(spark, folder):
     picked = table(spark, folder, "labels").where("quality = 1")
     hits = retrieval.top_k(_chunks(spark, folder), questions(spark, folder), k=4, doc_ids=picked)
@@ -249,6 +261,11 @@ FROM (SELECT item_id, unnest(range(512)) AS b FROM benchmark) k LEFT JOIN f ON f
         top_k,
         f"{_BASE}, {_topk_sql('chunks', 6)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits",
     ),
+    "index_top_k": (
+        index_top_k,
+        f"""{fx.with_('corpus')}, questions AS (SELECT doc_id AS query_id, text AS question FROM documents WHERE doc_id % 20 = 0),
+{chunks_sql('corpus')}, {_topk_sql('chunks', 6)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM hits""",
+    ),
     "top_k_selected": (
         top_k_selected,
         f"""{_BASE}, picked AS (SELECT * FROM chunks WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),

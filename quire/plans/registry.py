@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["intake", "chunk", "answer", "scan", "leak", "layout", "assembly", "record", "stream"]
+MODULES = ["intake", "chunk", "answer", "scan", "leak", "layout", "assembly", "record", "history", "stream"]
 
 
 def _all() -> dict:
