@@ -264,10 +264,11 @@ def hard_negatives(
     )
     # Lists are padded to one width; a padded list takes nothing.
     filled = F.concat("near", F.array_repeat(F.lit(None).cast("struct<positive_id: bigint, score: bigint>"), F.lit(n_positives) - F.size("near")))
-    # div rounds towards zero, and negatives of a negative score do not exist: its bounds are 1 and 0.
+    # Negatives of a negative score do not exist: its bounds are 1 and 0. Hundreds and rest apart, so that nothing overflows.
+    share = "(p.score div 100) * {0} + ((p.score % 100) * {0} + {1}) div 100"
     limits = (
-        ("low", f"if(p.score >= 0, ({lowest} * p.score + 99) div 100, 1L)"),
-        ("cap", f"if(p.score >= 0, ({highest} * p.score) div 100, 0L)"),
+        ("low", f"if(p.score >= 0, {share.format(lowest, 99)}, 1L)"),
+        ("cap", f"if(p.score >= 0, {share.format(highest, 0)}, 0L)"),
     )
     low, cap = (F.expr(f"transform(filled, p -> {rule})").alias(name) for name, rule in limits)
     asked = store(

@@ -173,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     return clean.unionByName(
         hit.select(
             "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"),
-            F.coalesce(F.size("items").cast("long"), zero).alias("n_items"), listed.alias("items_sha256"),
+            F.when(F.col("items").isNull(), zero).otherwise(F.size("items").cast("long")).alias("n_items"), listed.alias("items_sha256"),
             F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
         )
     )

@@ -203,7 +203,7 @@ _FIELDS = f"""part int, seq int, done boolean, {", ".join(f"{c} bigint" for c in
 
 
 class _Block:
-    """Rows of one conversation in order, up to ``BLOCK`` items, with their counts."""
+    """Rows of one conversation in order, with their counts."""
 
     def __init__(self):
         self.rows: list[tuple[str, str, int]] = []
@@ -280,7 +280,7 @@ def _named(edits: list[dict], state: int, tail: str) -> tuple[str, int]:
     return ",".join(lines), state
 
 
-def _blocks(items: DataFrame) -> DataFrame:
+def _blocks(items: DataFrame, size: int) -> DataFrame:
     """Blocks of every conversation in order; those that hold a whole conversation are searched.
 
     A partition's first and last conversation may go on in the next one and are never taken as whole.
@@ -311,7 +311,7 @@ def _blocks(items: DataFrame) -> DataFrame:
                     if begun and row[0] != conv:
                         yield tell(conv, part, seq, held, not first and seq == 0)
                         first, held, seq = False, _Block(), 0
-                    elif len(held.rows) >= BLOCK:
+                    elif len(held.rows) >= size:
                         yield tell(conv, part, seq, held, False)
                         held, seq = _Block(), seq + 1
                     begun, conv = True, row[0]
@@ -469,21 +469,21 @@ class _Lines:
         return self.hash.hexdigest()
 
 
-def plan(rows: DataFrame) -> DataFrame:
+def plan(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """Searched conversations of ``conv_id, turn, role, text, copies``.
 
     Closing rows (``done``) have the counts, the cost, the audit and the roles put at the end; every
     row may hold ``edits``: rows that stay, what is inserted before each, and the role it gets.
     """
-    blocks = store(_blocks(_items(rows)), "blocks")
+    blocks = store(_blocks(_items(rows), block), "blocks")
     parts = blocks.where("NOT done")
     later = store(_behind(parts), "behind")
     return store(blocks.where("done").unionByName(_forward(later, blocks.schema)), "plan")
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256``."""
-    kept = plan(rows)
+    kept = plan(rows, block)
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).cast("long").alias("gaps")
     told = kept.where("done").select("conv_id", gaps, "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     hashes = _hashes(rows, kept).withColumnRenamed("conv_id", "_conv_id")
