@@ -6,8 +6,9 @@ applied at all its positions, from left to right, and only the pairs with the tw
 merged place are looked up again. A word whose bytes are a token is that token. Ranks need not grow
 along a merge chain: a lower rank that turns up is taken before the rest of the current one.
 
-A task keeps the ids of words it has met (``units.Known``), so a slice replays only new words,
-and no pre-token is shuffled. Decoding joins the tokens' bytes.
+A worker process keeps the ids of the words and units it has met, whatever the task, in two generations
+of bounded size; a slice replays only words that are new there, and no pre-token is shuffled. Decoding
+joins the tokens' bytes.
 
 A null text is empty (no ids). Every row gives one row. Other columns are ignored.
 """
@@ -18,6 +19,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from quire.llm import units
 from quire.llm.shared import batches
 
+WORDS = 300_000  # words of a generation that a worker keeps the ids of
 GONE = -1  # a place whose token was merged into its left neighbour
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 
@@ -47,6 +50,8 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.words: dict[str, bytes] = {}  # ids of words met, and of those met some time ago
+        self.older: dict[str, bytes] = {}
         self.digits = [str(i) for i in range(len(self.tokens))]
         self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
         # Every way to join two tokens into one: left << 32 | right -> rank.
@@ -130,12 +135,25 @@ class Vocabulary:
         return [[i for i in ids[a:b] if i != GONE] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def code(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts as little-endian 32-bit numbers; their words are replayed together."""
+        """Ids of texts as little-endian 32-bit numbers; their words that are not known yet are replayed together."""
         split = [_SPLIT.findall(t) for t in texts]
-        words = list({w for s in split for w in s})
-        known = dict(zip(words, self.replay([w.encode() for w in words]), strict=True))
-        packed = {w: np.array(ids, dtype="<u4").tobytes() for w, ids in known.items()}
-        return [b"".join([packed[w] for w in s]) for s in split]
+        wanted = {w for s in split for w in s}
+        if len(self.words) > WORDS:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        new = []
+        for w in wanted:
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                else:
+                    new.append(w)
+        once = {}
+        for w, ids in zip(new, self.replay([w.encode() for w in new]), strict=True):
+            (words if len(w) <= units.LONG else once)[w] = array("I", ids).tobytes()
+        if once:
+            words = words | once
+        return [words[s[0]] if len(s) == 1 else b"".join([words[w] for w in s]) for s in split]
 
 
 @functools.cache
@@ -143,21 +161,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _blocks(text: str) -> list[list[str]]:
-    """Units of any text; one that cannot be cut by ``str.split`` is cut by the pattern."""
-    return list(units.pieces(text)) if units.plain(text) else [[w] for w in _SPLIT.findall(text)]
-
-
 def _words(path: str) -> units.Known:
-    """The ids of the units that a task has met."""
-    return units.Known(vocabulary(path).code)
+    """The ids of the units that a worker has met."""
+    return units.kept("merged", path, vocabulary(path).code)
 
 
 def _coded(keys: pa.Array, texts: pa.Array, known: units.Known) -> Iterator[tuple]:
     """Key and ids (bytes) of every row."""
     for begin, end in units.byte_slices(texts):
         part = texts.slice(begin, end - begin).to_pylist()
-        cut = [_blocks(t or "") for t in part]
+        cut = [units.blocks(t or "") if units.SPECIAL not in (t or "") else [[w] for w in _SPLIT.findall(t)] for t in part]
         known.learn([block for blocks in cut for block in blocks])
         for key, blocks in zip(keys.slice(begin, end - begin).to_pylist(), cut, strict=True):
             yield key, b"".join([b"".join(known.values(block)) for block in blocks])

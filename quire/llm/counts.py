@@ -2,8 +2,8 @@
 
 First tier: a table of the most frequent units' token counts, broadcast to all tasks. It is found
 in one pass in which every task counts its own units and passes on only its most frequent ones, so
-no pre-token is shuffled; its size is bounded by ``table``. Second tier: units that miss it are
-coded by the library once per worker and kept. Which units are in the table changes only the
+no pre-token is shuffled; its size is bounded by ``table`` units of at most ``units.LONG`` characters.
+Second tier: units that miss it are coded by the library once per worker process and kept. Which units are in the table changes only the
 speed, never a count.
 
 A null text is empty (0 tokens, 0 bytes). Every row gives one row, also repeated ones and those
@@ -39,7 +39,7 @@ def frequent_units(docs: DataFrame, table: int = TABLE, per_task: int = PER_TASK
                 text = text.as_py() or ""
                 if units.plain(text):
                     for block in units.pieces(text):
-                        counted.update(block[1:])
+                        counted.update(u for u in block[1:] if len(u) <= units.LONG)
                 if len(counted) > COUNTED:
                     counted = Counter(dict(counted.most_common(COUNTED // 2)))
         schema = pa.schema([("unit", pa.string()), ("n", pa.int64())])
@@ -61,7 +61,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, table: int = TABL
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiers = units.Known(lambda texts: [len(i) for i in units.encode(path, texts)], shared.value)
+        tiers = units.kept("lengths", path, lambda texts: [len(i) // 4 for i in units.unit_ids(path, texts)], shared.value)
         for batch in source:
             keys, texts = batch.column(0), batch.column(1)
             schema = pa.schema([("doc_id", keys.type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -75,7 +75,7 @@ def _count(keys, texts, tiers, path):
     sizes = pc.fill_null(pc.binary_length(texts), 0)
     for begin, end in units.byte_slices(texts):
         part = [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
-        cut = [list(units.pieces(t)) if units.plain(t) else None for t in part]
+        cut = [None if units.SPECIAL in t else units.blocks(t) for t in part]
         tiers.learn([block for blocks in cut if blocks for block in blocks])
         rows = zip(keys.slice(begin, end - begin).to_pylist(), sizes.slice(begin, end - begin).to_pylist(), part, cut, strict=True)
         for key, size, text, blocks in rows:

@@ -43,7 +43,7 @@ def coded(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = units.Known(lambda texts: units.ids_bytes(path, texts))
+        known = units.kept("ids", path, lambda texts: units.unit_ids(path, texts))
         for batch in source:
             keys, texts = batch.column(0), batch.column(1)
             schema = pa.schema(
@@ -58,7 +58,7 @@ def coded(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
 def _code(keys, texts, known, path, capacity, with_ids):
     for begin, end in units.byte_slices(texts):
         part = [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
-        cut = [list(units.pieces(t)) if units.plain(t) else None for t in part]
+        cut = [None if units.SPECIAL in t else units.blocks(t) for t in part]
         known.learn([block for blocks in cut if blocks for block in blocks])
         for key, text, blocks in zip(keys.slice(begin, end - begin).to_pylist(), part, cut, strict=True):
             if blocks is None:

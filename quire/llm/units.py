@@ -13,21 +13,34 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 SPECIAL = "<|endoftext|>"
 SLICE = 1 << 20  # characters cut at once
-KEPT = 400_000  # units a task keeps; beyond it the kept ones are let go and coded again when met
+KEPT = 64 << 20  # bytes of a generation of kept units
+LONG = 64  # characters of a unit that is worth keeping
+_ENTRY = 170  # bytes of a kept unit beside its text and value
+_MARKS = frozenset(".,;:!?")
+_HEAD = "\0"  # marks a unit without a space in front
 
 _ADJACENT = re.compile(r"\s\s")
+_SPLIT = regex.compile(public_tokenizers.PATTERN)
 
 
 def plain(text: str) -> bool:
-    return SPECIAL not in text and _ADJACENT.search(text) is None
+    return SPECIAL not in text and _HEAD not in text and _ADJACENT.search(text) is None
+
+
+def blocks(text: str) -> list[list[str]]:
+    """Units of any text without the special string; one that ``str.split`` cannot cut is cut by the pattern."""
+    return list(pieces(text)) if plain(text) else [[w] for w in _SPLIT.findall(text)]
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -67,7 +80,34 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
 
 def ids_bytes(path: str, texts: list[str]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit numbers."""
-    return [np.array(i, dtype="<u4").tobytes() for i in encode(path, texts)]
+    return [array("I", i).tobytes() for i in encode(path, texts)]
+
+
+@functools.cache
+def _token_bytes(path: str) -> np.ndarray:
+    """How many bytes each token stands for: tokens are spelled with one character a byte."""
+    known = tokenizer(path)
+    return np.array([len(known.id_to_token(i) or "") for i in range(known.get_vocab_size())], dtype=np.int64)
+
+
+def unit_ids(path: str, texts: list[str]) -> list[bytes]:
+    """:func:`ids_bytes` of units. Those that may follow each other are coded as one text and cut by their bytes."""
+    out: list[bytes | None] = [None] * len(texts)
+    row = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] in " \n" and not t[1].isspace() and not t[-1].isspace()]
+    if row:
+        ids = np.array(encode(path, ["".join([texts[i] for i in row])])[0], dtype="<u4")
+        ends = np.cumsum(_token_bytes(path)[ids])
+        bounds = np.cumsum([len(texts[i].encode()) for i in row])
+        cuts = np.searchsorted(ends, bounds) + 1
+        if cuts[-1] == len(ends) and (ends[cuts - 1] == bounds).all():
+            raw, at = ids.tobytes(), 0
+            for i, cut in zip(row, (4 * cuts).tolist(), strict=True):
+                out[i] = raw[at:cut]
+                at = cut
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, ids in zip(rest, ids_bytes(path, [texts[i] for i in rest]), strict=True):
+        out[i] = ids
+    return out
 
 
 def byte_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -83,44 +123,94 @@ def byte_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 class Known:
     """Values of units, worked out for all unknown units of a slice at once, then kept.
 
-    ``fixed`` holds values that every worker has from the start (a broadcast table); the rest are
-    kept up to ``KEPT`` entries. Each task has its own.
+    They are kept in two generations: when the younger one holds ``KEPT`` bytes it becomes the older
+    one, and what is met again moves back, so frequent units stay. ``first`` has values to begin with
+    (a broadcast table). Units over ``LONG`` characters serve their slice only.
     """
 
     def __init__(self, code: Callable[[list[str]], list], first: dict | None = None):
         self.code = code
-        self.fixed = first or {}
-        self.later: dict = _Second()
-        self.later.first = self.fixed
-        self.heads: dict = {}
+        self.young, self.old, self.size = _Chain(self), {}, 0
+        self.once: dict = {}
+        self.begun: dict | None = None
+        self.begin(first)
+
+    def begin(self, first: dict | None) -> None:
+        """Take over values that are there already."""
+        if first and first is not self.begun:
+            self.begun = first
+            self.young.update(first)
+            self.size += _ENTRY * len(first)
 
     def learn(self, cut: list[list[str]]) -> None:
         """Make the units of these blocks known."""
-        unknown: set[str] = set()
+        wanted: set[str] = set()
         for block in cut:
-            unknown.update(block[1:])
-        unknown.difference_update(self.fixed)
-        new = [u for u in unknown if u not in self.later]
-        if len(self.later) + len(new) > KEPT:
-            self.later.clear()
-            new = list(unknown)
-        self.later.update(zip(new, self.code([literal(u) for u in new]), strict=True))
-        if len(self.heads) > KEPT // 4:
-            self.heads.clear()
-        heads = list({block[0] for block in cut if block[0]}.difference(self.heads))
-        self.heads.update(zip(heads, self.code(heads), strict=True))
+            wanted.update(block[1:])
+        wanted.update(_HEAD + block[0] for block in cut if block[0])
+        self.once = {}
+        if self.size > KEPT:
+            self.young, self.old, self.size = _Chain(self), dict(self.young), 0
+        unknown, split, young = [], [], self.young
+        for u in wanted:
+            if u in young:
+                continue
+            if u in self.old:
+                self._keep(u, self.old[u])
+            elif u[-1:] in _MARKS and u[-2:-1].isalnum():
+                split.append(u)
+            else:
+                unknown.append(u)
+        # A mark behind a word is a pre-token of its own: both parts are known more often than the whole.
+        parts = {p for u in split for p in (u[:-1], _HEAD + u[-1]) if p not in young}
+        for p in parts.difference(wanted):
+            if p in self.old:
+                self._keep(p, self.old[p])
+            else:
+                unknown.append(p)
+        for u, value in zip(unknown, self.code([_spelled(u) for u in unknown]), strict=True):
+            if len(u) > LONG:
+                self.once[u] = value
+            else:
+                self._keep(u, value)
+        for u in sorted(split, key=len):  # a part may itself be one of these
+            value = young[u[:-1]] + young[_HEAD + u[-1]]
+            if len(u) > LONG:
+                self.once[u] = value
+            else:
+                self._keep(u, value)
+
+    def _keep(self, unit: str, value) -> None:
+        self.young[unit] = value
+        self.size += _ENTRY + len(unit) + (len(value) if isinstance(value, bytes) else 0)
 
     def values(self, block: list[str]) -> list:
         """Values of a block's units in order."""
-        found = [self.heads[block[0]]] if block[0] else []
-        found.extend(map(self.later.__getitem__, block[1:]))
+        found = [self.young[_HEAD + block[0]]] if block[0] else []
+        found.extend(map(self.young.__getitem__, block[1:]))
         return found
 
 
-class _Second(dict):
-    """Worker's own entries in front, the broadcast ones behind."""
+class _Chain(dict):
+    """The younger units, and behind them those that only the slice needs."""
 
-    first: dict
+    def __init__(self, known: Known):
+        super().__init__()
+        self.known = known
 
     def __missing__(self, unit):
-        return self.first[unit]
+        return self.known.once[unit]
+
+
+def _spelled(key: str) -> str:
+    return key[1:] if key.startswith(_HEAD) else literal(key)
+
+
+_kept: dict[tuple[str, str], Known] = {}
+
+
+def kept(name: str, path: str, code: Callable[[list[str]], list], first: dict | None = None) -> Known:
+    """The units that this worker process has met, whatever the task; ``name`` and ``path`` tell the values apart."""
+    known = _kept.setdefault((name, path), Known(code))
+    known.begin(first)
+    return known
