@@ -9,7 +9,8 @@ marginal probability of every leaf; the leaves more likely than not are the text
 
 The potentials are smoothed counts from labelled pages: a few that are written out here (``SEEDS``)
 for layouts without telling markup, and a bounded sample of the given pages that mark their article
-themselves (one ``article`` or ``main``), where labels follow the markup. Counting runs in tasks;
+themselves (one ``article`` or ``main``), where labels follow the markup; the sample is drawn by a hash
+of the page, so it is the same in every run and from all sources alike. Counting runs in tasks;
 only the counts, as many as there are kinds, reach the driver.
 
 Scripts, styles, text areas, titles, frames, comments of the markup and the head are dropped while
@@ -34,13 +35,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import units
+from quire.llm.shared import batches
 
 LABELLED = 200  # pages of the table that the model is fitted on
 SEED_WEIGHT = 20.0  # of a page written out here, next to one from the table
 SMOOTH = 0.5
 FLOORS = {"leaf": 0.03, "box": 0.003}  # least share of a value that is seen, so that one sight never decides alone
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: Comments, other declarations, end tags without a name, and tags: quotes only count where a value begins.
+_TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|</(?![a-zA-Z])[^>]*+>"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>""",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Elements whose inside is no markup: all up to the closing tag is dropped, or to the end of the page without one.
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
@@ -97,6 +104,7 @@ def parse(page: str) -> Tree:
     buffer: list[str] = []
     linked = links = 0
     drawn = 0  # open svg and math elements, in which "/>" closes any tag
+    heading = False  # inside the head, whose tags are skipped one by one
     at = 0
 
     def add(parent: int, kind: str, seen: tuple, text: str | None, truth: str | None = None) -> int:
@@ -120,6 +128,8 @@ def parse(page: str) -> Tree:
     while True:
         tag = _TAG.search(page, at, last)
         piece = page[at : tag.start() if tag else len(page)]
+        if heading and not piece.isspace():
+            heading = not piece  # words end it
         if piece:
             buffer.append(piece)
             if links > 0:
@@ -148,14 +158,11 @@ def parse(page: str) -> Tree:
         if name == "br" or name == "hr":
             buffer.append(" ")
         if name == "head":
-            if not closing:
-                end = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-                if end:
-                    at = end.start() if end[0][1] != "/" else end.end()
+            heading = not closing
             continue
         if name not in _BLOCK:
             continue
-        drawn = 0  # an element of the page ends a drawing that was left open
+        drawn, heading = 0, heading and name == "html"  # an element of the page ends what was left open
         flush()
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -313,14 +320,24 @@ def train(pages: DataFrame, labelled: int = LABELLED) -> Model:
     """Fit the potentials on the written pages and on at most ``labelled`` pages that mark their article."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        schema = pa.schema([("draw", pa.int64()), ("key", pa.string()), ("n", pa.float64())])
         for batch in source:
-            for page in batch.column(0):
-                found.update(counted(parse(page.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["key", "n"])
-
-    sample = pages.select("html").where("html LIKE '%<article%' OR html LIKE '%<main%'").limit(labelled)
-    rows = sample.mapInArrow(run, "key string, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
+            found = (
+                (draw, key, n)
+                for draw, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+                for key, n in counted(parse(page.as_py())).items()
+            )
+            yield from batches(found, schema)
+
+    text = F.col("html")
+    marks = [text.contains(m) for m in ("<article", "<main", "<ARTICLE", "<MAIN")]
+    marked = pages.where(marks[0] | marks[1] | marks[2] | marks[3]).select(F.xxhash64("page_id", "html").alias("draw"), "html")
+    # Some more than are wanted, as not every page can be used; of these the first by their hash.
+    share = min(1.0, (4 * labelled + 100) / max(1, marked.count()))
+    drawn = marked.where(F.abs(F.col("draw") / F.lit(float(1 << 63))) <= share)
+    rows = drawn.mapInArrow(run, "draw long, key string, n double")
+    first = rows.select("draw").distinct().orderBy("draw").limit(labelled)
+    rows = rows.join(first, "draw").groupBy("key").agg(F.sum("n").alias("n")).collect()
     counts = Counter({r["key"]: r["n"] for r in rows})
     for page in SEEDS:
         counts.update(counted(parse(page), SEED_WEIGHT))
