@@ -2,14 +2,14 @@
 
 Headers (digest, size, id) are cut from the pages and shuffled by payload digest, without the
 payloads; of records with equal payloads of at least ``SMALLEST`` bytes the one with the largest
-``page_id`` is the original, the others revisit it. The originals of repeated payloads are a table
-in the shared folder, so the optimizer knows its size: it is broadcast where it is small, and
-otherwise the pages are joined to it by digest, large digests split. A revisit record carries fresh
-headers and no payload.
+``page_id`` is the original, the others revisit it. Revisit records are made of headers alone. The
+other pages become responses where they lie: a Bloom filter of the revisiting pages lets them pass, and
+only the few pages that it takes for revisits by mistake are joined to tell them apart.
 
 An archive is written by Spark's text writer: a record is one row, and the row separator is the
-blank line that ends a record. Files hold at most ``PER_FILE`` records, so a task that reads one back
-holds little. Records are made of UTF-8 text, as the payloads are.
+blank line that ends a record. Records are written by classes of size, so that a file holds some
+``FILE_BYTES`` at most (or one larger record), and ``PER_FILE`` records; a task reads back one file at a
+time. Records are made of UTF-8 text, as the payloads are.
 
 A null html is an empty payload, a null url an empty target. Every row of the pages gives one record;
 repeated rows of the largest ``page_id`` are all originals. A ``page_id`` that is null is kept as
@@ -25,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import bloom
 from quire.llm.shared import batches, folder, store
 
 SMALLEST = 1000
 PER_FILE = 2000
+FILE_BYTES = 64 << 20
+CLASSES = [1 << n for n in (15, 18, 21, 24)]  # largest payloads of the classes of size; the last has no limit
 END = "\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,15 +58,25 @@ def originals(heads: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     )
 
 
-def resolve(pages: DataFrame, smallest: int = SMALLEST) -> DataFrame:
-    """The pages' headers and payloads, with ``refers_to`` for those that revisit another page."""
-    heads = headers(pages)
-    kept = store(originals(heads.drop("html", "url"), smallest), "originals")
+_KEY = "__page"
+
+
+def resolve(pages: DataFrame, smallest: int = SMALLEST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All headers; responses with their payload; and the headers of revisits with ``refers_to``."""
+    key = F.concat_ws(":", "payload_digest", F.col("page_id").cast("string")).alias(_KEY)
+    full = headers(pages).withColumn("refers_to", F.lit(None).cast("long")).select("*", key)
+    heads = store(full.drop("html", "refers_to"), "headers")
+    kept = store(originals(heads, smallest), "originals")
     revisits = (F.col("payload_bytes") >= smallest) & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return heads.join(kept, "payload_digest", "left").select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest",
-        F.when(revisits, F.col("original")).alias("refers_to"),
+    again = store(
+        heads.join(kept, "payload_digest").where(revisits).withColumnRenamed("original", "refers_to").withColumn("html", F.lit("")), "revisits"
     )
+    keys = store(again.select(_KEY).distinct(), "revisiting")
+    passed, maybe = bloom.split(full, _KEY, keys)
+    # Without payloads: pages that the filter takes for revisits by mistake.
+    mistaken = store(bloom.split(heads, _KEY, keys)[1].join(keys, _KEY, "left_anti").select(_KEY).distinct(), "mistaken")
+    spared = bloom.split(maybe, _KEY, mistaken)[1].join(mistaken, _KEY, "left_semi")
+    return heads, passed.unionByName(spared), again
 
 
 def record() -> Column:
@@ -95,10 +108,22 @@ def record() -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST, per_file: int = PER_FILE) -> None:
+def write_archives(
+    pages: DataFrame, path: str, smallest: int = SMALLEST, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES
+) -> None:
     """Write the pages as archives below ``path``, each repeated payload once."""
-    rows = resolve(pages, smallest).select(record().alias("record"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    heads, responses, revisits = resolve(pages, smallest)
+    bounds = [-1, *(c for c in CLASSES), None]
+    size = F.col("payload_bytes")
+    inside = [(size > low) & (size <= high) if high else size > low for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+    met = heads.agg(*(F.max(rule.cast("int")).alias(f"c{n}") for n, rule in enumerate(inside))).first()
+    out = lambda rows, n: (
+        rows.select(record().alias("record")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", n).text(path)
+    )
+    for n, (rule, high) in enumerate(zip(inside, bounds[1:], strict=True)):
+        if n == 0 or met[f"c{n}"]:
+            out(responses.where(rule), max(1, min(per_file, file_bytes // high)) if high else 1)
+    out(revisits, per_file)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
