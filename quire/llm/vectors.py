@@ -43,6 +43,13 @@ def hadamard(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(d)
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by a power of two first, so that no square overflows or is lost."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, keepdims=True))
+    rows = np.ldexp(rows, -exponent)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def buckets(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
     """Bucket keys of unit vectors: rows by (tables * probes)."""
     n, d = unit.shape
@@ -72,8 +79,8 @@ def buckets(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes
     return out
 
 
-def _entries(members: DataFrame) -> DataFrame:
-    """``id, bucket`` of every member ``id, vector``."""
+def _hashed(members: DataFrame) -> DataFrame:
+    """``id, keys, payload`` of every member ``id, vector``; the payload is the vector's bytes and its keys'."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -84,14 +91,14 @@ def _entries(members: DataFrame) -> DataFrame:
                 flat = np.asarray(vectors.take(pa.array(rows)).flatten(), dtype=np.float64).reshape(len(rows), d)
                 for at in range(0, len(rows), 1024):
                     part = flat[at : at + 1024]
-                    unit = part / np.linalg.norm(part, axis=1, keepdims=True)
-                    keys = buckets(unit)
-                    own = np.repeat(np.asarray(ids.take(pa.array(rows[at : at + 1024]))), keys.shape[1])
+                    keys = buckets(unit(part))
+                    payload = [v.tobytes() + k.tobytes() for v, k in zip(part, keys, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own), pa.array(keys.reshape(-1))], names=["id", "bucket"]
+                        [ids.take(pa.array(rows[at : at + 1024])), pa.array(list(keys), pa.list_(pa.int64())), pa.array(payload, pa.binary())],
+                        names=["id", "keys", "payload"],
                     )
 
-    return members.select("id", "vector").mapInArrow(run, "id long, bucket long")
+    return members.select("id", "vector").mapInArrow(run, "id long, keys array<long>, payload binary")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -108,13 +115,23 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     members = store(
         sound.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")), "members"
     )
-    entries = store(_entries(members), "entries")
+    hashed = store(_hashed(members), "hashed")
+    entries = hashed.select("id", F.explode("keys").alias("bucket"))
     full = store(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = entries.join(full, "bucket").join(_binary(members), "id").withColumn("mark", F.lit(0).cast("long"))
+    met = entries.join(full, "bucket").join(hashed.select("id", "payload"), "id").withColumn("mark", F.lit(0).cast("long"))
+    tail = 8 * TABLES * PROBES
 
     def close(bucket, mark_x, x, mark_y, y):
-        p, q = (np.ascontiguousarray(v).view(np.float64) for v in (x, y))
-        return (p / np.linalg.norm(p, axis=1, keepdims=True)) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T >= cosine
+        p, q = (np.ascontiguousarray(v[:, :-tail]).view(np.float64) for v in (x, y))
+        good = unit(p) @ unit(q).T >= cosine
+        a, b = np.nonzero(good)
+        keys_x, keys_y = (np.ascontiguousarray(v[:, -tail:]).view(np.int64).reshape(len(v), TABLES, PROBES) for v in (x, y))
+        for at in range(0, len(a), 4096):
+            left, right = keys_x[a[at : at + 4096]][..., None], keys_y[b[at : at + 4096]][..., None, :]
+            least = np.where(left == right, left, np.iinfo(np.int64).max).min(axis=(1, 2, 3))
+            # A pair is given out in the least bucket that both are in, and nowhere else.
+            good[a[at : at + 4096], b[at : at + 4096]] = least == bucket
+        return good
 
     links = store(compare_in_buckets(met, close), "links")
     found = connected(links)
@@ -142,14 +159,3 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.coalesce("component", "vec_id").alias("component_id"),
         F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"),
     )
-
-
-def _binary(members: DataFrame) -> DataFrame:
-    """``id, payload``: the components as bytes."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            values = [np.asarray(v.values, dtype=np.float64).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["id", "payload"])
-
-    return members.select("id", "vector").mapInArrow(run, "id long, payload binary")
