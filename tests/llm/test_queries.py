@@ -29,8 +29,8 @@ def test_query_equals_sql(spark, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cur.fetchall(), names)
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_near_duplicates_query(spark):
@@ -54,7 +54,7 @@ def test_pipeline_stage_by_stage(spark):
     assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == want
 
     left = stages["near duplicates"](spark, cut, FOLDER)
-    label = components(want, near_links(want))
+    label = components(want, near_links(want, 80))
     kept = {r["doc_id"]: r["text"] for r in left.collect()}
     assert left.columns == docs.columns and set(kept) == {i for i in want if label[i] == i}
 
