@@ -73,12 +73,15 @@ def settle_names(
     )
     moves = walked.groupBy(*key, "_n").agg(F.count("*").alias("_move")).withColumn("_row", F.lit(0))
     placed = renumber(rows, key, order, "_n").withColumn("_row", F.lit(1))
-    both = placed.unionByName(moves, allowMissingColumns=True)
-    settled = running_total(both, key, ["_n", "_row"], F.coalesce("_move", F.lit(0)), "_moved").where("_row = 1")
+    # Most names have no form that is wanted: their number is their place.
+    moved = moves.select(*key).distinct()
+    plain = placed.join(moved, key, "left_anti").withColumn("_moved", F.lit(0).cast("long"))
+    both = placed.join(moved, key, "left_semi").unionByName(moves, allowMissingColumns=True)
+    settled = running_total(both, key, ["_n", "_row"], F.coalesce("_move", F.lit(0)), "_moved").where("_row = 1").drop("_move")
     number = F.col("_n") + F.col("_moved") + 1
-    return settled.withColumn(
+    return plain.unionByName(settled).withColumn(
         out, F.when(number == 1, F.col(name)).otherwise(numbered(F.col(name), number.cast("string")))
-    ).drop("_n", "_row", "_move", "_moved")
+    ).drop("_n", "_row", "_moved")
 
 
 def _walk(n_group: int, kinds: pa.Schema) -> Callable:

@@ -19,8 +19,9 @@ GRAMS = (12, 4, 3, 2, 1)
 SEAM = "\u0000"
 # Shortest segment of a document that phrases across pages are looked for in.
 SEGMENT = 4096
-# 64-bit words of the filter of anchors that every page's runs of characters pass.
-FILTER_WORDS = 1 << 14
+# 64-bit words of the filter of anchors that every page's runs of characters pass: one for each
+# anchor, between these bounds. The upper one is the size of what every task gets, 8 MB.
+FILTER_WORDS = (1 << 14, 1 << 20)
 
 
 def _needles(phrases: DataFrame) -> DataFrame:
@@ -147,18 +148,19 @@ def _anchored(needles: DataFrame) -> DataFrame:
     )
 
 
-def _slot(gram: Column) -> tuple[Column, Column]:
+def _slot(gram: Column, n_words: Column) -> tuple[Column, Column]:
     """Word of the anchor filter and bit in it."""
     h = F.xxhash64(gram)
-    return F.pmod(h, F.lit(FILTER_WORDS)), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
+    return F.pmod(h, n_words), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")
 
 
-def _filter_of(anchored: DataFrame) -> Column:
-    """The anchors as one array of words with a bit set for each, whatever their number."""
-    word, bit = _slot(F.col("gram"))
+def _filter_of(anchored: DataFrame, n_words: Column) -> Column:
+    """The anchors as one array of words with a bit set for each."""
+    word, bit = _slot(F.col("gram"), n_words)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     words = anchored.groupBy(word.alias("id")).agg(F.bit_or(one).alias("bits"))
-    every = anchored.sparkSession.range(0, FILTER_WORDS, 1, 1).join(words, "id", "left")
+    places = anchored.sparkSession.range(0, FILTER_WORDS[1], 1, 1).where(F.col("id") < n_words)
+    every = places.join(words, "id", "left")
     listed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
     return every.groupBy().agg(F.transform(listed, lambda w: w["bits"])).scalar()
 
@@ -179,12 +181,13 @@ def _found(texts: DataFrame, needles: DataFrame) -> DataFrame:
             F.collect_set("view").alias("views"),
             F.coalesce(F.max(F.length("needle")), F.lit(1)).alias("reach"),
             F.collect_set("size").alias("sizes"),
+            F.greatest(F.lit(FILTER_WORDS[0]), F.least(F.lit(FILTER_WORDS[1]), F.count("*"))).alias("words"),
         )
     ).scalar()
-    anchors = _filter_of(anchored)
+    anchors = _filter_of(anchored, facts["words"])
     stacks = _haystacks(texts, facts["views"], facts["reach"])
 
-    word, bit = _slot(F.col("gram"))
+    word, bit = _slot(F.col("gram"), facts["words"])
     may_be_anchor = F.getbit(F.get(anchors, word.cast("int")), bit) == 1
     grams = F.concat(
         *[

@@ -52,6 +52,27 @@ def phrase_hits(spark, folder):
     return leaks.phrase_hits(fx.corpus(spark, folder), phrases(spark, folder))
 
 
+def long_phrases(spark, folder):
+    """Ends and beginnings of conversations' turns, and every whole document that is a multiple of fifty."""
+    turns = table(spark, folder, "conversations").selectExpr(
+        "conv_id * 1000 + turn * 2 AS phrase_id", "right(text, 40) AS phrase"
+    ).unionByName(table(spark, folder, "conversations").selectExpr("conv_id * 1000 + turn * 2 + 1", "left(text, 25)").toDF("phrase_id", "phrase"))
+    whole = table(spark, folder, "documents").where("doc_id % 50 = 0").selectExpr("-1 - doc_id AS phrase_id", "text AS phrase")
+    return turns.unionByName(whole)
+
+
+LONG_PHRASES = """phrases AS (SELECT conv_id * 1000 + turn * 2 AS phrase_id, right(text, 40) AS phrase FROM conversations
+  UNION ALL SELECT conv_id * 1000 + turn * 2 + 1, left(text, 25) FROM conversations
+  UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 50 = 0)"""
+
+
+def phrase_hits_long_list(spark, folder):
+    """As many phrases as there are turns, and whole documents, against all documents and turns."""
+    docs = fx.corpus(spark, folder).selectExpr("doc_id", "page", "text")
+    talks = fx.talks(spark, folder).selectExpr("-1 - doc_id AS doc_id", "page", "text")
+    return leaks.phrase_hits(docs.unionByName(talks), long_phrases(spark, folder))
+
+
 def phrase_hits_across_pages(spark, folder):
     """Single words of the benchmark against whole conversations."""
     return leaks.phrase_hits(fx.talks(spark, folder), phrases(spark, folder))
@@ -65,7 +86,6 @@ def requests(spark, folder):
     return (
         table(spark, folder, "conversations")
         .withColumn("nxt", F.coalesce(F.lead("text").over(order), F.lit("#end#")))
-        .where("conv_id % 10 <> 7")
         .selectExpr(
             "conv_id AS doc_id",
             "turn",
@@ -79,8 +99,7 @@ def requests(spark, folder):
 
 
 REQUESTS = """turns AS (
-  SELECT conv_id AS doc_id, turn, text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '#end#') AS nxt FROM conversations
-  WHERE conv_id % 10 <> 7),
+  SELECT conv_id AS doc_id, turn, text, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '#end#') AS nxt FROM conversations),
 requests AS (
   SELECT doc_id, CAST(turn * 3 AS INT) AS ord, right(text, 12) || ' - ' || left(nxt, 12) AS phrase FROM turns
   UNION ALL SELECT doc_id, CAST(turn * 3 + 1 AS INT), substr(text, 5, 15) FROM turns
@@ -112,7 +131,9 @@ AFTER = """after AS (
 
 
 def leak_verdict(spark, folder):
-    verdict = leaks.leak_verdict(fx.talks(spark, folder), _after(spark, folder), requests(spark, folder))
+    """Nothing is asked about a tenth of the conversations, which have a verdict too."""
+    asked = requests(spark, folder).where("doc_id % 10 <> 7")
+    verdict = leaks.leak_verdict(fx.talks(spark, folder), _after(spark, folder), asked)
     return verdict.select("doc_id", F.array_join("found", "|").alias("found"), "n_missing", "clean")
 
 
@@ -309,6 +330,14 @@ SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM n""",
         f"""{fx.with_('corpus')}, {PHRASES},
 d AS (SELECT doc_id, {norm_sql('text')} AS t FROM corpus), p AS (SELECT phrase_id, {norm_sql('phrase')} AS n FROM phrases)
 SELECT doc_id, phrase_id FROM d JOIN p ON n <> '' AND (contains(t, n) OR (replace(n, '-', '') <> '' AND contains(replace(t, '-', ''), replace(n, '-', ''))))""",
+    ),
+    "phrase_hits_long_list": (
+        phrase_hits_long_list,
+        f"""{fx.with_('corpus', 'talks')}, {LONG_PHRASES},
+h AS (SELECT doc_id, replace({norm_sql("text")}, '-', '') AS t FROM corpus
+  UNION ALL SELECT -1 - doc_id, replace({norm_sql("string_agg(text, chr(10) ORDER BY page)")}, '-', '') FROM talks GROUP BY doc_id),
+n AS (SELECT phrase_id, replace({norm_sql('phrase')}, '-', '') AS n FROM phrases)
+SELECT h.doc_id, n.phrase_id FROM n JOIN h ON n.n <> '' AND contains(h.t, n.n)""",
     ),
     "phrase_hits_across_pages": (
         phrase_hits_across_pages,
@@ -338,7 +367,7 @@ WHERE replace({norm_sql('phrase')}, '-', '') = '' OR NOT contains(t, replace({no
         f"""{fx.with_('talks')}, {REQUESTS}, {AFTER},
 b AS (SELECT doc_id, replace({norm_sql("string_agg(text, chr(10) ORDER BY page)")}, '-', '') AS t FROM talks GROUP BY doc_id),
 a AS (SELECT doc_id, replace({norm_sql("string_agg(text, chr(10) ORDER BY page)")}, '-', '') AS t FROM after GROUP BY doc_id),
-r AS (SELECT doc_id, phrase, min(ord) AS ord, replace({norm_sql('phrase')}, '-', '') AS n FROM requests GROUP BY doc_id, phrase),
+r AS (SELECT doc_id, phrase, min(ord) AS ord, replace({norm_sql('phrase')}, '-', '') AS n FROM requests WHERE doc_id % 10 <> 7 GROUP BY doc_id, phrase),
 j AS (SELECT r.*, n <> '' AND contains(a.t, n) AS found, n <> '' AND contains(b.t, n) AS known
   FROM r JOIN a ON a.doc_id = r.doc_id JOIN b ON b.doc_id = r.doc_id),
 v AS (SELECT doc_id, coalesce(string_agg(CASE WHEN found THEN phrase END, '|' ORDER BY ord), '') AS found,

@@ -101,3 +101,75 @@ def test_shared_folder_is_used_when_the_cluster_names_one(spark, tmp_path):
     assert scratch_folder(conf(spark_master="local[2]", spark_sql_warehouse_dir="/w")).startswith("/w/")
     with pytest.raises(ValueError):
         scratch_folder(conf(spark_master="spark://host:7077"))
+
+
+def test_changed_categories_count_from_the_next_batch(spark, tmp_path):
+    at, rules, out = str(tmp_path / "chunks"), str(tmp_path / "categories"), str(tmp_path / "out")
+    schema = "chunk_id string, doc_id string, page int, start int, end int, text string"
+
+    def deliver(*texts):
+        rows_ = [(t, "d", 1, 0, len(t), t) for t in texts]
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(at)
+        streams.run_scan(spark.readStream.schema(schema).parquet(at), rules, out, str(tmp_path / "log")).awaitTermination()
+
+    def categories(*rows_):
+        spark.createDataFrame(rows_, "id string, probe string, signals array<string>").write.mode("overwrite").parquet(rules)
+
+    categories(("fees", "late fee charge", ["fee", "charge"]))
+    deliver("a late FEE of ten", "a pet clause", "a fees schedule")
+    categories(("fees", "late fee charge", ["penalty"]), ("pets", "pet animal", ["pet"]))
+    deliver("another late fee", "a fee penalty", "one more pet")
+    got = rows(spark.read.parquet(out), "chunk_id", "category")
+    assert got == [("a fee penalty", "fees"), ("a late FEE of ten", "fees"), ("one more pet", "pets")]
+
+
+def test_live_traffic_joins_three_streams(spark, tmp_path):
+    def stream(name, schema, *batches):
+        at = str(tmp_path / name)
+        for b in batches:
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(at)
+        return spark.readStream.schema(schema).parquet(at)
+
+    ms = lambda df, *cols: df.withColumns({c: F.timestamp_millis(c) for c in cols})
+    requests = ms(stream("r", "session string, ts long, url string, host string, bytes long",
+        [("s", 1000, "http://a/", "a", 1), ("s", 1399, "http://a/", "a", 2), ("s", 1400, "http://a/", "a", 4), ("s", 2000, "blob:x", "a", 8),
+         ("s", 3000, "http://b/", "b", 16), ("t", 3000, "http://b/", "b", 32), ("s", 4_000_000, "http://a/", "a", 64)]), "ts")
+    loads = ms(stream("l", "session string, loaded_at long", [("s", 1000), ("s", 1500), ("t", 5000), ("z", 9_000_000)]), "loaded_at")
+    uploads = ms(stream("u", "session string, ts long, bytes long", [("s", 500, 7), ("q", 600, 9), ("z", 9_000_000, 1)]), "ts")
+    # Something much later in every stream closes the windows.
+    spark.createDataFrame([("z", 9_000_000, "http://z/", "z", 1)], "session string, ts long, url string, host string, bytes long").coalesce(1).write.mode(
+        "append"
+    ).parquet(str(tmp_path / "r"))
+    out = streams.live_traffic(requests, loads, uploads, "60 seconds", "30 seconds", "1 hour")
+    streams.run_to_table(out, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "session", "n_requests", "bytes_in", "bytes_out", "n_hosts")
+    assert got == [("q", 0, 0, 9, 0), ("s", 2, 20, 7, 2)]
+
+
+def test_versions_are_held_in_state(spark, tmp_path):
+    at, out = str(tmp_path / "pages"), str(tmp_path / "out")
+    schema = "doc_id string, page int, version long, text string, s long"
+    rocks = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", rocks)
+    own.conf.set("spark.sql.shuffle.partitions", 2)
+
+    def deliver(*rows_):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(at)
+        source = own.readStream.schema(schema).parquet(at).withColumn("ts", F.timestamp_seconds("s"))
+        streams.run_changes(source, out, str(tmp_path / "log"), 1000, "10 seconds").awaitTermination()
+
+    def standing():
+        return rows(streams.standing_chunks(*(spark.read.parquet(f"{out}/{p}") for p in ("put", "delete"))), "doc_id", "page", "version", "text")
+
+    deliver(("a", 1, 1, "one", 100), ("a", 1, 2, "two", 100), ("a", 2, 1, "page two", 100), ("b", 1, 5, "bee", 100))
+    assert standing() == [("a", 1, 2, "two"), ("a", 2, 1, "page two"), ("b", 1, 5, "bee")]
+    deliver(("a", 1, 1, "an old one", 200), ("a", 1, 2, "two again", 200), ("b", 1, 6, "new bee", 900))
+    assert standing() == [("a", 1, 2, "two"), ("a", 2, 1, "page two"), ("b", 1, 6, "new bee")]
+    # Time passes: a was last heard of at 200, b at 900.
+    deliver(("c", 1, 1, "sea", 1500))
+    deliver(("c", 1, 2, "see", 1501))
+    assert standing() == [("b", 1, 6, "new bee"), ("c", 1, 2, "see")]
+    # A document that was forgotten starts anew.
+    deliver(("a", 1, 1, "one more", 1600))
+    assert ("a", 1, 1, "one more") in standing()
