@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -11,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.sources.scratch import scratch_folder
 
 _shipped: set[str] = set()
 
@@ -33,15 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``.
+    """A fresh folder below ``spark.checkpoint.dir``, as the core's intermediate tables have it.
 
-    Where the setting is absent (a single machine, tests) the folder goes below the session's
-    warehouse, which every process of that machine sees.
+    Where the setting is absent on a single machine (tests) it goes below the session's warehouse; a
+    cluster without the setting is refused.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/quire-llm/{uuid.uuid4().hex}"
+    return scratch_folder(spark)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
