@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.functions.binding import bind
 from quire.functions.running import running_total
 from quire.functions.text import normalize_for_search
 
@@ -512,39 +513,47 @@ def excise_runs(runs: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _common_start(one: Column, two: Column) -> Column:
+    """How many characters two texts share at their beginning, by halving the interval."""
+    span = F.struct(F.lit(0).alias("low"), F.least(F.length(one), F.length(two)).alias("high"))
+
+    def halved(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"] + 1) / 2).cast("int")
+        same = F.substring(one, F.lit(1), mid) == F.substring(two, F.lit(1), mid)
+        return F.struct(
+            F.when(same, mid).otherwise(acc["low"]).alias("low"),
+            F.when(same | (acc["low"] >= acc["high"]), acc["high"]).otherwise(mid - 1).alias("high"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), span, halved, lambda acc: acc["low"])
+
+
 def page_survived(before: Column, after: Column, removed: Column) -> Column:
-    """The new page is the old one minus exactly one copy of the run."""
+    """The new page is the old one minus exactly one copy of the run.
+
+    Both pages agree up to some place and from some place on; the copy that went lies where
+    these overlap, whichever it was. So neither page is built again for every copy. With the run
+    goes one blank, if both its sides had one or the page begins or ends with it.
+    """
     flat = lambda c: F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
 
-    def holds(p: Column) -> Column:
-        source, result, run = p["s"], p["r"], p["n"]
-        # Cut in front of every copy, overlapping ones too; the running length
-        # of the pieces is where each copy starts.
-        quoted = F.concat(
-            F.lit(r"(?=\Q"), F.replace(run, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")
-        )
-        starts = F.aggregate(
-            F.split(source, quoted, -1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, piece: F.struct(
-                (acc["at"] + F.length(piece)).alias("at"),
-                F.array_append(acc["out"], acc["at"]).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.exists(
-            starts,
-            lambda i: (F.substring(source, i + 1, F.length(run)) == run)
-            & (
-                flat(
-                    F.concat(
-                        F.substring(source, F.lit(1), i),
-                        F.substring(source, i + F.length(run) + 1, F.length(source)),
-                    )
-                )
-                == result
-            ),
-        )
+    def gone(p: Column, piece: Column, more: Column) -> Column:
+        """``piece`` was cut out somewhere, and ``more`` followed it (a blank stands for the end)."""
+        left = F.length(p["s"]) - F.length(piece)
+        low = F.greatest(F.lit(0), left - p["tail"])
+        high = F.least(left, p["head"])
+        window = F.substring(F.concat(p["s"], F.lit(" ")), low + 1, high - low + F.length(piece) + F.length(more))
+        return (F.length(p["r"]) == left) & (low <= high) & F.contains(window, F.concat(piece, more))
 
-    packed = F.array(F.struct(flat(before).alias("s"), flat(after).alias("r"), flat(removed).alias("n")))
-    return F.get(F.transform(packed, lambda p: (p["n"] != "") & holds(p)), F.lit(0))
+    def holds(p: Column) -> Column:
+        run, blank, none = p["n"], F.lit(" "), F.lit("")
+        ahead = F.concat(run, blank)
+        first = (F.length(p["r"]) == F.length(p["s"]) - F.length(ahead)) & (p["s"] == F.concat(ahead, p["r"]))
+        return gone(p, run, none) | gone(p, F.concat(blank, run), blank) | first
+
+    texts = F.struct(flat(before).alias("s"), flat(after).alias("r"), flat(removed).alias("n"))
+    compared = lambda t: F.struct(
+        t["s"].alias("s"), t["r"].alias("r"), t["n"].alias("n"), _common_start(t["s"], t["r"]).alias("head"),
+        _common_start(F.reverse(t["s"]), F.reverse(t["r"])).alias("tail"),
+    )
+    return bind(texts, lambda t: bind(compared(t), lambda p: (p["n"] != "") & holds(p)))

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -148,3 +149,22 @@ def test_pixels_round_outwards_and_huge_canvases_are_refused(spark):
 def test_page_survived(spark, before, after, removed, ok):
     df = spark.createDataFrame([(before, after, removed)], "b string, a string, r string")
     assert df.select(leaks.page_survived(F.col("b"), F.col("a"), F.col("r"))).collect()[0][0] is ok
+
+
+def test_page_survived_equals_trying_every_copy(spark):
+    rng = random.Random(8)
+    flat = lambda t: " ".join(t.split())
+    rows = []
+    for _ in range(3000):
+        before = flat("".join(rng.choice("aab ") for _ in range(rng.randint(0, 12))))
+        at, n = rng.randint(0, len(before)), rng.randint(0, 4)
+        run, rest = before[at : at + n], before[:at] + before[at + n :]
+        after = rest if rng.random() < 0.7 else "".join(rng.choice("aab ") for _ in range(max(0, len(before) - n)))
+        rows.append((before, after, run))
+    want = []
+    for before, after, run in rows:
+        m, s = flat(run), flat(before)
+        want.append(bool(m) and any(s.startswith(m, i) and flat(s[:i] + s[i + len(m) :]) == flat(after) for i in range(len(s))))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b string, a string, r string")
+    got = {r["i"]: r["ok"] for r in table.select("i", leaks.page_survived(F.col("b"), F.col("a"), F.col("r")).alias("ok")).collect()}
+    assert [got[i] for i in range(len(rows))] == want and 500 < sum(want) < 2900
