@@ -17,6 +17,8 @@ MATCH_TOLERANCE = 1.5
 # Anchor lengths for the phrase join; a phrase uses the longest that fits it, and
 # is its own anchor where it is shorter than the second.
 GRAMS = (12, 4, 3, 2, 1)
+# Of longer anchors those that begin with one of these are taken first: few places of a page do.
+SAMPLED, SELDOM = (12, 4), "bcdfgjkmpqvwxyz0-9"
 SEAM = "\u0000"
 # Shortest segment of a document that phrases across pages are looked for in.
 SEGMENT = 4096
@@ -125,12 +127,13 @@ def _haystacks(texts: DataFrame, wanted: Column, reach: Column) -> DataFrame:
     return whole.unionByName(_seams(views(broken), reach))
 
 
-def _grams(text: str, size: int) -> Column:
-    """Distinct runs of ``size`` characters, in linear time."""
+def _grams(text: str, size: int, seldom: bool = False) -> Column:
+    """Distinct runs of ``size`` characters, in linear time; of ``seldom`` ones only if asked."""
     if size == 1:
         return F.array_distinct(F.split(text, ""))
+    first = f"[{SELDOM}]" if seldom else "."
     return F.array_distinct(
-        F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        F.regexp_extract_all(text, F.lit(f"(?s)(?=({first}.{{{size - 1}}}))"), F.lit(1))
     )
 
 
@@ -141,11 +144,16 @@ def _anchored(needles: DataFrame) -> DataFrame:
     """
     size = F.coalesce(*[F.when(F.length("needle") >= g, F.lit(g)) for g in GRAMS])
     grams = F.coalesce(*[F.when(F.col("size") == g, _grams("needle", g)) for g in GRAMS])
-    hashed = F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram")))
+    few = F.coalesce(*[F.when(F.col("size") == g, _grams("needle", g, True)) for g in SAMPLED])
+    least = lambda a: F.array_min(F.transform(a, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram"))))["gram"]
     return (
         needles.distinct()
         .withColumn("size", size)
-        .withColumn("gram", F.array_min(hashed)["gram"])
+        .withColumn("_few", least(few))
+        .withColumn("gram", F.coalesce("_few", least(grams)))
+        # Sizes with a minus sign need the seldom runs only.
+        .withColumn("size", F.when(F.col("_few").isNotNull(), -F.col("size")).otherwise(F.col("size")))
+        .drop("_few")
     )
 
 
@@ -190,11 +198,11 @@ def _found(texts: DataFrame, needles: DataFrame) -> DataFrame:
 
     word, bit = _slot(F.col("gram"), facts["words"])
     may_be_anchor = F.getbit(F.get(anchors, word.cast("int")), bit) == 1
+    asked = lambda g: F.array_contains(facts["sizes"], F.lit(g))
+    few = lambda g: F.when(asked(-g), _grams("hay", g, True)) if g in SAMPLED else F.lit(None)
     grams = F.concat(
         *[
-            F.when(F.array_contains(facts["sizes"], F.lit(g)), _grams("hay", g)).otherwise(
-                F.array().cast("array<string>")
-            )
+            F.coalesce(F.when(asked(g), _grams("hay", g)), few(g), F.array()).cast("array<string>")
             for g in GRAMS
         ]
     )

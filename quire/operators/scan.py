@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.binding import bind
-from quire.functions.text import SPACE, SPACE_CHARS, strip_space, tokens
-from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, score_chunks, valid_citations, with_features
+from quire.functions.text import SPACE, SPACE_CHARS, dense_vector, hash_features, l2_normalize, strip_space, tokens
+from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, valid_citations, with_features
 
 QUOTE_CHARS = 320
 LEAD_IN_CHARS = 220
@@ -121,41 +121,44 @@ def scan_candidates(
 ) -> DataFrame:
     """Relevant chunks per (document, category), best first.
 
-    A score under the bar can never pass and never outranks one over it, so
-    those pairs go before the exchange; both text tests are made next to the
-    chunk text and only narrow rows are shuffled.
+    Categories are few next to the chunks: each chunk is scored against all of them in its row, by
+    its own few features. A score under the bar can never pass and never outranks one over it, so
+    those pairs go first; both text tests are made next to the chunk text and only narrow rows are
+    shuffled.
     """
-    probes = cats.select(F.col("id").alias("query_id"), F.col("probe").alias("question"))
+    vector = dense_vector(l2_normalize(hash_features(tokens(F.col("probe")))))
     rules = cats.select(
-        F.col("id").alias("query_id"), "ord", tokens(F.col("probe")).alias("probe_words"), "signals"
+        F.col("id").alias("category"), "ord", tokens(F.col("probe")).alias("probe_words"), "signals", vector.alias("weights")
     )
-    listed = rules.groupBy().agg(F.collect_list(F.struct("query_id", "probe_words", "signals"))).scalar()
+    listed = rules.groupBy().agg(F.collect_list(F.struct(*rules.columns))).scalar()
+
+    def score(rule: Column) -> Column:
+        dot = F.aggregate(
+            "features", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.get(rule["weights"], x["bucket"])
+        )
+        return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)), 12)
+
+    met = F.filter(
+        F.transform("_rules", lambda r: F.struct(r.alias("rule"), score(r).alias("score"))),
+        lambda m: (m["score"] >= min_relevance) & (m["score"] > 0),
+    )
+    scored = with_features(chunks).withColumn("_rules", listed).withColumn("_met", met).drop("_rules").where(F.size("_met") > 0)
     tested = bind(
         F.lower("text"),
         lambda low: F.transform(
-            "_rules",
-            lambda r: F.struct(
-                r["query_id"].alias("id"),
-                F.arrays_overlap("words", r["probe_words"]).alias("shared"),
-                F.exists(r["signals"], lambda s: F.contains(low, s)).alias("signalled"),
+            "_met",
+            lambda m: F.struct(
+                m["rule"]["category"].alias("category"),
+                m["rule"]["ord"].alias("ord"),
+                m["score"].alias("score"),
+                F.arrays_overlap("words", m["rule"]["probe_words"]).alias("shared"),
+                F.exists(m["rule"]["signals"], lambda s: F.contains(low, s)).alias("signalled"),
             ),
         ),
     )
-    marked = with_features(chunks).withColumn("_rules", listed).withColumn("_marks", tested).drop("_rules")
-    mark = F.get(F.filter("_marks", lambda m: m["id"] == F.col("query_id")), F.lit(0))
     best = Window.partitionBy("doc_id", "category").orderBy(F.col("score").desc(), "page", "idx")
     return (
-        score_chunks(marked, probes, keep=("_marks",), floor=min_relevance)
-        .withColumn("_mark", mark)
-        .join(rules.select("query_id", "ord"), "query_id")
-        .select(
-            *SPAN,
-            F.col("query_id").alias("category"),
-            "ord",
-            "score",
-            F.col("_mark.shared").alias("shared"),
-            F.col("_mark.signalled").alias("signalled"),
-        )
+        scored.select(*SPAN, F.inline(tested))
         .withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & F.col("shared"))
         .drop("shared")

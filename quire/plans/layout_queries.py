@@ -19,6 +19,14 @@ def rows_by_baseline(spark, folder):
     return _rows(spark, folder).select("doc_id", "page", "seq", "row_no")
 
 
+def rows_wandering(spark, folder):
+    """Baselines that jump and lie close, so that many runs could belong to several rows."""
+    placed = intake.place_runs(fx.runs(spark, folder)).withColumn(
+        "y", F.expr("double(82 + (seq * 37 % 97) * 3.125D) - font_size")
+    )
+    return layout.rows_by_baseline(placed).select("doc_id", "page", "seq", "row_no")
+
+
 def _line_rows(df):
     return df.select(
         "doc_id", "page", F.col("line_no").cast("long").alias("line_no"), "text", "x",
@@ -242,6 +250,19 @@ QUERIES = {
         rows_by_baseline,
         f"{fx.with_('runs')}, {PLACED} SELECT doc_id, page, seq, row_no FROM rowed",
     ),
+    "rows_wandering": (
+        rows_wandering,
+        f"""{fx.with_('runs')},
+w AS (SELECT doc_id, page, seq, 82 + (seq * 37 % 97) * 3.125::DOUBLE AS b, font_size AS f,
+    row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS n FROM runs WHERE str <> ''),
+walk AS (SELECT doc_id, page, n, seq, [{{'b': b, 'f': f}}] AS leaders, 1::BIGINT AS own FROM w WHERE n = 1
+  UNION ALL
+  SELECT doc_id, page, n, seq, CASE WHEN hit > 0 THEN leaders ELSE list_append(leaders, {{'b': b, 'f': f}}) END,
+    CASE WHEN hit > 0 THEN hit ELSE len(leaders) + 1 END
+  FROM (SELECT w.*, leaders, coalesce(list_position(list_transform(leaders, lambda l: abs(l.b - w.b) <= greatest(l.f, w.f) * 0.4::DOUBLE), true), 0) AS hit
+    FROM walk JOIN w ON w.doc_id = walk.doc_id AND w.page = walk.page AND w.n = walk.n + 1))
+SELECT doc_id, page, seq, own - 1 AS row_no FROM walk""",
+    ),
     "lines": (
         lines,
         f"""{LINES} SELECT doc_id, page, line_no, text, x, round(y, 6) AS y, round(width, 6) AS width, font_size, start, stop AS "end" FROM lines""",
