@@ -196,3 +196,94 @@ def test_quality_nulls_and_repeats(spark):
     docs = spark.createDataFrame([*rows, (None, None, None, None, None), rows[0]], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(r[0], r[5]) for r in _marked(300, 2)] + [(0, None), (None, 1), (1, 0), (1, 1)], "doc_id long, quality int")
     assert quality.score(docs.withColumn("x", F.lit(1)), quality.train(docs, labels)).count() == 302
+
+
+def test_sums_over_tasks_equal_one_pass(spark):
+    """One co-training round: what tasks add up is what all rows give at once."""
+    rows = _marked(700, 3)
+    docs = spark.createDataFrame(
+        [(*r[:5], r[5] if r[0] < 200 else None, r[0] % 4 == 0) for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, __y long, __held boolean",
+    )
+    stored = quality.features(docs.repartition(5), "doc_id", "__y", "__held")
+    x, m, y, held = quality._rows(stored.toArrow())
+    model = quality.Model(np.stack([quality._edges(x[:, k]) for k in range(quality.MEASURES)]), None, None, [], None)
+    designs = lambda x, m: [model.text_design(x), model.meta_design(m)]
+    rng = np.random.default_rng(1)
+    weights = [rng.normal(size=d.shape[1]) * 0.3 for d in designs(x, m)]
+    levels = quality.summed(stored, lambda b: quality.histogram(designs(*quality._rows(b)[:2]), quality._rows(b)[2] < 0, weights).ravel())
+    assert np.array_equal(levels.reshape(2, -1), quality.histogram(designs(x, m), y < 0, weights))
+    marks = quality.Marks(weights, [(0.2, 0.7), (0.1, 0.8)], [0.3, 0.2])
+
+    def flat(x, m, y, held):
+        return np.concatenate([a.ravel() for pair in quality.sums(designs(x, m), y, held, weights, marks) for a in pair])
+
+    assert np.allclose(quality.summed(stored, lambda b: flat(*quality._rows(b))), flat(x, m, y, held), rtol=1e-9, atol=1e-7)
+    # Row by row: only labelled rows that are not held and what the other view is sure of pull on a view.
+    other = 1 / (1 + np.exp(-designs(x, m)[1] @ weights[1]))
+    own = 1 / (1 + np.exp(-designs(x, m)[0] @ weights[0]))
+    slope = np.zeros(len(weights[0]))
+    for i in range(len(y)):
+        if y[i] >= 0 and not held[i]:
+            slope += designs(x[i : i + 1], m[i : i + 1])[0][0] * (own[i] - y[i])
+        elif y[i] < 0 and (other[i] >= 0.8 or other[i] < 0.1):
+            slope += 0.2 * designs(x[i : i + 1], m[i : i + 1])[0][0] * (own[i] - (other[i] >= 0.8))
+    assert np.allclose(quality.sums(designs(x, m), y, held, weights, marks)[0][0], slope)
+
+
+def test_cuts_mark_the_surest_and_no_more_than_asked():
+    levels = np.zeros(quality.LEVELS)
+    levels[[999, 980, 960, 500, 20, 3]] = [10, 30, 100, 500, 40, 10]
+    (low, high), n = quality.cuts(levels, 0.5, 0.2)
+    assert (low, high) == (0.05, 0.961) and n == 90
+    assert quality.cuts(levels, 0.5, 0.0)[1] <= 1
+
+
+_ODD = [
+    ("<p title=it's>{}</p>", 1), ('<p class="x"">{}</p>', 1), ("<p title=a<b>{}</p>", 1), ("<!--><p>{}</p>", 1), ("<!---><p>{}</p>", 1),
+    ("<!-- no --!><p>{}</p>", 1), ("<p>{}</3></p>", 1), ('<a title="x > y"></a><p>{}</p>', 1), ("<p a= \"b>c\" d>{}</p>", 1),
+]
+
+
+@pytest.mark.parametrize("markup, _", _ODD)
+def test_odd_markup_is_neither_text_nor_loss(model, markup, _):
+    words = "Here the text of an unseen page goes on at some length, with a turn or two, until it stops."
+    page = f'<body><div class="post-body"><h1>Head</h1>{_STORY}{markup.format(words)}{_STORY}</div></body>'
+    assert model.extract(page) == "\n".join(["Head", *[words] * 3])
+
+
+def test_head_ends_where_the_parser_says(model):
+    texts = lambda page: [t for t in extract.parse(page).text if t]
+    assert texts('<head><script>"</head>"</script><title>x</title></head><body>b') == ["b"]
+    assert texts("<html><head><meta><p>words</p>") == ["words"] and texts("<head>words<p>x") == ["words", "x"]
+
+
+def test_page_sample_does_not_depend_on_order(spark):
+    pages = [(i, "u", f"<article><h1>T{i}</h1>{_STORY * (i % 3 + 1)}</article><div class='c{i % 7}'><p>x{i}</p></div>") for i in range(300)]
+    one = extract.train(spark.createDataFrame(pages, PAGES), labelled=40)
+    two = extract.train(spark.createDataFrame(pages[::-1], PAGES).repartition(7), labelled=40)
+    assert one.counts == two.counts
+    seeds = extract.train(spark.createDataFrame([], PAGES)).counts
+    assert one.counts["article|0|1"] - seeds["article|0|1"] == 40
+
+
+def test_archives_by_size_and_payloads_in_place(spark, tmp_path):
+    big = ["x" * (3 << 20) + str(i) for i in range(4)]
+    rows = [(i, "u", big[i % 4]) for i in range(8)] + [(100 + i, "u", "s" * (i % 50)) for i in range(300)] + [(900, "u", "y" * 5000), (901, "u", "y" * 5000)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path, file_bytes=4 << 20)
+    parts = [f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-")]
+    assert max(os.path.getsize(f) for f in parts) < 4 << 20
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect()}
+    want = {i: ("response", None) for i, _, _ in rows} | {i: ("revisit", i + 4) for i in range(4)} | {900: ("revisit", 901)}
+    assert found == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        _, responses, _ = warc.resolve(pages.coalesce(3))
+        plan = responses._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Only rows that both filters let through are ever exchanged with their payload.
+    assert plan.count("Union") == 1
+

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quire.llm import bpe, counts, packing, units
@@ -166,3 +167,46 @@ def test_sequences_hold_the_ids(spark, library):
     total = sorted(i for r in got for i in np.frombuffer(r["ids"], "<u4").tolist())
     assert total == sorted(i for t in texts for i in [*_ids(library, t), 0])
     assert all(len(r["ids"]) <= 4 * 64 for r in got)
+
+
+def test_long_units_are_not_kept_and_generations_turn(monkeypatch):
+    """Texts without spaces: nothing of them stays in the worker, and counts hold."""
+    known = units.Known(lambda parts: [len(i) // 4 for i in units.unit_ids(JSON, parts)])
+    for k in range(40):
+        text = f"{'字' * 5000}{k} a{k} word, word. end"
+        blocks = list(units.pieces(text))
+        known.learn(blocks)
+        assert sum(v for b in blocks for v in known.values(b)) == len(units.encode(JSON, [text])[0])
+    assert max(map(len, known.young)) <= units.LONG + 1 and len(known.young) < 200
+    monkeypatch.setattr(units, "KEPT", 20_000)
+    turning = units.Known(lambda parts: [len(i) // 4 for i in units.unit_ids(JSON, parts)])
+    for k in range(300):
+        blocks = [["", *(f"w{k * 7 + j}" for j in range(10)), "often"]]
+        turning.learn(blocks)
+        assert turning.values(blocks[0]) == [len(units.encode(JSON, [f" {u}"])[0]) for u in blocks[0][1:]]
+    assert "often" in turning.young and len(turning.young) + len(turning.old) < 400
+
+
+def test_units_coded_together_equal_each_alone():
+    rng = random.Random(5)
+    parts = ["a", "don't", "12", "…", "é", "中文", "x,", "--", "\ttab", "end\t", "", " ", "\n", "\nq", "'s", "🎉!", "\u00a0n", "n\u00a0", "b\rc"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 3))) for _ in range(800)]
+    texts += [" " + t for t in texts] + ["\n" + t for t in texts]
+    assert units.unit_ids(JSON, texts) == units.ids_bytes(JSON, texts)
+
+
+def test_whole_corpora_with_long_units_and_other_columns(spark):
+    rng = random.Random(2)
+    texts = ["漢" * 100_000, "x" * 200_000, "a\n\nb  c\r\n\tindented\n\n\nend " * 50, f"{units.SPECIAL} a  b", "nul\0byte \0x"]
+    texts += [" ".join(rng.choice(["word,", "don't", "end.", "\n", "", "été!"]) for _ in range(60)) for _ in range(100)]
+    docs = documents(spark, texts).withColumn("ids", F.lit(1)).withColumn("n_tokens", F.lit("clash")).withColumn("part", F.lit(0))
+    library = Tokenizer.from_file(JSON)
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["n_tokens"] for r in counts.token_counts(docs, JSON).collect()} == want
+    sizes = {}
+    for r in packing.packed(docs, JSON).collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["length"]
+    assert sizes == {i: n + 1 for i, n in want.items()}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.vocabulary(MULTI).ranks, special_tokens={})
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(docs, MULTI).collect()} == {i: len(own.encode_ordinary(t)) for i, t in enumerate(texts)}
+
