@@ -103,14 +103,15 @@ def l2_normalize(features: Column) -> Column:
 
 
 def dense_vector(features: Column, dims: int = FEATURE_DIMS) -> Column:
-    """Sparse features spelled out as array<double> of length ``dims``."""
-    return bind(
-        F.map_from_entries(features),
-        lambda m: F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda b: F.coalesce(F.try_element_at(m, b), F.lit(0.0)),
-        ),
-    )
+    """Sparse features, sorted by bucket as :func:`hash_features` gives them, as array<double> of length ``dims``."""
+
+    def written(f: Column) -> Column:
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        last = lambda i: F.coalesce(F.get(f, i)["bucket"], F.lit(-1))
+        filled = F.transform(f, lambda x, i: F.concat(zeros(x["bucket"] - last(i - 1) - 1), F.array(x["weight"])))
+        return F.flatten(F.concat(filled, F.array(zeros(F.lit(dims - 1) - last(F.size(f) - 1)))))
+
+    return bind(features, written)
 
 
 # Characters a search ignores, and the ones it folds to ASCII.
