@@ -70,19 +70,32 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _counted_blocks(queries: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    stored = _stored(queries, f"{scratch_folder(queries.sparkSession)}/queries")
+    blocks = max(1, -(-stored.count() // limit))
+    return stored.repartition(blocks).mapInArrow(_packed("queries", limit), "queries binary"), blocks
+
+
+def query_blocks(queries: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
+    """Queries packed into blocks, each in a task of its own.
+
+    The queries are stored first: a product computes a side again for each partition of the
+    other, and their number says how many blocks they make.
+    """
+    return _counted_blocks(queries, limit)[0]
+
+
 def paired_blocks(rows: DataFrame, queries: DataFrame, limit: int = BLOCK_ROWS) -> DataFrame:
     """``rows, queries``: every block of rows beside every block of queries, as Arrow streams.
 
-    The queries are stored first: a product computes a side again for each partition of the
-    other, and their number says how many blocks they make. If there is more than one, the
-    rows are stored too, so that whatever made them runs once.
+    The rows' blocks are stored if the queries make more than one, so that whatever makes the
+    rows runs once.
     """
-    at = scratch_folder(queries.sparkSession)
-    stored = _stored(queries, f"{at}/queries")
-    blocks = max(1, -(-stored.count() // limit))
-    asked = stored.repartition(blocks).mapInArrow(_packed("queries", limit), "queries binary")
+    asked, blocks = _counted_blocks(queries, limit)
     packed = rows.mapInArrow(_packed("rows", limit), "rows binary")
-    return (packed if blocks == 1 else _stored(packed, f"{at}/rows")).crossJoin(asked)
+    if blocks > 1:
+        packed = _stored(packed, f"{scratch_folder(queries.sparkSession)}/rows")
+    return packed.crossJoin(asked)
 
 
 def best_matches(
