@@ -261,6 +261,7 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
     )
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units.release()
         for batch in source:
             for begin, end in units.byte_slices(batch.column("text")):
                 part = batch.slice(begin, end - begin)
@@ -299,8 +300,8 @@ def summed(stored: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray]) -> n
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in source:
-            for at in range(0, len(batch), 4096):
-                own = work(batch.slice(at, 4096))
+            for at in range(0, len(batch), 1024):
+                own = work(batch.slice(at, 1024))
                 total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], schema=schema)
@@ -367,6 +368,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = T.StructType([docs.schema["doc_id"]] + [T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units.release()
         for batch in source:
             for begin, end in units.byte_slices(batch.column("text")):
                 part = batch.slice(begin, end - begin)
@@ -383,6 +385,7 @@ def filter_documents(docs: DataFrame, model: Model, reject: float = REJECT) -> D
     """The rows that score ``reject`` or more, with all their columns."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units.release()
         for batch in source:
             for begin, end in units.byte_slices(batch.column("text")):
                 part = batch.slice(begin, end - begin)

@@ -24,7 +24,7 @@ import regex
 
 SPECIAL = "<|endoftext|>"
 SLICE = 1 << 20  # characters cut at once
-KEPT = 64 << 20  # bytes of a generation of kept units
+KEPT = 48 << 20  # bytes of a generation of kept units
 LONG = 64  # characters of a unit that is worth keeping
 _ENTRY = 170  # bytes of a kept unit beside its text and value
 _MARKS = frozenset(".,;:!?")
@@ -214,3 +214,8 @@ def kept(name: str, path: str, code: Callable[[list[str]], list], first: dict |
     known = _kept.setdefault((name, path), Known(code))
     known.begin(first)
     return known
+
+
+def release() -> None:
+    """Let kept units go; for tasks of other kinds that the same worker process runs."""
+    _kept.clear()
