@@ -151,38 +151,29 @@ class Known:
         self.once = {}
         if self.size > KEPT:
             self.young, self.old, self.size = _Chain(self), dict(self.young), 0
-        unknown, split, young = [], [], self.young
-        for u in wanted:
-            if u in young:
-                continue
-            if u in self.old:
-                self._keep(u, self.old[u])
-            elif u[-1:] in _MARKS and u[-2:-1].isalnum():
-                split.append(u)
-            else:
-                unknown.append(u)
+        young, old = self.young, self.old
+        missing = [u for u in wanted if u not in young]
+        self._keep({u: old[u] for u in missing if u in old})
+        unknown, split = [], []
+        for u in missing:
+            if u not in old:
+                (split if u[-1:] in _MARKS and u[-2:-1].isalnum() else unknown).append(u)
         # A mark behind a word is a pre-token of its own: both parts are known more often than the whole.
-        parts = {p for u in split for p in (u[:-1], _HEAD + u[-1]) if p not in young}
-        for p in parts.difference(wanted):
-            if p in self.old:
-                self._keep(p, self.old[p])
-            else:
-                unknown.append(p)
-        for u, value in zip(unknown, self.code([_spelled(u) for u in unknown]), strict=True):
-            if len(u) > LONG:
-                self.once[u] = value
-            else:
-                self._keep(u, value)
-        for u in sorted(split, key=len):  # a part may itself be one of these
-            value = young[u[:-1]] + young[_HEAD + u[-1]]
-            if len(u) > LONG:
-                self.once[u] = value
-            else:
-                self._keep(u, value)
-
-    def _keep(self, unit: str, value) -> None:
-        self.young[unit] = value
-        self.size += _ENTRY + len(unit) + (len(value) if isinstance(value, bytes) else 0)
+        parts = {p for u in split for p in (u[:-1], _HEAD + u[-1]) if p not in young}.difference(wanted)
+        self._keep({p: old[p] for p in parts if p in old})
+        unknown.extend(p for p in parts if p not in old)
+        self._keep(dict(zip(unknown, self.code([_spelled(u) for u in unknown]), strict=True)))
+        self._keep({u: young[u[:-1]] + young[_HEAD + u[-1]] for u in split})
+
+    def _keep(self, found: dict) -> None:
+        if found and max(map(len, found)) > LONG:
+            self.once.update((u, v) for u, v in found.items() if len(u) > LONG)
+            found = {u: v for u, v in found.items() if len(u) <= LONG}
+        self.young.update(found)
+        texts = sum(map(len, found))
+        if found and isinstance(next(iter(found.values())), bytes):
+            texts += sum(map(len, found.values()))
+        self.size += texts + _ENTRY * len(found)
 
     def values(self, block: list[str]) -> list:
         """Values of a block's units in order."""
@@ -203,7 +194,7 @@ class _Chain(dict):
 
 
 def _spelled(key: str) -> str:
-    return key[1:] if key.startswith(_HEAD) else literal(key)
+    return key[1:] if key[:1] == _HEAD else key if key[:1] == "\n" else " " + key
 
 
 _kept: dict[tuple[str, str], Known] = {}
