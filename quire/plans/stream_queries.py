@@ -19,16 +19,17 @@ STATE_PARTITIONS = 16
 
 
 def _stream(spark, folder, name):
-    """A given table as a stream of its file, in a session of its own.
+    """A given table as a stream of its files, in a session of its own.
 
-    A stream fixes its number of state partitions when it first runs; it is stated here, and
+    The table may be one file or a folder of files; a stream's path has to be a pattern for the
+    first and must not be a filter on file names for the second. A stream fixes its number of state partitions when it first runs; it is stated here, and
     the caller's session keeps its settings.
     """
     schema = table(spark, folder, name).schema
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
     own.conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
-    return own.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return own.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _finish(spark, stream):

@@ -173,3 +173,20 @@ def test_versions_are_held_in_state(spark, tmp_path):
     # A document that was forgotten starts anew.
     deliver(("a", 1, 1, "one more", 1600))
     assert ("a", 1, 1, "one more") in standing()
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_scan_table", "stream_changes"])
+def test_a_table_of_several_files_is_streamed_like_one_file(spark, tmp_path, name):
+    from quire.plans.stream_queries import QUERIES
+
+    text = "The license is given as is.\n\nNothing else is promised."
+    docs = spark.createDataFrame([(i, text + " x" * i) for i in range(6)], "doc_id long, text string")
+    one, several = tmp_path / "one", tmp_path / "several"
+    docs.coalesce(1).write.parquet(str(several / "documents.parquet"))
+    part = next((several / "documents.parquet").glob("part-*.parquet"))
+    one.mkdir()
+    (one / "documents.parquet").write_bytes(part.read_bytes())
+    docs.withColumn("doc_id", F.col("doc_id") + 6).coalesce(1).write.mode("append").parquet(str(several / "documents.parquet"))
+    run = QUERIES[name][0]
+    assert run(spark, str(one)).count() == 6
+    assert run(spark, str(several)).count() == 12
