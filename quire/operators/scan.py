@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.binding import bind
 from quire.functions.text import SPACE, SPACE_CHARS, dense_vector, hash_features, l2_normalize, strip_space, tokens
-from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, valid_citations, with_features
+from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, valid_citations
 
 QUOTE_CHARS = 320
 LEAD_IN_CHARS = 220
@@ -132,33 +132,39 @@ def scan_candidates(
     )
     listed = rules.groupBy().agg(F.collect_list(F.struct(*rules.columns))).scalar()
 
-    def score(rule: Column) -> Column:
+    def score(features: Column, rule: Column) -> Column:
         dot = F.aggregate(
-            "features", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.get(rule["weights"], x["bucket"])
+            features, F.lit(0.0), lambda acc, x: acc + x["weight"] * F.get(rule["weights"], x["bucket"])
         )
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)), 12)
 
-    met = F.filter(
-        F.transform("_rules", lambda r: F.struct(r.alias("rule"), score(r).alias("score"))),
+    # One expression: a column that is used inside a lambda would be made again for every rule.
+    met = lambda t: F.filter(
+        F.transform("_rules", lambda r: F.struct(r.alias("rule"), score(t["features"], r).alias("score"))),
         lambda m: (m["score"] >= min_relevance) & (m["score"] > 0),
     )
-    scored = with_features(chunks).withColumn("_rules", listed).withColumn("_met", met).drop("_rules").where(F.size("_met") > 0)
-    tested = bind(
-        F.lower("text"),
-        lambda low: F.transform(
-            "_met",
-            lambda m: F.struct(
-                m["rule"]["category"].alias("category"),
-                m["rule"]["ord"].alias("ord"),
-                m["score"].alias("score"),
-                F.arrays_overlap("words", m["rule"]["probe_words"]).alias("shared"),
-                F.exists(m["rule"]["signals"], lambda s: F.contains(low, s)).alias("signalled"),
-            ),
+    tested = lambda t, low: F.transform(
+        t["met"],
+        lambda m: F.struct(
+            m["rule"]["category"].alias("category"),
+            m["rule"]["ord"].alias("ord"),
+            m["score"].alias("score"),
+            F.arrays_overlap(t["words"], m["rule"]["probe_words"]).alias("shared"),
+            F.exists(m["rule"]["signals"], lambda s: F.contains(low, s)).alias("signalled"),
         ),
     )
+    lowered = lambda t: F.when(F.size(t["met"]) > 0, bind(F.lower("text"), lambda low: tested(t, low)))
+    scored = lambda t: bind(F.struct(t["words"].alias("words"), met(t).alias("met")), lowered)
+    if "features" in chunks.columns:
+        found = bind(F.struct("words", "features"), scored)
+    else:
+        found = bind(
+            tokens(F.col("text")),
+            lambda w: bind(F.struct(w.alias("words"), l2_normalize(hash_features(w)).alias("features")), scored),
+        )
     best = Window.partitionBy("doc_id", "category").orderBy(F.col("score").desc(), "page", "idx")
     return (
-        scored.select(*SPAN, F.inline(tested))
+        chunks.withColumn("_rules", listed).select(*SPAN, F.inline(found))
         .withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & F.col("shared"))
         .drop("shared")

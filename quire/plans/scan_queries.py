@@ -8,6 +8,7 @@ from quire.operators import chunking, scan
 from quire.plans.answer_queries import TOKENS, features_sql
 from quire.plans.chunk_queries import chunks_sql
 from quire.sources import fixtures as fx
+from quire.sources.scratch import scratch_folder
 from quire.sources.tables import table
 
 CATS = [
@@ -123,7 +124,10 @@ def scan_summary(spark, folder):
 
 
 def scan_prompts(spark, folder):
-    cands = _candidates(spark, folder)
+    # Both inputs come from the candidates; narrow rows, stored so that the chunks are scored once.
+    found, at = _candidates(spark, folder), scratch_folder(spark)
+    found.write.parquet(at)
+    cands = spark.read.schema(found.schema).parquet(at)
     prompts = scan.scan_prompts(
         scan.candidate_pool(cands), cands, fx.corpus(spark, folder), _cats(spark)
     )

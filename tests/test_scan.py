@@ -114,3 +114,22 @@ def test_prompts_list_pool_and_categories(spark, lease):
     made = scan.scan_prompts(scan.candidate_pool(cands), cands, lease, scan.categories(spark)).collect()
     assert len(made) == 1 and "[Excerpt 0]\n" in made[0]["prompt"]
     assert "- fees_penalties: " in made[0]["prompt"]
+
+
+def test_features_are_made_once_for_a_chunk(spark):
+    pages_ = spark.createDataFrame([("d", 1, "A late fee is due. We may cancel.")], "doc_id string, page int, text string")
+    found = scan.scan_candidates(chunking.chunk_documents(pages_), scan.categories(spark), min_relevance=0.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Lines of the plan that hash tokens next to the chunk's offsets; the others are of the categories.
+    assert sum("md5(" in line and "probe#" not in line for line in plan.split("\n")) == 1
+    assert {r["category"] for r in found.where("signalled").collect()} == {"fees_penalties", "cancellation"}
+
+
+def test_prompts_score_the_chunks_once(spark, tmp_path):
+    from quire.plans.scan_queries import QUERIES
+
+    docs = spark.createDataFrame([(i, "The license is given as is.\n\nontion costs $ 5.") for i in range(4)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    prompts = QUERIES["scan_prompts"][0](spark, str(tmp_path))
+    assert "regexp_extract_all" not in prompts._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"] for r in prompts.collect()} == {0, 1, 2, 3}
