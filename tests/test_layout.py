@@ -137,3 +137,39 @@ def test_text_without_a_glyph_does_not_fit(spark):
     got = {r["edit"]: r for r in marks.fit_text(edits, widths).collect()}
     assert not got[1]["fits"] and got[1]["warning"] == "no-such-glyph" and got[1]["suggested"] is None
     assert got[2]["fits"] and got[2]["warning"] is None
+
+
+def _words(spark):
+    rows = [(d, p, n, f"w{n}", 72.0 + n % 8 * 60, 82.0 + n // 8 * 14, 20.0, 10.0) for d in range(2) for p in (1, 2) for n in range(40)]
+    runs = spark.createDataFrame(rows, "doc_id int, page int, seq int, str string, x double, y double, width double, font_size double")
+    return runs.withColumn("start", F.col("seq") * 4).withColumn("end", F.col("start") + 3)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_and_blocks_deal_the_runs_by_page_twice_at_most(spark):
+    made = layout.blocks(layout.lines(layout.rows_by_baseline(_words(spark))))
+    assert _exchanges(made) == 2
+    assert made.agg(F.sum("n_lines")).first()[0] == layout.lines(layout.rows_by_baseline(_words(spark))).count()
+
+
+def test_rows_of_many_pages_in_one_task(spark):
+    rows = layout.rows_by_baseline(_words(spark).coalesce(1))
+    assert all(r["row_no"] == r["seq"] // 8 for r in rows.collect())
+
+
+def test_remembered_baselines_change_nothing(spark, monkeypatch):
+    runs = _words(spark).withColumn("y", F.expr("double(seq * 37 % 23) * 3.125D"))
+    want = sorted(layout.rows_by_baseline(runs).select("doc_id", "page", "seq", "row_no").collect())
+    monkeypatch.setattr(layout, "REMEMBERED", 1)
+    assert sorted(layout.rows_by_baseline(runs).select("doc_id", "page", "seq", "row_no").collect()) == want
+
+
+def test_runs_far_from_every_citation_are_not_dealt(spark):
+    cited = spark.createDataFrame([(0, 1, 0, 8, 20), (0, 1, 1, 30, 31), (1, 2, 0, 0, 3)], "doc_id int, page int, cite int, start int, end int")
+    found = layout.locate_citations(cited, _words(spark))
+    got = sorted(tuple(r) for r in found.select("doc_id", "page", "cite", "seq").collect())
+    assert got == [(0, 1, 0, 2), (0, 1, 0, 3), (0, 1, 0, 4), (0, 1, 1, 7), (1, 2, 0, 0)]
+    assert "_high" in found._jdf.queryExecution().optimizedPlan().toString()
