@@ -155,3 +155,15 @@ def test_workers_without_the_package(tmp_path):
     env |= {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PWD")}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "all ran" in done.stdout, done.stderr[-2000:]
+
+
+def test_visits_move_no_features(spark, corpus, questions, tmp_path, monkeypatch):
+    """Shards and blocks of queries meet in a product of stored rows, whatever the number of visits."""
+    built = index.build(corpus, str(tmp_path / "index"), shard=16)
+    monkeypatch.setattr(index, "VISITS", 10)
+    found = index.index_top_k(built, questions, 6)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan
+    moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert moved and not any("part#" in line for line in moved)
+    assert ranked(found) == ranked(retrieval.top_k(corpus, questions, 6))
