@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.functions.running import renumber, running_total
+from quire.functions.running import BLOCK, renumber, running_total
 
 #: A number as it is given out: from 2, without leading zeros.
 NUMBER = "(?:[2-9]|[1-9][0-9]+)"
@@ -56,7 +56,10 @@ def settle_names(
     )
     pairs = names.drop("_first").join(forms, [*group, "_root", "_path"])
     marks = pairs.select(*key, *[F.col("_first")[c].alias(c) for c in order], "_root", "_rows", "_form", "_form_path")
-    counted = rows.join(pairs.select(*key).distinct(), key, "left_semi").select(*key, *order)
+    # Rows meet such names by block, or all rows of a name would meet in one task.
+    seen = rows.withColumn("_blk", F.floor(F.col(order[0]) / BLOCK).cast("long"))
+    blocks = seen.select(*key, "_blk").distinct().join(pairs.select(*key).distinct(), key, "left_semi")
+    counted = seen.join(blocks, [*key, "_blk"], "left_semi").select(*key, *order)
     before = running_total(
         counted.unionByName(marks, allowMissingColumns=True), key, order,
         F.when(F.col("_form").isNull(), 1).otherwise(0), "_before",
@@ -72,11 +75,12 @@ def settle_names(
         ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", _n long",
     )
     moves = walked.groupBy(*key, "_n").agg(F.count("*").alias("_move")).withColumn("_row", F.lit(0))
-    placed = renumber(rows, key, order, "_n").withColumn("_row", F.lit(1))
-    # Most names have no form that is wanted: their number is their place.
-    moved = moves.select(*key).distinct()
-    plain = placed.join(moved, key, "left_anti").withColumn("_moved", F.lit(0).cast("long"))
-    both = placed.join(moved, key, "left_semi").unionByName(moves, allowMissingColumns=True)
+    placed = renumber(rows, key, order, "_n").withColumn("_row", F.lit(1)).withColumn("_part", F.floor(F.col("_n") / BLOCK).cast("long"))
+    # Most names have no form that is wanted: their number is their place. A name has a row at the start of each block.
+    starts = placed.where(F.col("_n") == F.col("_part") * BLOCK).select(*key, "_part")
+    moved = starts.join(moves.select(*key).distinct(), key, "left_semi")
+    plain = placed.join(moved, [*key, "_part"], "left_anti").withColumn("_moved", F.lit(0).cast("long")).drop("_part")
+    both = placed.join(moved, [*key, "_part"], "left_semi").drop("_part").unionByName(moves, allowMissingColumns=True)
     settled = running_total(both, key, ["_n", "_row"], F.coalesce("_move", F.lit(0)), "_moved").where("_row = 1").drop("_move")
     number = F.col("_n") + F.col("_moved") + 1
     return plain.unionByName(settled).withColumn(

@@ -225,3 +225,22 @@ def test_forms_of_forms_and_odd_numbers(spark):
     rows = [(i % 3, i * 37, name) for i, name in enumerate(rng.choices(pool, weights, k=3000))]
     df = spark.createDataFrame(rows, "archive int, seq int, name string").repartition(3)
     assert {(r["archive"], r["seq"]): r["unique_name"] for r in asm.unique_names(df).collect()} == _plain_names(rows)
+
+
+def test_rows_of_one_name_do_not_share_a_task(spark):
+    """Most rows want one name, of which a form is wanted too: they stay spread over the partitions."""
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(keep, ("-1", "false"), strict=True):
+            spark.conf.set(c, v)
+        names = spark.range(200_000).selectExpr(
+            "1 AS archive", "id AS seq", "CASE WHEN id = 9 THEN 'a-70.png' WHEN id = 70000 THEN 'b.png' ELSE 'a.png' END AS name"
+        )
+        done = asm.unique_names(names).withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in done.groupBy("p").count().collect()]
+        assert sum(sizes) == 200_000 and max(sizes) < 150_000
+        last = done.where("seq IN (0, 69, 70, 199999)").orderBy("seq").collect()
+        assert [r["unique_name"] for r in last] == ["a.png", "a-69.png", "a-71.png", "a-199999.png"]
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
