@@ -1,3 +1,4 @@
+import math
 import random
 import unicodedata
 
@@ -168,3 +169,39 @@ def test_page_survived_equals_trying_every_copy(spark):
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b string, a string, r string")
     got = {r["i"]: r["ok"] for r in table.select("i", leaks.page_survived(F.col("b"), F.col("a"), F.col("r")).alias("ok")).collect()}
     assert [got[i] for i in range(len(rows))] == want and 500 < sum(want) < 2900
+
+
+def test_runs_and_targets_move_once(spark):
+    """Odd places, equal targets and missing keys as in a plain loop; rows of a page are moved once."""
+    rng = random.Random(8)
+    nan, inf = float("nan"), float("inf")
+    runs = [(d, p, s, rng.choice(["a b", "c", None]), rng.choice([0.0, 1.5, 3.0, 4.4, -1.5, 1e9, nan, None]), rng.choice([0.0, 1.5, 7.0]), rng.random() < 0.9)
+            for d in (1, 2, None) for p in (1, 2) for s in range(12)]
+    targets = [(d, p, t, rng.choice([0.0, 1.5, 2.9, -3.0, 1e9, nan, -inf, None]), rng.choice([0.0, 1.5, 8.5]), rng.choice(["ab", "c", " ", None]))
+               for d in (1, 2, 3, None) for p in (1, 2) for t in [*range(10), 3, None]]
+    got = leaks.excise_runs(
+        spark.createDataFrame(runs, "doc_id int, page int, seq int, str string, px double, py double, placed boolean"),
+        spark.createDataFrame(targets, "doc_id int, page int, target int, tx double, ty double, text string"),
+    )
+
+    def hit(r, t):
+        return None not in (*t[:4], r[4]) and r[:2] == t[:2] and r[6] and math.hypot(r[4] - t[3], r[5] - t[4]) <= 1.5
+
+    want = []
+    for t in targets:
+        near = [r for same in targets if same[:3] == t[:3] for r in runs if hit(r, same)]
+        after = next((r[6] for r in runs if near and r[:2] == near[0][:2] and r[2] == near[0][2] + 1), True)
+        squash = lambda v: "".join(v.split())
+        reason = (
+            "no-text" if t[5] is not None and not t[5].strip()
+            else "no-run-there" if not near
+            else "several-runs-there" if len(near) > 1
+            else "next-run-would-slide" if not after
+            else "says-something-else" if None not in (near[0][3], t[5]) and squash(near[0][3]) != squash(t[5])
+            else None
+        )
+        want.append((*t[:3], None if reason else near[0][2], reason))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {w[4] for w in want} >= {"no-text", "no-run-there", "several-runs-there", None}
