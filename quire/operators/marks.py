@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.text import strip_space
 
@@ -227,28 +227,39 @@ def plan_edits(edits: DataFrame, docs: DataFrame, outcomes: DataFrame) -> tuple[
     ``outcomes``: doc_id, edit, ok - whether the old words could be taken out.
     Edits run page by page in the order given; one without area is skipped.
     """
-    known = edits.join(docs.select("doc_id", "n_pages"), "doc_id", "left")
-    in_range = F.coalesce((F.col("page_index") >= 0) & (F.col("page_index") < F.col("n_pages")), F.lit(False))
-    rejected = known.groupBy("doc_id").agg(
+    # What a document's edits say about pages is one row before the documents are asked.
+    ends = edits.groupBy("doc_id").agg(
+        F.min("page_index").alias("low"), F.max("page_index").alias("high"), F.bool_or(F.col("page_index").isNull()).alias("odd")
+    )
+    in_range = F.coalesce((F.col("low") >= 0) & (F.col("high") < F.col("n_pages")) & ~F.col("odd"), F.lit(False))
+    rejected = ends.join(docs.select("doc_id", "n_pages"), "doc_id", "left").groupBy("doc_id").agg(
         F.when(F.bool_or(~in_range), "no-such-page").alias("reason")
     ).where("reason IS NOT NULL")
-    fine = edits.join(rejected, "doc_id", "left_anti").withColumns(
-        {
-            "_kx": F.floor(F.col("x") + 0.5),
-            "_ky": F.floor(F.col("y") + 0.5),
-        }
-    )
     sized = (F.abs("width") > 0) & (F.abs("height") > 0)
     key = ["doc_id", "page_index", "_kx", "_ky"]
-    cut = (
-        fine.where(sized & (strip_space(F.coalesce("original", F.lit(""))) != ""))
-        .join(outcomes.where("ok").select("doc_id", "edit"), ["doc_id", "edit"], "left_semi")
-        .select(*key, F.lit(True).alias("_cut"))
-        .distinct()
+    placed = F.lit(True)
+    for c in key:
+        placed = placed & F.col(c).isNotNull()
+    gone = outcomes.where("ok").groupBy("doc_id", "edit").agg(F.bool_or("ok").alias("_gone"))
+    # Tests come before the joins, so that rows are moved without what they were made of.
+    tried = (
+        edits.withColumns(
+            {
+                "_kx": F.floor(F.col("x") + 0.5),
+                "_ky": F.floor(F.col("y") + 0.5),
+                "_sized": sized,
+                "_worded": strip_space(F.coalesce("original", F.lit(""))) != "",
+            }
+        )
+        .join(rejected, "doc_id", "left_anti")
+        .join(gone, ["doc_id", "edit"], "left")
+        .withColumn("_cut", F.col("_gone") & F.col("_sized") & F.col("_worded"))
     )
-    planned = fine.join(cut, key, "left").withColumn(
+    planned = tried.withColumn(
         "action",
-        F.when(~sized, "skipped").when(F.col("_cut"), "removed").otherwise("covered"),
+        F.when(~F.col("_sized"), "skipped")
+        .when(F.bool_or("_cut").over(Window.partitionBy(*key)) & placed, "removed")
+        .otherwise("covered"),
     )
     return planned.select(*edits.columns, "action"), rejected
 
