@@ -66,6 +66,29 @@ def test_a_full_anchor_filter_changes_nothing(spark, monkeypatch):
     assert hits(spark, texts, phrases) == wide == {0, 1, 2, 4, 6, 7, 8}
 
 
+def test_pages_meet_a_short_list_where_they_are_and_a_long_one_by_anchors(spark, monkeypatch):
+    texts = ["Äpfel und Öl, ﬁnal", "the ☃ man - and", "the end " + "ü€ " * 40000 + "last words", "", "x"]
+    phrases = ["Äpfel", "l und ö", "☃", "man and the end", "€ü€last", "end ü€", "ö", "x", "- -", "the snow man", "wordsx", "€" * 5]
+    want = {i for i, p in enumerate(phrases) if loop_contains(texts, p)}
+    assert hits(spark, texts, phrases) == want
+    asked = spark.createDataFrame(list(enumerate(phrases)), "phrase_id int, phrase string")
+    plan = leaks.phrase_hits(pages(spark, "d", texts), asked)._jdf.queryExecution().optimizedPlan().toString()
+    # No run of characters is made by a regular expression, and the list is what moves.
+    assert "regexp_extract_all" not in plan and "strategy=broadcast" in plan
+    monkeypatch.setattr(leaks, "SHORT_LIST", 0)
+    assert hits(spark, texts, phrases) == want
+
+
+def test_documents_of_other_number_types_meet(spark):
+    asked = spark.createDataFrame([(7, 0, "Jane Roe"), (8, 0, "Jane Roe")], "doc_id int, ord int, phrase string")
+    texts = spark.createDataFrame([(7, 1, "Jane"), (7, 2, "Roe"), (8, 1, "Jane"), (9, 1, "Jane Roe")], "doc_id long, page int, text string")
+    assert [(r["doc_id"], r["ord"]) for r in leaks.requested_hits(texts, asked).collect()] == [(7, 0)]
+
+
+def test_no_phrases_no_hits(spark):
+    assert hits(spark, ["some text", "more"], ["", " "]) == set()
+
+
 def test_long_list_and_long_phrase(spark):
     long = "x1 y2 z3 " * 1500
     texts = ["head " + long, long + " tail of it", "other page"]
