@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quire.functions.binding import bind
-from quire.functions.text import SPACE, SPACE_CHARS, dense_vector, hash_features, l2_normalize, strip_space, tokens
+from quire.functions.text import FEATURE_DIMS, SPACE, SPACE_CHARS, dense_vector, hash_features, l2_normalize, strip_space, tokens
 from quire.operators.retrieval import MIN_RELEVANCE, SPAN, TOP_K, valid_citations
 
 QUOTE_CHARS = 320
@@ -131,6 +131,10 @@ def scan_candidates(
         F.col("id").alias("category"), "ord", tokens(F.col("probe")).alias("probe_words"), "signals", vector.alias("weights")
     )
     listed = rules.groupBy().agg(F.collect_list(F.struct(*rules.columns))).scalar()
+    # Buckets that any category weighs; the rest of a chunk's features add nothing to a score.
+    weighed = rules.groupBy().agg(F.collect_list("weights").alias("all")).select(
+        F.transform(F.sequence(F.lit(0), F.lit(FEATURE_DIMS - 1)), lambda b: F.exists("all", lambda w: F.get(w, b) != 0))
+    ).scalar()
 
     def score(features: Column, rule: Column) -> Column:
         dot = F.aggregate(
@@ -139,9 +143,12 @@ def scan_candidates(
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot)), 12)
 
     # One expression: a column that is used inside a lambda would be made again for every rule.
-    met = lambda t: F.filter(
-        F.transform("_rules", lambda r: F.struct(r.alias("rule"), score(t["features"], r).alias("score"))),
-        lambda m: (m["score"] >= min_relevance) & (m["score"] > 0),
+    met = lambda t: bind(
+        F.filter(t["features"], lambda x: F.get("_weighed", x["bucket"])),
+        lambda own: F.filter(
+            F.transform("_rules", lambda r: F.struct(r.alias("rule"), score(own, r).alias("score"))),
+            lambda m: (m["score"] >= min_relevance) & (m["score"] > 0),
+        ),
     )
     tested = lambda t, low: F.transform(
         t["met"],
@@ -164,7 +171,7 @@ def scan_candidates(
         )
     best = Window.partitionBy("doc_id", "category").orderBy(F.col("score").desc(), "page", "idx")
     return (
-        chunks.withColumn("_rules", listed).select(*SPAN, F.inline(found))
+        chunks.withColumn("_rules", listed).withColumn("_weighed", weighed).select(*SPAN, F.inline(found))
         .withColumn("rank", F.row_number().over(best))
         .where((F.col("rank") <= k) & F.col("shared"))
         .drop("shared")

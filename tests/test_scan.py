@@ -133,3 +133,18 @@ def test_prompts_score_the_chunks_once(spark, tmp_path):
     prompts = QUERIES["scan_prompts"][0](spark, str(tmp_path))
     assert "regexp_extract_all" not in prompts._jdf.queryExecution().optimizedPlan().toString()
     assert {r["doc_id"] for r in prompts.collect()} == {0, 1, 2, 3}
+
+
+def test_scores_look_only_at_buckets_of_the_categories(spark, lease):
+    found = candidates(spark, lease)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "_weighed" in plan
+    # A chunk's length is summed once, not once to test it and again to take its root.
+    assert str(scan.l2_normalize(F.col("f"))).count("sqrt") == 1
+    text = {r["chunk_id"]: r["text"] for r in chunking.chunk_documents(lease).collect()}
+    probes = {c[0]: c[2] for c in scan.CATEGORIES}
+    pair = spark.createDataFrame([(r["score"], text[r["chunk_id"]], probes[r["category"]]) for r in found.collect()], "score double, a string, b string")
+    vector = lambda c: scan.dense_vector(scan.l2_normalize(scan.hash_features(scan.tokens(F.col(c)))))
+    dot = F.aggregate(F.zip_with(vector("a"), vector("b"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = pair.select("score", dot.alias("dot")).collect()
+    assert rows and all(abs(r["score"] - r["dot"]) < 1e-9 for r in rows)
