@@ -85,6 +85,14 @@ def test_documents_of_other_number_types_meet(spark):
     assert [(r["doc_id"], r["ord"]) for r in leaks.requested_hits(texts, asked).collect()] == [(7, 0)]
 
 
+def test_pages_without_document_or_number_are_not_searched(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, 1, "Jane Roe"), (2, None, "Jane Roe"), (None, 1, "Jane Roe")], "doc_id int, page int, text string")
+    asked = spark.createDataFrame([(0, "Jane Roe")], "phrase_id int, phrase string")
+    for size in (leaks.SHORT_LIST, 0):
+        monkeypatch.setattr(leaks, "SHORT_LIST", size)
+        assert [r["doc_id"] for r in leaks.phrase_hits(texts, asked).collect()] == [1]
+
+
 def test_no_phrases_no_hits(spark):
     assert hits(spark, ["some text", "more"], ["", " "]) == set()
 
