@@ -236,3 +236,34 @@ def test_runs_and_targets_move_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert {w[4] for w in want} >= {"no-text", "no-run-there", "several-runs-there", None}
+
+
+def test_a_long_phrase_meets_only_pages_that_share_a_long_run(spark, monkeypatch):
+    """A page that has a common passage but not the phrase is neither proposed nor moved; whole hits stay whole."""
+    from quire.functions import grams
+
+    salt = F.lit(7).cast("long")
+    passage, rng = "this passage of thirty bytes..", random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    for size in (128, 20, 3):
+        phrase = (word(size) + passage + word(size))[: size + (size // 2 if size > 12 else 0)]
+        held = f"{word(70_000)}{phrase}{word(9)}"
+        table = spark.createDataFrame([(phrase, held, f"{word(200)}{passage}{word(200)}")], "needle string, held string, other string")
+        keyed = table.withColumn("keys", grams.anchor_keys("needle", salt))
+        words = spark.sparkContext.broadcast(grams.filter_of(keyed, 1 << 14))
+        within = lambda c: grams.keys_within(c, salt, words, [size])
+        row = keyed.select("keys", within("held").alias("held"), within("other").alias("other")).first()
+        assert row["keys"][-1] in row["held"], size
+        assert size < 64 or row["other"] == [], size
+
+    texts = [(d, 1, f"{word(80)}{passage}{word(80)}{d}") for d in range(40)]
+    lengths = [n for g in grams.SIZES for n in (g - 1, g, g + 1) if n]
+    asked = [(texts[i % 40][2][20 : 20 + n]) for i, n in enumerate(lengths)] + [passage + "0" * 100, "x" * 130, word(64)]
+    pages_ = spark.createDataFrame(texts, "doc_id int, page int, text string")
+    phrases_ = spark.createDataFrame(list(enumerate(asked)), "phrase_id int, phrase string")
+    squash = lambda v: "".join(v.split())
+    want = {(d, i) for d, _, t in texts for i, p in enumerate(asked) if squash(p) in squash(t)}
+    for limit in (leaks.SHORT_LIST, 0):
+        monkeypatch.setattr(leaks, "SHORT_LIST", limit)
+        got = [tuple(r) for r in leaks.phrase_hits(pages_, phrases_).collect()]
+        assert sorted(got) == sorted(want), limit
