@@ -267,3 +267,20 @@ def test_a_long_phrase_meets_only_pages_that_share_a_long_run(spark, monkeypatch
         monkeypatch.setattr(leaks, "SHORT_LIST", limit)
         got = [tuple(r) for r in leaks.phrase_hits(pages_, phrases_).collect()]
         assert sorted(got) == sorted(want), limit
+
+
+def test_page_survived_on_long_pages_takes_one_pass_of_python(spark):
+    """Blanks of any kind, control characters, nulls and letters of several bytes; no fold of column expressions."""
+    long = " ".join(f"wört{i}" for i in range(5000))
+    blanks = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    rows = [
+        (long, long.replace("wört77 ", "", 1), "wört77", True), (long, long.replace("wört77 ", "", 1), "wört78", False),
+        (long, long, "wört3", False), (f"a{blanks}b c", "a c", f"{blanks}b", True), ("a\x1cb c", "a c", "\x1cb", True),
+        ("a\x1cb c", "a\x1cb", "c", True), ("a\x1fb", "b", "a\x1f", True), (None, "a", "b", None), ("a", None, "b", None), ("a", "b", None, None),
+        (None, None, " ", False), (blanks, "", "a", False), ("a", blanks, "a", True), ("😀 a 😀", "a 😀", "😀", True), ("😀 a 😀", "😀 a", "😀", True),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, b string, a string, r string")
+    made = df.select("i", leaks.page_survived(F.col("b"), F.col("a"), F.col("r")).alias("ok"))
+    got = {r["i"]: r["ok"] for r in made.collect()}
+    assert [got[i] for i in range(len(rows))] == [r[3] for r in rows]
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString()
