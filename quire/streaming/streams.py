@@ -10,7 +10,7 @@ from quire.functions.text import hash_features, l2_normalize, tokens
 from quire.operators.chunking import chunk_documents
 from quire.operators.intake import normalize_page_text
 from quire.operators.sizes import BOOT_MILLISECONDS
-from quire.streaming.versions import CHANGES, newest_pages
+from quire.streaming.versions import CHANGES, newest_pages, texts_to_stand
 
 
 def ingest(pages: DataFrame) -> DataFrame:
@@ -172,8 +172,11 @@ def run_changes(pages: DataFrame, target: str, checkpoint: str, ttl_seconds: int
     """Write the changes of a page stream as chunks to put in and versions to take out.
 
     ``target/put`` has the chunks with page and version, ``target/delete`` the versions that went.
-    Read both with :func:`standing_chunks`.
+    Read both with :func:`standing_chunks`. Texts that a newer delivery beside them outdates are left
+    behind before the exchange by document; what came and went within a batch is not cut anyway.
     """
+    pages = pages.select("doc_id", "page", "version", "text", "ts")
+    pages = pages.mapInArrow(texts_to_stand(), pages.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()

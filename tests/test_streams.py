@@ -190,3 +190,66 @@ def test_a_table_of_several_files_is_streamed_like_one_file(spark, tmp_path, nam
     run = QUERIES[name][0]
     assert run(spark, str(one)).count() == 6
     assert run(spark, str(several)).count() == 12
+
+
+def test_outdated_texts_are_left_behind_unless_the_newer_page_may_come_too_late():
+    import pyarrow as pa
+
+    from quire.streaming.versions import texts_to_stand
+
+    given = [
+        ("a", 1, 1, "old", 100), ("a", 1, 3, "new", 100), ("a", 1, 2, "later than the new one", 101), ("a", 2, 1, "another page", 50),
+        ("b", 1, 1, "another document", 50), ("b", 1, 1, "the same again", 60), (None, 1, 1, "no document", 50), (None, 1, 2, "no document", 60),
+        ("c", 1, 1, "no time", None), ("c", 1, 2, None, 70), ("c", 1, 1, "older", 70),
+    ]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "page", "version", "text", "ts"), r, strict=True)) for r in given])
+    batch = batch.set_column(4, "ts", batch.column(4).cast(pa.timestamp("us", "UTC")))
+    out = next(texts_to_stand()(iter([batch])))
+    assert out.schema == batch.schema and out.drop_columns(["text"]) == batch.drop_columns(["text"])
+    gone = {"old", "older"}
+    assert out.column("text").to_pylist() == [None if r[3] in gone else r[3] for r in given]
+
+
+def test_the_state_is_asked_once_for_a_page():
+    import pandas as pd
+
+    from quire.streaming.versions import newest_pages
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = {(2,): (7,)}, []
+
+        def getValue(self, key):
+            self.calls.append(("get", key))
+            return self.rows.get(key)
+
+        def updateValue(self, key, value):
+            self.calls.append(("update", key))
+            self.rows[key] = value
+
+        def get(self):
+            return None
+
+        def update(self, value):
+            pass
+
+    class Handle:
+        held = Held()
+
+        def getMapState(self, *_):
+            return self.held
+
+        def getValueState(self, *_):
+            return Held()
+
+        def registerTimer(self, _):
+            pass
+
+    pages, ts = newest_pages(10), pd.Timestamp("2024-01-01", tz="UTC")
+    pages.init(Handle())
+    rows_ = [pd.DataFrame({"page": [1, 2] * 50, "version": range(i, i + 100), "text": "t", "ts": ts}) for i in (5, 0)]
+    out = next(pages.handleInputRows(("d",), iter(rows_), None))
+    assert sorted(Handle.held.calls) == [("get", (1,)), ("get", (2,)), ("update", (1,)), ("update", (2,))]
+    assert Handle.held.rows == {(1,): (103,), (2,): (104,)}
+    page_two = out[out["page"] == 2]
+    assert page_two["op"].tolist()[:3] == ["delete", "put", "delete"] and page_two["version"].tolist()[:3] == [7, 8, 8]
