@@ -9,6 +9,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from quire.functions import postings
 from quire.functions.postings import Shard
 from quire.operators import chunking, index, retrieval
 from tests.conftest import pages
@@ -167,3 +168,26 @@ def test_visits_move_no_features(spark, corpus, questions, tmp_path, monkeypatch
     moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
     assert moved and not any("part#" in line for line in moved)
     assert ranked(found) == ranked(retrieval.top_k(corpus, questions, 6))
+
+
+def test_many_queries_of_a_shard_are_scored_together(monkeypatch):
+    """As one by one, with copies, bars, negative weights and shards of few rows; no list is read for it."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(postings, "TOGETHER", 7)
+    monkeypatch.setattr(postings, "PAIRS", 5)
+    for size in (1, 3, 40, 300):
+        rows = rng.normal(size=(size, 32)) * (rng.random((size, 32)) < 0.5)
+        rows[rng.integers(0, size, size // 2)] = rows[0]
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        lists = {b: (np.flatnonzero(rows[:, b]), rows[np.flatnonzero(rows[:, b]), b]) for b in range(32)}
+        queries = np.concatenate([rng.normal(size=(20, 32)), rows[:3]])
+        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
+        bars = rng.choice([0.0, 0.1, 0.5, 0.9], len(queries))
+        alone, shard = postings.Shard(size, lists, 32), postings.Shard(size, lists, 32)
+        place, numbers, scores = shard.best_of(queries, 4, bars)
+        for q, query in enumerate(queries):
+            # One alone may give back more than it needs below a bar that it learned, never less.
+            want = alone.best(np.flatnonzero(query), query[np.flatnonzero(query)], 4, bars[q])
+            assert numbers[place == q].tolist() == want[0].tolist()
+            assert np.allclose(scores[place == q], want[1], atol=2e-12)
+        assert shard.read == 0
