@@ -173,3 +173,55 @@ def test_runs_far_from_every_citation_are_not_dealt(spark):
     got = sorted(tuple(r) for r in found.select("doc_id", "page", "cite", "seq").collect())
     assert got == [(0, 1, 0, 2), (0, 1, 0, 3), (0, 1, 0, 4), (0, 1, 1, 7), (1, 2, 0, 0)]
     assert "_high" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packs_keep_every_value_and_groups_stay_where_they_are(spark):
+    """Nulls, odd numbers, rows that lie apart and groups in several packs; no second exchange by the same keys."""
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from quire.functions.packs import packed_by_group
+
+    rng, nan = random.Random(3), float("nan")
+    rows = [(d, p, n, rng.choice(["", "wört", "日本", "x" * 40]), rng.choice([0.0, -1e300, nan, 0.1]), 2**62 * (n % 3 - 1), rng.choice([None, "a", "b"]),
+             rng.choice([None, 1.5]), n % 2 == 0) for d in ("a", "b", None) for p in (1, None) for n in range(30)]
+    schema = "doc_id string, page int, seq int, str string, x double, big long, some string, part double, flag boolean"
+    for given in (rows, rng.sample(rows, len(rows)), [r for r in rows if r[2] < 3]):
+        table = spark.createDataFrame(given, schema).coalesce(2)
+        made = packed_by_group(table, ["doc_id", "page"], lambda group: group, spark.createDataFrame([], ", ".join(schema.split(", ")[2:])).schema)
+        assert sorted(map(str, made.collect())) == sorted(map(str, table.collect()))
+        counted = made.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("seq")))
+        assert _exchanges(counted) == 1
+    moved = packed_by_group(spark.createDataFrame(rows, schema), ["doc_id", "page"], lambda group: pa.table({"n": [len(group)]}), spark.range(0).toDF("n").schema)
+    assert [r["n"] for r in moved.collect()] == [30] * 6
+
+
+def test_runs_move_as_packs_and_placed_ones_do_not_move_again(spark):
+    df = _words(spark).drop("start", "end").withColumn("has_eol", F.col("seq") % 8 == 7)
+    rows = layout.rows_by_baseline(intake.place_runs(df))
+    assert _exchanges(rows) == 1 and _exchanges(layout.blocks(layout.lines(rows))) == 2
+    plan = layout.lines(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowAggregatePython") == 2
+    nulls = df.withColumn("str", F.expr("CASE WHEN seq % 5 = 0 THEN str WHEN seq % 5 = 1 THEN '' END"))
+    got = [(r["seq"], r["start"], r["end"]) for r in intake.place_runs(nulls).where("doc_id = 0 AND page = 1").orderBy("seq").collect()]
+    at, want = 0, []
+    for n in range(40):
+        length = len(f"w{n}") if n % 5 == 0 else 0
+        want += [(n, at, at + length)] if length else []
+        at += length + (n % 8 == 7) if n % 5 < 2 else 0
+    assert got == want
+
+
+def test_lines_of_odd_numbers(spark):
+    """Nulls and values that are no number count as they do in Spark's own sorting and totals."""
+    nan = float("nan")
+    rows = [("d", 1, i, s, x, y, w, f, a, a + 1, r) for i, (s, x, y, w, f, a, r) in enumerate([
+        ("a", 0.0, 5.0, 10.0, 10.0, 7, 0), ("b", 10.0, nan, 10.0, 10.0, 3, 0), ("c", 100.0, 5.0, None, 10.0, 1, 0), ("d", 300.0, 5.0, 5.0, 10.0, 2, 0),
+        ("e", nan, 9.0, 5.0, 10.0, 2, 0), ("f", None, 9.0, 5.0, 10.0, 2, 1), (None, 4.0, 9.0, 5.0, None, 2, 1), ("g", 4.0, 9.0, 5.0, nan, 2, 2),
+    ])]
+    schema = "doc_id string, page int, seq int, str string, x double, y double, width double, font_size double, start int, end int, row_no long"
+    got = {r["text"]: (r["line_no"], str(r["x"]), str(r["y"]), str(r["width"]), str(r["font_size"]), r["start"], r["end"]) for r in layout.lines(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        "f": (1, "4.0", "9.0", "5.0", "10.0", 2, 3), "cd": (0, "100.0", "5.0", "205.0", "10.0", 1, 3),
+        "g": (4, "4.0", "nan", "5.0", "nan", 2, 3), "ab": (3, "0.0", "nan", "20.0", "10.0", 3, 8), "e": (2, "nan", "9.0", "nan", "10.0", 2, 3),
+    }
